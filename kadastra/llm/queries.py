@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kadastra.llm import exact_dedup, mixing
+from kadastra.llm import exact_dedup, mixing, simhash
 from kadastra.llm.common import table
 
 
@@ -14,9 +14,14 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE = {
