@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from kadastra.llm import exact_dedup, mixing, simhash
-from kadastra.llm.common import table
+import public_tokenizers
+
+from kadastra.llm import exact_dedup, mixing, simhash, token_files
+from kadastra.llm.common import new_path, table
+
+
+def op1_token_files(spark, sf_dir):
+    path = new_path(spark, "token-ids")
+    token_files.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.describe_ids(spark, path)
 
 
 def op4_mix_sources(spark, sf_dir):
@@ -19,6 +27,7 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_simhash": op10_simhash,
