@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from kadastra.llm import exact_dedup, mixing, simhash, token_files
+from kadastra.llm import exact_dedup, mixing, simhash, substring_dedup, token_files
 from kadastra.llm.common import new_path, table
 
 
@@ -14,6 +15,11 @@ def op1_token_files(spark, sf_dir):
     return token_files.describe_ids(spark, path)
 
 
+def op2_substring_dedup(spark, sf_dir):
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -28,12 +34,14 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_simhash": op10_simhash,
 }
 
 ORACLE = {
+    "op2_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_mix_sources": mixing.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
 }

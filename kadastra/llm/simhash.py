@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from kadastra.llm.common import cut
 from kadastra.llm.components import components
+from kadastra.shipping import ship
 
 #: Reference fingerprints of the pivot table.
 PIVOTS = 24
@@ -71,6 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
@@ -152,6 +154,7 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
         if len(kept) > 1:
             yield close()
 
+    ship(distinct.sparkSession)
     found, todo = None, distinct
     for level, blocks in enumerate(BLOCKS):
         keyed = todo.mapInArrow(_keys(blocks, bits), "fp long, key long, choice int")

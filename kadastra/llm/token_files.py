@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kadastra.shipping import ship
+
 END_ID = 2
 BLOCK = 128
 PERCENTILE = 90
@@ -224,6 +226,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "do
         if waiting:
             yield close()
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(segments, _SEGMENT_SQL).write.option("compression", "none").parquet(path)
@@ -265,6 +268,7 @@ def describe_ids(spark: SparkSession, path: str) -> DataFrame:
 def _placed(spark: SparkSession, path: str) -> DataFrame:
     """The segments with their first position in the corpus. There is one offset for each range of ids: its number of
     rows is that of the writing job's partitions, whatever the corpus holds, so it is broadcast."""
+    ship(spark)
     stored = spark.read.schema(_SEGMENT_SQL).parquet(path)
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
