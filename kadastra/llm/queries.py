@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from kadastra.llm import exact_dedup, mixing, simhash, substring_dedup, token_files
+from kadastra.llm import exact_dedup, line_dedup, mixing, simhash, substring_dedup, token_files
 from kadastra.llm.common import new_path, table
 
 
@@ -32,11 +32,17 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op10_simhash": op10_simhash,
 }
 
@@ -44,4 +50,5 @@ ORACLE = {
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_mix_sources": mixing.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op6_line_dedup": line_dedup.ORACLE_SQL,
 }
