@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from kadastra.llm import exact_dedup, line_dedup, mixing, simhash, substring_dedup, token_files
+from kadastra.llm import exact_dedup, line_dedup, mixing, simhash, substring_dedup, token_files, toxicity
 from kadastra.llm.common import new_path, table
 
 
@@ -37,12 +37,19 @@ def op6_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 
