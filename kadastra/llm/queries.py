@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from kadastra.llm import exact_dedup, line_dedup, mixing, simhash, substring_dedup, token_files, toxicity
+from kadastra.llm import exact_dedup, line_dedup, mixing, sampling, simhash, substring_dedup, token_counts, token_files, toxicity
 from kadastra.llm.common import new_path, table
 
 
@@ -20,6 +20,21 @@ def op2_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_sample_encodings(spark, sf_dir):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    drawn = sampling.decode(sampling.sample_encodings(table(spark, sf_dir, "documents"), model), model)
+    return drawn.select(
+        "doc_id",
+        "draw",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "log_prob",
+        "perturbed",
+        "log_inclusion",
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -37,6 +52,10 @@ def op6_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -46,9 +65,11 @@ def op9_toxicity(spark, sf_dir):
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_sample_encodings": op3_sample_encodings,
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
