@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from kadastra.llm import exact_dedup, line_dedup, mixing, sampling, simhash, substring_dedup, token_counts, token_files, toxicity
+from kadastra.llm import exact_dedup, line_dedup, mixing, neighbours, sampling, simhash, substring_dedup, token_counts, token_files, toxicity
 from kadastra.llm.common import new_path, table
 
 
@@ -52,6 +52,10 @@ def op6_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_nearest(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_nearest": op7_nearest,
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,

@@ -229,7 +229,7 @@ def _units(rows: DataFrame) -> DataFrame:
                 last = ""
                 for raw in text.as_py().split():
                     word = raw.strip(_EDGE).lower()
-                    if word not in seen:
+                    if word not in seen and raw[0] not in QUOTES and raw[-1] not in QUOTES:  # what is quoted teaches nothing
                         seen[word] = last
                         for n in STEM_LETTERS:
                             if len(word) > n:
@@ -277,7 +277,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen = sorted((r["doc_id"], r["toxic"], sorted((h["t"], h["e"], h["k"], h["n"]) for h in r["hits"])) for r in found.collect())  # at most TRAIN_ROWS
     in_class = [defaultdict(int), defaultdict(int)]
     for _, label, own in seen:
-        for pair in {(t, e) for t, e, _, _ in own}:
+        for pair in {(t, e) for t, e, k, _ in own if k != "quoted"}:
             in_class[label][pair] += 1
     for pair in in_class[0].keys() | in_class[1].keys():
         model.weights[pair] = math.log((in_class[1][pair] + 0.5) / (toxic + 1)) - math.log((in_class[0][pair] + 0.5) / (clean + 1))
