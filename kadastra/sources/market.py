@@ -78,7 +78,7 @@ class Market:
         unit = F.col("l_extendedprice") / F.col("l_quantity")
         order = Window.partitionBy("listing_id").orderBy("changed_at", "l_orderkey", "l_linenumber")
         sold = self.lineitem.select(F.col("l_partkey").alias("listing_id"), F.col("l_shipdate").alias("changed_at"), "l_orderkey", "l_linenumber", unit.alias("new_price"))
-        return sold.withColumn("old_price", F.lag("new_price").over(order)).withColumn("seq", F.row_number().over(order)).select("listing_id", "old_price", "new_price", "changed_at", "seq")
+        return sold.withColumn("old_price", F.lag("new_price").over(order)).withColumn("seq", F.row_number().over(order).cast("long")).select("listing_id", "old_price", "new_price", "changed_at", "seq")
 
 
 #: The same views in SQL, for the oracle.
