@@ -16,8 +16,7 @@ def near(a, b):
 
 
 def words(line):
-    line = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)
-    return [w for w in line.translate({c: 32 for c in (9, 11, 12, 13)}).split(" ") if w]
+    return [w for w in line.lower().translate({c: 32 for c in (9, 11, 12, 13)}).split(" ") if w]
 
 
 def slow(rows):
