@@ -8,11 +8,12 @@ smaller id. Windows are judged on the input, never on what is left.
    Anchors that recur inside a batch are settled there; of those only one goes on, so that a passage that a third of
    all documents share costs one row a batch.
 2. Confirm. The stretches of text under such anchors are dealt out by anchor. Each anchor's shard compares words, not
-   hashes: it keeps windows that occur in two documents, with the smallest id, and compiles them into an Aho-Corasick
+   hashes: it keeps windows that two stretches share, with their smallest id, and compiles them into an Aho-Corasick
    automaton over word numbers.
 3. Locate. The shard streams its stretches, which hold all occurrences of its windows in all documents, through the
-   automaton, and reports the covered words of every document but the smallest. Equal stretches in one batch have been
-   reported before the shuffle for all but the smallest id, so a shard never meets a hot passage document by document.
+   automaton, and reports the covered words of every document but the smallest. Equal stretches need no automaton: all
+   but the smallest id's are covered. Those of one batch are reported before the shuffle, so a shard never meets a hot
+   passage document by document.
 4. Remove. Covered stretches are joined to the whole texts.
 
 Defined results: null text counts as empty and has no words. A null id is compared with none: such rows keep all their
@@ -22,63 +23,84 @@ gives an empty result. Columns other than id and text are never read.
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kadastra.llm.common import cut
+from kadastra.llm.common import bitmap, cut, in_bitmap
 from kadastra.shipping import ship
 
 WINDOW = 13
 ANCHOR = 6
 #: Characters of text whose words are held at a time.
-CHUNK_CHARS = 4_000_000
-#: Words whose hashes a worker remembers before it starts again.
-REMEMBERED = 300_000
+CHUNK_CHARS = 2_000_000
 
 _MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(ANCHOR)], dtype=np.uint64)
-
-
-class _Words(dict):
-    """Word -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+_BASE = 0x100000001B3
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def anchors(words: list[bytes], known: _Words, window: int = WINDOW) -> np.ndarray:
-    """The anchor of each window; empty for fewer words than a window."""
-    n = len(words) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    a = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    runs = len(words) - ANCHOR + 1
-    mixed = np.zeros(runs, np.uint64)
-    for j in range(ANCHOR):
-        mixed += a[j : j + runs] * _MIX[j]
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
-    span, least = window - ANCHOR + 1, mixed
-    width = 1
-    while width < span:  # the least of a sliding stretch, by doubling
-        step = min(width, span - width)
-        least = np.minimum(least[: len(least) - step], least[step:])
-        width += step
-    return least.view(np.int64)
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
+class Windows:
+    """All windows of some texts, found at once: the bounds of each word, the text of each window and its anchor."""
+
+    def __init__(self, raws: list[bytes], window: int):
+        joined = b" ".join(raws) + b" "
+        letters = np.frombuffer(joined, np.uint8)
+        space = _SPACE[letters]
+        before = np.concatenate([[True], space[:-1]])
+        self.raw = joined
+        self.begin, self.end = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+        offsets = np.cumsum([0, *(len(r) + 1 for r in raws)])[:-1]
+        text = np.searchsorted(offsets, self.begin, side="right") - 1
+        self.first_word = np.searchsorted(self.begin, offsets)
+        n = len(self.begin) - window + 1
+        if n <= 0:
+            self.at = self.text = np.zeros(0, np.int64)
+            self.anchor = np.zeros(0, np.int64)
+            return
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * _powers(_BASE, len(letters)))])
+        word = (sums[self.end] - sums[self.begin]) * _powers(pow(_BASE, -1, 2**64), len(letters))[self.begin]
+        word ^= word >> np.uint64(31)
+        runs = len(word) - ANCHOR + 1
+        mixed = np.zeros(runs, np.uint64)
+        for j in range(ANCHOR):
+            mixed += word[j : j + runs] * _MIX[j]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        span, least, width = window - ANCHOR + 1, mixed, 1
+        while width < span:  # the least of a sliding stretch, by doubling
+            step = min(width, span - width)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            width += step
+        inside = np.flatnonzero(text[:n] == text[window - 1 :])
+        self.at, self.text, self.anchor = inside, text[inside], least[inside].view(np.int64)
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
+        """First window of each run of windows of one text under one anchor, and the run's end."""
+        n = len(self.at)
+        new = np.ones(n, bool)
+        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.text[1:] != self.text[:-1])
+        first = np.flatnonzero(new)
+        return first, np.append(first[1:], n)
 
 
 def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[range]:
@@ -90,81 +112,130 @@ def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[range]:
 
 
 def _recurring_anchors(rows: DataFrame, window: int) -> DataFrame:
-    """(doc_id, anchor) for the anchors that at least two documents have."""
-    settled = -1
+    """(doc_id, anchors): per document, the anchors that at least two documents have."""
+    once, often, settled = 0, 1, 2
+    shards = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             found, owner = [], []
             for chunk in _chunks(batch, 1):
-                for i in chunk:
-                    own = np.unique(anchors(_bytes(batch.column(1)[i].as_py()).split(), known, window))
-                    found.append(own)
-                    owner.append(np.full(len(own), ids[i], np.int64))
-            if not found:
+                seen = Windows([_bytes(batch.column(1)[i].as_py()) for i in chunk], window)
+                first, _ = seen.stretches()
+                found.append(seen.anchor[first])
+                owner.append(ids[chunk.start + seen.text[first]])
+            anchor, doc = np.concatenate([np.zeros(0, np.int64), *found]), np.concatenate([np.zeros(0, np.int64), *owner]).astype(np.int64)
+            if not len(anchor):
                 continue
-            anchor, doc = np.concatenate(found), np.concatenate(owner)
             order = np.lexsort((doc, anchor))
             anchor, doc = anchor[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, int)
-            last = np.concatenate([first[1:], [len(anchor)]]) - 1 if len(first) else first
-            here = doc[first] != doc[last]
-            often = np.repeat(here, last - first + 1)
-            for kind, a, d in ((settled, anchor[often], doc[often]), (0, anchor[first], doc[first])):
-                state = np.where(here, 1, 0).astype(np.int32) if kind == 0 else np.full(len(a), settled, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(d), pa.array(state)], names=["anchor", "doc_id", "state"])
-
-    # state -1: known to recur; 0: met in one document of its batch; 1: stands for a batch where it recurs
-    met = cut(rows.filter("doc_id is not null").mapInArrow(gather, "anchor long, doc_id long, state int"))
-    asked = met.filter("state >= 0")
-    shared = asked.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("state").alias("state")).filter("low < high or state = 1")
-    answered = asked.filter("state = 0").join(shared.select("anchor"), "anchor", "left_semi")
-    return met.filter("state = -1").select("doc_id", "anchor").union(answered.select("doc_id", "anchor"))
+            new = np.ones(len(anchor), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+            anchor, doc = anchor[new], doc[new]
+            first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            size = np.diff(np.append(first, len(anchor)))
+            many = np.repeat(size > 1, size)
+            # anchors in one document of the batch ask; those in several are settled, and one tells the other batches
+            for kind, a, d in ((once, anchor[~many], doc[~many]), (often, anchor[first[size > 1]], doc[first[size > 1]]), (settled, anchor[many], doc[many])):
+                shard = (a if kind != settled else d) % shards
+                order = np.argsort(shard, kind="stable")
+                shard, a, d = shard[order], a[order], d[order]
+                cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(a) else np.zeros(0, int)
+                ends = np.append(cuts[1:], len(a))[: len(cuts)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(cuts), kind, np.int32)),
+                        pa.array(shard[cuts].astype(np.int32)),
+                        pa.array([a[b:e].tobytes() for b, e in zip(cuts, ends, strict=True)], pa.binary()),
+                        pa.array([d[b:e].tobytes() if kind != often else b"" for b, e in zip(cuts, ends, strict=True)], pa.binary()),
+                    ],
+                    names=["kind", "shard", "anchors", "docs"],
+                )
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: dict[int, list[np.ndarray]] = {once: [], often: [], settled: []}
+        docs: dict[int, list[np.ndarray]] = {once: [], often: [], settled: []}
+        for batch in batches:
+            for kind, a, d in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                told[kind].append(np.frombuffer(a, np.int64))
+                docs[kind].append(np.frombuffer(d, np.int64))
+        none = [np.zeros(0, np.int64)]
+        anchor, doc, other = np.concatenate(told[once] + none), np.concatenate(docs[once] + none), np.concatenate(told[often] + none)
+        order = np.lexsort((doc, anchor))
+        anchor, doc = anchor[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, int)
+        size = np.diff(np.append(first, len(anchor)))
+        shared = (doc[first] != doc[first + size - 1]) | np.isin(anchor[first], other) if len(anchor) else np.zeros(0, bool)
+        shared = np.repeat(shared, size)
+        anchor, doc = np.concatenate([anchor[shared], *told[settled]]), np.concatenate([doc[shared], *docs[settled]])
+        order = np.lexsort((anchor, doc))
+        anchor, doc = anchor[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(anchor))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), lists], names=["doc_id", "anchors"])
+
+    met = rows.filter("doc_id is not null").mapInArrow(gather, "kind int, shard int, anchors binary, docs binary")
+    told = met.repartition("shard").mapInArrow(answer, "doc_id long, anchors array<long>")
+    return told.groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
 
 
 def _stretches(marked: DataFrame, window: int) -> DataFrame:
     """Text under recurring anchors (kind 0), and what is known to be covered inside a batch (kind 1)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for batch in batches:
+            ids = batch.column(0).to_pylist()
             for chunk in _chunks(batch, 1):
+                raws = [_bytes(batch.column(1)[i].as_py()) for i in chunk]
+                seen = Windows(raws, window)
+                first, end = seen.stretches()
+                if not len(first):
+                    continue
+                lists = batch.column(2)[chunk.start : chunk.stop]
+                asked = np.repeat(np.arange(len(raws)), pa.compute.list_value_length(lists).to_numpy())
+                wanted = np.unique(np.stack([asked, lists.flatten().to_numpy()], axis=1).astype(np.int64), axis=0)
+                have = np.stack([seen.text[first], seen.anchor[first]], axis=1).astype(np.int64)
+                pair = np.dtype([("t", np.int64), ("a", np.int64)])
+                keep = np.isin(np.ascontiguousarray(have).view(pair).ravel(), np.ascontiguousarray(wanted).view(pair).ravel())
                 where: dict[tuple[int, bytes], list[tuple[int, int, int]]] = defaultdict(list)
-                for i in chunk:
-                    doc_id = batch.column(0)[i].as_py()
-                    raw = _bytes(batch.column(1)[i].as_py())
-                    words = raw.split()
-                    least = anchors(words, known, window)
-                    if not len(least):
-                        continue
-                    wanted = np.isin(least, np.array(batch.column(2)[i].as_py(), np.int64))
-                    begins = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-                    ends = np.concatenate([begins[1:], [len(least)]])
-                    keep = wanted[begins]
-                    text_id = xxhash.xxh64_intdigest(raw) - 2**63
-                    for b, e in zip(begins[keep].tolist(), ends[keep].tolist(), strict=True):
-                        where[int(least[b]), b" ".join(words[b : e + window - 1])].append((doc_id, text_id, b))
-                out: list[list] = [[], [], [], [], [], []]
-                for (anchor, words_), places in where.items():
+                text_ids: dict[int, int] = {}
+                last = seen.at[end[keep] - 1] + window - 1
+                for text, anchor, word, begin, stop in zip(
+                    seen.text[first[keep]].tolist(), seen.anchor[first[keep]].tolist(), seen.at[first[keep]].tolist(), seen.begin[seen.at[first[keep]]].tolist(), seen.end[last].tolist(), strict=True
+                ):
+                    if text not in text_ids:
+                        text_ids[text] = xxhash.xxh64_intdigest(raws[text]) - 2**63
+                    words = b" ".join(seen.raw[begin:stop].split())
+                    where[anchor, words].append((ids[chunk.start + text], text_ids[text], word - int(seen.first_word[text])))
+                shards_: dict[tuple[int, int], list[tuple[int, int, int, bytes]]] = defaultdict(list)
+                for (anchor, words), places in where.items():
                     low = min(p[0] for p in places)
-                    once = True
                     for doc_id, text_id, at in places:
                         if doc_id > low:
-                            row = (1, anchor, doc_id, text_id, at, b"%d" % (words_.count(b" ") + 1))
-                        elif once:
-                            row, once = (0, anchor, doc_id, text_id, at, words_), False
+                            shards_[1, (doc_id ^ at) % shards].append((doc_id, text_id, at, b"%d" % (words.count(b" ") + 1)))
                         else:
-                            row = (0, anchor, doc_id, text_id, at, words_)
-                        for column, value in zip(out, row, strict=True):
-                            column.append(value)
+                            shards_[0, anchor % shards].append((doc_id, text_id, at, words))
+                keys, packed = list(shards_), [_pack(v) for v in shards_.values()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int32()), *(pa.array(out[k], pa.int64()) for k in (1, 2, 3)), pa.array(out[4], pa.int32()), pa.array(out[5], pa.binary())],
-                    names=["kind", "anchor", "doc_id", "text_id", "at", "words"],
+                    [pa.array([k for k, _ in keys], pa.int32()), pa.array([k for _, k in keys], pa.int32()), pa.array(packed, pa.binary())], names=["kind", "shard", "rows"]
                 )
 
-    return marked.mapInArrow(gather, "kind int, anchor long, doc_id long, text_id long, at int, words binary")
+    shards = 4 * int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return marked.mapInArrow(gather, "kind int, shard int, rows binary")
+
+
+def _pack(rows: list[tuple[int, int, int, bytes]]) -> bytes:
+    """Rows (document, text, place, words) that go to one shard, compressed together."""
+    numbers = np.array([r[:3] for r in rows], np.int64)
+    return zlib.compress(len(rows).to_bytes(4, "little") + numbers.tobytes() + b"\n".join(r[3] for r in rows), 1)
+
+
+def _unpack(packed: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    raw = zlib.decompress(packed)
+    n = int.from_bytes(raw[:4], "little")
+    for numbers, words in zip(np.frombuffer(raw, np.int64, 3 * n, 4).reshape(n, 3).tolist(), raw[4 + 24 * n :].split(b"\n"), strict=True):
+        yield *numbers, words
 
 
 def _covered(stretches: DataFrame, window: int) -> DataFrame:
@@ -177,70 +248,71 @@ def _covered(stretches: DataFrame, window: int) -> DataFrame:
         where: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
         for doc_id, text_id, at, words in rows:
             where[words].append((doc_id, text_id, at))
+        # copies of one stretch are covered as a whole; the automaton looks for windows that different stretches share
         streams, owner, several = [], {}, set()
         for words, places in where.items():
-            stream = np.fromiter(map(numbers.__getitem__, words.split(b" ")), np.int32)
-            low, high = min(p[0] for p in places), max(p[0] for p in places)
-            streams.append((stream, places, high))
+            low = min(p[0] for p in places)
+            n = words.count(b" ") + 1
+            for doc_id, text_id, at in places:
+                if doc_id > low:
+                    yield doc_id, text_id, at, n
+            stream = np.fromiter(map(numbers.__getitem__, words.split(b" ")), np.int32, n)
+            streams.append((stream, low, [p for p in places if p[0] == low]))
             raw = stream.tobytes()
             for b in range(0, len(raw) - 4 * window + 4, 4):
                 key = raw[b : b + 4 * window]
                 before = owner.get(key)
                 if before is None:
                     owner[key] = low
-                    if low != high:
-                        several.add(key)
-                elif before != low or before != high:
+                elif before != low:
                     several.add(key)
-                    owner[key] = min(before, low)
+                    if low < before:
+                        owner[key] = low
         if not several:
             return
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for key in several:
             automaton.add_word(tuple(np.frombuffer(key, np.int32).tolist()), owner[key])
         automaton.make_automaton()
-        for stream, places, high in streams:
-            hits = [(end - window + 1, low) for end, low in automaton.iter(tuple(stream.tolist())) if low < high]
-            if not hits:
-                continue
-            for doc_id, text_id, at in places:
-                begin = stop = None
-                for b, low in hits:
-                    if low >= doc_id:
-                        continue
-                    if begin is not None and b <= stop:
-                        stop = b + window
-                        continue
-                    if begin is not None:
-                        yield doc_id, text_id, at + begin, stop - begin
-                    begin, stop = b, b + window
+        for stream, low, places in streams:
+            begin = stop = None
+            spans = []
+            for end, least in automaton.iter(tuple(stream.tolist())):
+                if least >= low:
+                    continue
+                b = end - window + 1
+                if begin is not None and b <= stop:
+                    stop = end + 1
+                    continue
                 if begin is not None:
-                    yield doc_id, text_id, at + begin, stop - begin
+                    spans.append((begin, stop - begin))
+                begin, stop = b, end + 1
+            if begin is not None:
+                spans.append((begin, stop - begin))
+            for doc_id, text_id, at in places:
+                for b, n in spans:
+                    yield doc_id, text_id, at + b, n
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, out = [], []
         for batch in batches:
-            kinds = batch.column(0).to_pylist()
-            columns = [batch.column(k).to_pylist() for k in (2, 3, 4, 5)]
-            for kind, *row in zip(kinds, *columns, strict=True):
+            for kind, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if kind:
-                    out.append((row[0], row[1], row[2], int(row[3])))
+                    out.extend((d, t, at, int(n)) for d, t, at, n in _unpack(packed))
                 else:
-                    rows.append(tuple(row))
+                    rows.extend(_unpack(packed))
         out.extend(shard(rows))
         columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["doc_id", "text_id", "at", "n"])
 
-    place = F.when(F.col("kind") == 0, F.col("anchor")).otherwise(F.xxhash64("doc_id", "at"))
-    return stretches.withColumn("place", place).repartition("place").drop("place").mapInArrow(locate, "doc_id long, text_id long, at int, n int")
+    return stretches.repartition("shard").mapInArrow(locate, "doc_id long, text_id long, at int, n int")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (text of the words left, joined by spaces)."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = _recurring_anchors(rows, window).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    marked = rows.join(marks, "doc_id").select("doc_id", "text", "anchors")
+    marked = rows.join(_recurring_anchors(rows, window), "doc_id").select("doc_id", "text", "anchors")
     covered = cut(_covered(_stretches(marked, window), window).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("at", "n")).alias("spans")))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +340,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
 
     by_doc = covered.groupBy("doc_id").agg(F.collect_list(F.struct("text_id", "spans")).alias("texts"))
-    return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "texts").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
+    told = in_bitmap(rows.withColumn("h", F.xxhash64("doc_id")), "h", bitmap(covered.select(F.xxhash64("doc_id").alias("h"))))
+    # documents that surely lose no word need no shuffle
+    joined = told.filter("maybe").join(by_doc, "doc_id", "left").select("doc_id", "text", "texts")
+    alone = told.filter("not maybe").select("doc_id", "text", F.lit(None).cast(joined.schema["texts"].dataType).alias("texts"))
+    return joined.union(alone).mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
 
 
 ORACLE_SQL = r"""
