@@ -6,7 +6,7 @@ order (TARGET_IDS ids or a little more each; a longer document is a segment of i
     magic "PFR1" | u4 ids | u4 documents | u4 blocks
     documents x u4: length of each document
     blocks x (u4 start of the block in the payload, u4 minimum, u1 width, u1 exceptions, u2 zero)
-    payload: for each block its BLOCK ids minus the minimum, the low `width` bits of each, packed;
+    payload: for each block its BLOCK ids minus the minimum, the low `width` bits of each, one plane of bits after another;
              then its exceptions: u1 position, u4 high part
 
 The width of a block is the least that holds the given PERCENTILE of its values; larger values are the exceptions and
@@ -21,6 +21,8 @@ first; equal ids keep their rows. An empty table writes no segment. Other column
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -37,11 +39,15 @@ BLOCK = 128
 PERCENTILE = 90
 TARGET_IDS = 65_536
 MAGIC = b"PFR1"
-#: Distinct words whose ids a worker remembers; others are encoded each time they occur in a batch.
-REMEMBERED = 400_000
+#: Distinct words whose ids a worker remembers before it starts again.
+REMEMBERED = 250_000
+#: Letters below this code point have no combining forms, and keep their class in all versions of Unicode.
+LATIN = 0x250
+LAST = chr(LATIN)
 #: Characters of text that are encoded together.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
+_U4 = struct.Struct("<I").pack
 _INDEX = np.dtype([("start", "<u4"), ("low", "<u4"), ("width", "u1"), ("patches", "u1"), ("zero", "<u2")])
 _PATCH = np.dtype([("at", "u1"), ("high", "<u4")])
 
@@ -72,18 +78,19 @@ def pack(ids: np.ndarray, lengths: np.ndarray, percentile: float = PERCENTILE) -
     starts = np.concatenate([[0], np.cumsum(sizes)])
     index["start"] = starts[:-1]
     payload = np.zeros(starts[-1], np.uint8)
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
         if w:
-            bits = ((values[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-            packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
-            payload[starts[rows][:, None] + np.arange(packed.shape[1])] = packed
-    for b in np.flatnonzero(patches):
-        at = np.flatnonzero(outside[b])
-        listed = np.zeros(len(at), _PATCH)
-        listed["at"], listed["high"] = at, values[b, at] >> width[b]
-        first = starts[b] + int(width[b]) * (BLOCK // 8)
-        payload[first : starts[b + 1]] = listed.view(np.uint8)
+            own = values[rows].astype(np.uint16 if w <= 16 else np.uint32)  # what exceeds the width is in the list
+            planes = np.empty((len(rows), w, BLOCK // 8), np.uint8)
+            for bit in range(w):
+                planes[:, bit] = np.packbits((own >> bit).astype(np.uint8) & 1, axis=1, bitorder="little")
+            payload[starts[rows][:, None] + np.arange(w * (BLOCK // 8))] = planes.reshape(len(rows), -1)
+    block, at = np.nonzero(outside)
+    if len(block):
+        listed = np.zeros(len(block), _PATCH)
+        listed["at"], listed["high"] = at, values[block, at] >> width[block]
+        payload[_patch_places(index, starts[:-1])[:, None] + np.arange(_PATCH.itemsize)] = listed.view(np.uint8).reshape(len(block), -1)
     return head + index.tobytes() + payload.tobytes()
 
 
@@ -106,75 +113,79 @@ def unpack_block(image: bytes, block: int) -> np.ndarray:
     return _blocks(index[block : block + 1], payload)[0][: min(BLOCK, n - block * BLOCK)]
 
 
+def _patch_places(index: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where each exception of each block lies in the payload."""
+    counts = index["patches"].astype(np.int64)
+    rank = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.repeat(starts + index["width"].astype(np.int64) * (BLOCK // 8), counts) + rank * _PATCH.itemsize
+
+
 def _blocks(index: np.ndarray, payload: np.ndarray) -> np.ndarray:
     values = np.zeros((len(index), BLOCK), np.uint32)
     starts = index["start"].astype(np.int64)
-    for w in np.unique(index["width"]):
+    for w in np.unique(index["width"]).tolist():
         rows = np.flatnonzero(index["width"] == w)
         if w:
-            packed = payload[starts[rows][:, None] + np.arange(int(w) * (BLOCK // 8))]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
-            values[rows] = bits @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
-    for b in np.flatnonzero(index["patches"]):
-        first = starts[b] + int(index["width"][b]) * (BLOCK // 8)
-        listed = payload[first : first + int(index["patches"][b]) * _PATCH.itemsize].view(_PATCH)
-        values[b, listed["at"]] |= listed["high"] << np.uint32(index["width"][b])
+            planes = payload[starts[rows][:, None] + np.arange(w * (BLOCK // 8))].reshape(len(rows), w, BLOCK // 8)
+            own = np.zeros((len(rows), BLOCK), np.uint16 if w <= 16 else np.uint32)
+            for bit in range(w):
+                own |= np.unpackbits(planes[:, bit], axis=1, bitorder="little").astype(own.dtype) << own.dtype.type(bit)
+            values[rows] = own
+    counts = index["patches"].astype(np.int64)
+    if counts.any():
+        listed = payload[_patch_places(index, starts)[:, None] + np.arange(_PATCH.itemsize)].reshape(-1).view(_PATCH)
+        block = np.repeat(np.arange(len(index)), counts)
+        values[block, listed["at"]] |= listed["high"] << index["width"][block].astype(np.uint32)
     return values + index["low"][:, None]
 
 
 # ---- encoding
 
 
-class WordEncoder:
-    """Ids of whole texts, from the ids of their words.
+class WordEncoder(dict):
+    """Word -> its ids as little-endian u4; a text's ids are those of its words in turn.
 
-    The tokenizer drops white space and never joins what white space parts, so a text's ids are those of its words in
-    turn. Each distinct word goes through the tokenizers library once in a batch, and once in a worker if remembered.
+    The tokenizer drops white space and never joins what white space parts. A word of Latin letters is one pre-token, and
+    the marks "." and "," after it are another; the library's model splits these directly. All other words go through the
+    whole tokenizer. Words are remembered up to REMEMBERED, and then anew.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _lookup(self, words: set[str]) -> dict[str, np.ndarray]:
-        """Ids of words that aren't remembered. Plain ASCII words are pre-tokens as they are, but for their case."""
-        found, others = {}, []
-        model = self.tokenizer.model
-        for word in words:
-            if word.isascii() and word.isalpha():
-                found[word] = np.array([t.id for t in model.tokenize(word.lower())], np.uint32)
-            else:
-                others.append(word)
-        found.update(zip(others, self._words(others), strict=True))
-        room = REMEMBERED - len(self.known)
-        if room > 0:
-            self.known.update(list(found.items())[:room])
-        return found
+        self.model = self.tokenizer.model
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: to_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x80, LATIN)) if c.isalpha()}
+        self.letters = str.maketrans(self.letters)
+        self.marks = {m: self._whole(m) for m in ".,"}
+        self.split = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        body, mark = (word[:-1], self.marks[word[-1]]) if word[-1] in self.marks else (word, b"")
+        low = body.lower()
+        if body.isalpha() and (body.isascii() or (max(body) < LAST and low.isalpha() and max(low) < LAST)):
+            ids = self.get(low)
+            if ids is None:
+                ids = self[low] = b"".join([_U4(t.id) for t in self.model.tokenize(low if low.isascii() else low.translate(self.letters))])
+            ids += mark
+        else:
+            ids = self._whole(word)
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text), END_ID included."""
-        import re
-
-        split = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
-        parts = [t.split(" ") if t.isascii() and not any(c in t for c in "\t\n\r\x0b\x0c") else split(t) for t in texts]
-        known = self.known
-        missing = {w for words in parts for w in words if w not in known}
-        missing.discard("")
-        extra = self._lookup(missing) if missing else {}
-        end, none = np.array([END_ID], np.uint32), np.zeros(0, np.uint32)
-        pieces, counts = [], []
-        for words in parts:
-            own = [known[w] if w in known else extra.get(w, none) for w in words]
-            counts.append(sum(map(len, own)) + 1)
-            pieces += own
-            pieces.append(end)
-        return np.concatenate(pieces).astype(np.uint32) if pieces else none, np.array(counts, np.int64)
+        end, find = _U4(END_ID), self.__getitem__
+        each = [b"".join(map(find, self.split(t))) + end for t in texts]
+        return np.frombuffer(b"".join(each), "<u4"), np.array([len(x) // 4 for x in each], np.int64)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

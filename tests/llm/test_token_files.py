@@ -17,6 +17,7 @@ TEXTS = [
     "<|endoftext|> a<|startoftext|>b <|endof text|>",
     "é ́x ́ 한국어 中文字 🙂🙂 a.b,c!? x\x1cy\x85z \x00",
     "İstanbul ŒUVRE 힣 'S 'Ve it's",
+    "İİ ıI ŉ ǰ ẞ ß ſ ŀ ĸ K Å ª º µ don,t a. a.. A, 'a. é. É, Ǆ. x'd 's. I'LL, ʼn ,. ., . , é́. Ĳ ĳ ÀÈ. ÀÈ, àè",
     "long " * 30000,
     "a" * 5000,
 ]
@@ -60,6 +61,14 @@ def test_files_match_the_tokenizer(spark, monkeypatch):
     assert sorted((d, s, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, i, s in got) == told
 
 
+def test_every_latin_letter():
+    encoder, tokenizer = tf.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    words = [f + c + e for c in map(chr, range(0x21, 0x300)) if not c.isspace() for f in ("", "ab", "Ç") for e in ("", "z", ".", ",", "'S")]
+    ids, counts = encoder.encode(words)
+    want = [tokenizer.encode(w, add_special_tokens=False).ids + [2] for w in words]
+    assert ids.tolist() == [i for own in want for i in own] and counts.tolist() == [len(w) for w in want]
+
+
 def test_empty_table(spark):
     path = new_path(spark, "ids")
     tf.write_ids(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
