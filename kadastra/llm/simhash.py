@@ -17,6 +17,7 @@ occur. An empty table gives an empty result. Columns other than id and text are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kadastra.llm.common import cut
+from kadastra.llm.common import bitmap, cut, in_bitmap
 from kadastra.llm.components import components
 from kadastra.shipping import ship
 
@@ -79,39 +80,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
     """Hamming distances to the reference fingerprints, one column each."""
-    pivots = np.array([xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(PIVOTS)], dtype=np.uint64)
-    return np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
+    words = fps.shape[1]
+    pivots = np.array([[xxhash.xxh64_intdigest(f"{i}/{w}".encode(), 7) for w in range(words)] for i in range(PIVOTS)], dtype=np.uint64)
+    return np.stack([np.bitwise_count(fps ^ p).sum(axis=1) for p in pivots], axis=1).astype(np.int16)
 
 
 def forest(fps: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is within `bits` bits of each other, at most one for each member."""
-    n = len(fps)
-    order = np.argsort(table[:, 0], kind="stable")
-    fps, table = fps[order], table[order]
-    end = np.searchsorted(table[:, 0], table[:, 0] + bits, side="right")
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    left, right = [], []
-    for i in range(n - 1):
-        js = np.arange(i + 1, end[i])
-        for first in range(1, PIVOTS, 8):
-            if not len(js):
-                break
-            js = js[(np.abs(table[js, first : first + 8] - table[i, first : first + 8]) <= bits).all(axis=1)]
-        js = js[np.bitwise_count(fps[js] ^ fps[i]) <= bits]
-        for j in js:
-            a, b = find(i), find(int(j))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                left.append(fps[i])
-                right.append(fps[j])
-    return np.array(left, dtype=np.uint64), np.array(right, dtype=np.uint64)
+    """Places (left, right) of links that connect what is within `bits` bits of each other, one for each member but the
+    first of its group. fps has one row of 64-bit words for each member. What is linked isn't compared again."""
+    open_, left, right = np.arange(len(fps)), [], []
+    while len(open_):
+        waiting, open_ = [int(open_[0])], open_[1:]
+        while waiting and len(open_):
+            i = waiting.pop()
+            js = open_
+            for first in range(0, PIVOTS, 8):
+                js = js[(np.abs(table[js, first : first + 8] - table[i, first : first + 8]) <= bits).all(axis=1)]
+                if not len(js):
+                    break
+            js = js[np.bitwise_count(fps[js] ^ fps[i]).sum(axis=1) <= bits]
+            if len(js):
+                left.append(np.full(len(js), i))
+                right.append(js)
+                waiting += js.tolist()
+                open_ = np.setdiff1d(open_, js, assume_unique=True)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def _keys(blocks: int, bits: int):
@@ -140,9 +134,9 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
         kept, now = [], None
 
         def close():
-            fps = np.array(kept, dtype=np.int64).view(np.uint64)
-            a, b = forest(fps, pivot_table(fps), bits)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            fps = np.array(kept, dtype=np.int64)
+            a, b = forest(fps.view(np.uint64)[:, None], pivot_table(fps.view(np.uint64)[:, None]), bits)
+            return pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b])], names=["a", "b"])
 
         for batch in batches:
             for fp, key in zip(batch.column(0).to_pylist(), zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), strict=True):
@@ -181,3 +175,101 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.join(lowest, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- near duplicates of a given similarity
+
+#: 64-bit words of the long fingerprints.
+LONG = 4
+#: Samples of BITS_SAMPLED bits that make candidates of what agrees in all of them.
+SAMPLES = 48
+BITS_SAMPLED = 18
+
+
+def long_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, fp): LONG words of 64 bits, from as many mixes of each shingle hash."""
+    mixes = np.array([xxhash.xxh64_intdigest(str(w).encode(), 3) | 1 for w in range(LONG)], dtype=np.uint64)
+
+    def one(text: str | None) -> bytes:
+        hashes = shingle_hashes(text, width)
+        counts = np.zeros(64 * LONG, np.int64)
+        for at in range(0, len(hashes), 16384):
+            mixed = hashes[at : at + 16384, None] * mixes[None, :]
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(32)
+            counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(t.as_py()) for t in batch.column(1)], pa.binary())], names=["doc_id", "fp"])
+
+    ship(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp binary")
+
+
+def long_links(distinct: DataFrame, bits: int) -> DataFrame:
+    """(a, b): links between long fingerprints (no, fp) by their numbers. Candidates agree in a sample of bits. A bucket of
+    more than BUCKET members is dealt out to several tasks, each of which also gets the bucket's first member."""
+    rng = np.random.default_rng(64)
+    picks = np.stack([rng.permutation(64 * LONG)[:BITS_SAMPLED] for _ in range(SAMPLES)])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            flags = np.unpackbits(fps, axis=1, bitorder="little")
+            for number, pick in enumerate(picks):
+                key = flags[:, pick] @ (1 << np.arange(BITS_SAMPLED, dtype=np.int64)) + (number << BITS_SAMPLED)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key)], names=["no", "key"])
+
+    def in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, now = [], None
+
+        def close():
+            fps = np.frombuffer(b"".join(f for _, f in kept), np.uint64).reshape(len(kept), -1)
+            numbers = np.array([n for n, _ in kept], np.int64)
+            a, b = forest(fps, pivot_table(fps), bits)
+            return pa.RecordBatch.from_arrays([pa.array(numbers[a]), pa.array(numbers[b])], names=["a", "b"])
+
+        for batch in batches:
+            for no, fp, *key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if len(kept) > 1:
+                        yield close()
+                    kept, now = [], key
+                kept.append((no, fp))
+        if len(kept) > 1:
+            yield close()
+
+    keys = distinct.mapInArrow(keyed, "no long, key long")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("no").alias("first")).filter("n > 1")
+    shared = keys.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / F.lit(BUCKET)).cast("int"))
+    part = F.when(F.col("no") == F.col("first"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("no"), F.col("parts")).cast("int")))
+    dealt = shared.select("no", "key", F.explode(part).alias("part")).join(distinct, "no")
+    return dealt.select("no", "fp", "key", "part").repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(in_bucket, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of documents that a chain of near duplicates joins to a smaller id.
+
+    Shingle sets of Jaccard similarity s have vectors of cosine about 2s / (1 + s), and so differ in an arccos(cosine) / pi
+    share of their fingerprints' bits; as that is an estimate, one standard deviation is allowed above it. Texts without
+    words are near duplicates of one another. Rows with a null id take no part; rows that share an id are one document.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = int(64 * LONG * share + math.sqrt(64 * LONG * share * (1 - share)))
+    marked = cut(long_fingerprints(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, width))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("no")).select("no", "fp"))
+    named = marked.join(distinct, "fp").select("doc_id", "no")
+    groups = components(long_links(distinct, bits).union(named.select("doc_id", "no")))
+    return groups.filter("node != root").select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with all its columns, without the documents that have a near duplicate of smaller id."""
+    gone = cut(near_duplicates(docs, id_col, text_col, width, similarity).select(F.col("doc_id").alias("_gone")))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    told = in_bitmap(packed.withColumn("_h", F.xxhash64(F.col(f"_row.`{id_col}`").cast("long"))), "_h", bitmap(gone.select(F.xxhash64("_gone").alias("h"))))
+    kept = told.filter("maybe").join(gone, F.col(f"_row.`{id_col}`") == F.col("_gone"), "left_anti")
+    return kept.select("_row").union(told.filter("not maybe").select("_row")).select("_row.*")

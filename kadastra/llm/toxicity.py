@@ -330,6 +330,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return scored.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "hits")
 
 
+def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with all its columns, without the rows that are predicted toxic."""
+    ship(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _finder(shared.value)
+        for batch in batches:
+            keep = [shared.value.score(finder(t.as_py() or "")) < THRESHOLD for t in batch.column(at)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def crc_fold(doc_id: int) -> bool:
     """held_out() in Python, for tests."""
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
