@@ -22,7 +22,7 @@ def op2_substring_dedup(spark, sf_dir):
 
 def op3_sample_encodings(spark, sf_dir):
     model = public_tokenizers.path("piece_bpe_32k.model")
-    drawn = sampling.decode(sampling.sample_encodings(table(spark, sf_dir, "documents"), model), model)
+    drawn = sampling.sample_encodings(table(spark, sf_dir, "documents"), model, decoded=True)
     return drawn.select(
         "doc_id",
         "draw",

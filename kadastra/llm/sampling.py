@@ -34,7 +34,7 @@ from kadastra.shipping import ship
 DRAWS = 2
 SEED = 20
 #: Characters of text that are walked together.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 250_000
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,8 +130,10 @@ class Lattice:
         others = (before + after)[begin, rank]
         with np.errstate(divide="ignore"):
             self.log_others = np.log(others)
+        del after
+        before += each
         self.upto = np.full((n, widest), 2.0)
-        self.upto[begin, rank] = (before + each)[begin, rank]
+        self.upto[begin, rank] = before[begin, rank]
         self.upto[np.arange(n), degree - 1] = 1.0
 
     def pick(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -300,11 +302,12 @@ def row_keys(ids: list[int | None], texts: list[str | None], seed: int) -> np.nd
 _TABLES: dict[str, PieceTable] = {}
 
 
-def sample_encodings(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """One row per draw: doc_id, draw (from 0, greatest perturbed value first), ids, log_prob, perturbed, log_inclusion."""
+def sample_encodings(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", draws: int = DRAWS, seed: int = SEED, decoded: bool = False) -> DataFrame:
+    """One row per draw: doc_id, draw (from 0, greatest perturbed value first), ids, log_prob, perturbed, log_inclusion; and
+    `text`, decoded from the ids in the same pass, on request."""
     ship(docs.sparkSession)
     types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64()]
-    names = ["doc_id", "draw", "ids", "log_prob", "perturbed", "log_inclusion"]
+    names = ["doc_id", "draw", "ids", "log_prob", "perturbed", "log_inclusion", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model_path not in _TABLES:
@@ -323,10 +326,13 @@ def sample_encodings(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 columns = list(zip(*flat, strict=True))
                 sizes = np.cumsum([0, *map(len, columns[2])])
                 lists = pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(np.concatenate(columns[2])))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], types[0]), pa.array(columns[1], types[1]), lists, *(pa.array(columns[k], types[k]) for k in (3, 4, 5))], names=names)
+                arrays = [pa.array(columns[0], types[0]), pa.array(columns[1], types[1]), lists, *(pa.array(columns[k], types[k]) for k in (3, 4, 5))]
+                if decoded:
+                    arrays.append(pa.array([table.pieces.decode(ids.tolist()) for ids in columns[2]], pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, draw int, ids array<int>, log_prob double, perturbed double, log_inclusion double")
+    return rows.mapInArrow(run, "doc_id long, draw int, ids array<int>, log_prob double, perturbed double, log_inclusion double" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -335,9 +341,10 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path)
-        for batch in batches:
+        for whole, at in ((b, i) for b in batches for i in range(0, b.num_rows, 256)):
+            batch = whole.slice(at, 256)
             ids = batch.column(batch.schema.get_field_index("ids"))
-            texts = pa.array([pieces.decode(x.values.to_numpy().tolist()) if x.is_valid else "" for x in ids], pa.string())
+            texts = pa.array([pieces.decode(x.as_py() or ()) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "text"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)

@@ -74,6 +74,8 @@ def test_round_trip_and_independence_of_partitions(spark):
     one = s.decode(s.sample_encodings(docs.coalesce(1), PATH), PATH).collect()
     two = s.sample_encodings(docs.repartition(7), PATH).collect()
     assert [(a[:3], pytest.approx(a[3:])) for a in sorted(map(key, one))] == [(b[:3], b[3:]) for b in sorted(map(key, two))]
+    both = s.sample_encodings(docs, PATH, decoded=True).collect()
+    assert sorted((k := key(r))[:3] + (r.text,) for r in both) == sorted(key(r)[:3] + (r.text,) for r in one)
     want = {i: t or "" for i, t in enumerate(TEXTS)} | {None: "no id"}
     assert all(r.text == want[r.doc_id] for r in one)
     draws = Counter(r.doc_id for r in one)
