@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Builder = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register the property-market queries; each has QUERIES and ORACLE dictionaries.
-PLAN_MODULES: tuple[str, ...] = ("kadastra.plans.dashboards", "kadastra.plans.relational")
+PLAN_MODULES: tuple[str, ...] = ("kadastra.plans.dashboards", "kadastra.plans.relational", "kadastra.plans.domain")
 
 
 def load(modules: tuple[str, ...] = PLAN_MODULES) -> tuple[dict[str, Builder], dict[str, str]]:
