@@ -34,26 +34,24 @@ from kadastra.shipping import ship
 DRAWS = 2
 SEED = 20
 #: Characters of text that are walked together.
-CHUNK_CHARS = 250_000
+CHUNK_CHARS = 400_000
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
 class PieceTable:
-    """Pieces by length, findable by the hashes of many substrings at once."""
+    """Beginnings of pieces by length, findable by the hashes of many substrings at once: (hashes, id or -1, score)."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        groups: dict[int, list[str]] = {}
-        for piece in pieces.ids:
-            groups.setdefault(len(piece), []).append(piece)
-        for n, own in groups.items():
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in range(1, pieces.longest + 1):
+            own = sorted({p[:n] for p in pieces.ids if len(p) >= n})
             letters = np.frombuffer("".join(own).encode("utf-32-le"), "<u4").reshape(-1, n)
             hashes = np.zeros(len(own), np.uint64)
             for j in range(n):
                 hashes = hashes * _HASH + letters[:, j] + np.uint64(1)
             order = np.argsort(hashes)
-            self.by_length[n] = hashes[order], np.array([pieces.ids[p] for p in own])[order], np.array([pieces.scores[p] for p in own])[order]
+            self.by_length.append((hashes[order], np.array([pieces.ids.get(p, -1) for p in own])[order], np.array([pieces.scores.get(p, 0.0) for p in own])[order]))
 
 
 class Lattice:
@@ -70,21 +68,22 @@ class Lattice:
         begin, width, ids, score = [], [], [], []
         hashes, single = np.zeros(n, np.uint64), np.zeros(n, bool)
         live = here
-        for size in range(1, pieces.longest + 1):
+        for size, (known, known_ids, known_scores) in enumerate(table.by_length, 1):
             live = live[live + size <= ends[live]]
             if not len(live):
                 break
-            hashes[live] = hashes[live] * _HASH + letters[live + size - 1] + np.uint64(1)
-            if size in table.by_length:
-                known, known_ids, known_scores = table.by_length[size]
-                at = np.minimum(np.searchsorted(known, hashes[live]), len(known) - 1)
-                hit = known[at] == hashes[live]
-                if size == 1:
-                    single[live[hit]] = True
-                begin.append(live[hit])
-                width.append(np.full(hit.sum(), size))
-                ids.append(known_ids[at[hit]])
-                score.append(known_scores[at[hit]])
+            own = hashes[live] * _HASH + letters[live + size - 1] + np.uint64(1)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = known[at] == own  # what begins no piece can't grow into one
+            live, at = live[hit], at[hit]
+            hashes[live] = own[hit]
+            whole = known_ids[at] >= 0
+            if size == 1:
+                single[live[whole]] = True
+            begin.append(live[whole])
+            width.append(np.full(whole.sum(), size))
+            ids.append(known_ids[at[whole]])
+            score.append(known_scores[at[whole]])
         odd = np.flatnonzero(~single)  # letters that fall back to bytes: the id is minus the code point, less one
         points = letters[odd].astype(np.int64)
         n_bytes = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
@@ -92,7 +91,7 @@ class Lattice:
         ids, score = np.concatenate([*ids, -points - 1]).astype(np.int64), np.concatenate([*score, n_bytes * pieces.byte_score])
         # an edge leads to a node of the same word or, from its end, nowhere
         left = ends[begin] - begin
-        order = np.lexsort((width, begin))
+        order = np.argsort(begin, kind="stable")  # of runs that are sorted already
         begin, width, ids, score, left = begin[order], width[order], ids[order], score[order], left[order]
         self.edge = ids
         follow = begin + width
@@ -102,7 +101,7 @@ class Lattice:
         degree = np.diff(self.first)
         # log of the summed probability of all ways from a node to its word's end, the nodes nearest the end first
         beta = np.zeros(n + 1)
-        by_left = np.lexsort((begin, left))
+        by_left = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 65536 else left, kind="stable")
         level_cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(left[by_left]) != 0])), len(by_left)) if len(by_left) else np.zeros(1, int)
         for a, b in zip(level_cuts[:-1].tolist(), level_cuts[1:].tolist(), strict=True):
             e = by_left[a:b]
@@ -116,25 +115,20 @@ class Lattice:
         p = np.exp(self.log_p)
         widest = int(degree.max()) if n else 1
         rank = np.arange(len(begin)) - self.first[begin]
-        each = np.zeros((n, widest))
-        each[begin, rank] = p
+        each = np.zeros((widest, n))
+        each[rank, begin] = p
         # mass of a node's other edges, summed directly: one minus p would lose what is small
-        others = np.zeros(len(begin))
-        ahead, behind = np.zeros(n), np.zeros(n)
         before, after = np.zeros_like(each), np.zeros_like(each)
-        for d in range(widest):
-            before[:, d] = ahead
-            ahead = ahead + each[:, d]
-            after[:, widest - 1 - d] = behind
-            behind = behind + each[:, widest - 1 - d]
-        others = (before + after)[begin, rank]
+        for d in range(1, widest):
+            np.add(before[d - 1], each[d - 1], out=before[d])
+            np.add(after[widest - d], each[widest - d], out=after[widest - d - 1])
         with np.errstate(divide="ignore"):
-            self.log_others = np.log(others)
+            self.log_others = np.log((before + after)[rank, begin])
         del after
         before += each
-        self.upto = np.full((n, widest), 2.0)
-        self.upto[begin, rank] = before[begin, rank]
-        self.upto[np.arange(n), degree - 1] = 1.0
+        before[np.arange(widest)[:, None] >= degree[None, :]] = 2.0
+        before[degree - 1, np.arange(n)] = 1.0
+        self.upto = np.ascontiguousarray(before.T)
 
     def pick(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each node, as probable as what lies behind it."""
