@@ -34,7 +34,9 @@ from kadastra.shipping import ship
 DRAWS = 2
 SEED = 20
 #: Characters of text that are walked together.
-CHUNK_CHARS = 400_000
+CHUNK_CHARS = 600_000
+#: Nodes of lattices that a worker keeps.
+KEPT_NODES = 1_200_000
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,6 +137,53 @@ class Lattice:
         return self.first[nodes] + (u[:, None] >= self.upto[nodes]).sum(axis=1)
 
 
+class Store:
+    """Lattices of the words that a worker met first, kept side by side in arrays; those of other words come after them and
+    last for one batch. It has what a Lattice has."""
+
+    def __init__(self, table: PieceTable):
+        self.table, self.known = table, {}
+        self.nodes = self.edges = 0
+        self._first = np.zeros(1, np.int64)
+        self._upto = np.zeros((0, 8))
+        self._per_edge = {k: np.zeros(0, t) for k, t in (("next", np.int64), ("edge", np.int64), ("log_p", float), ("log_others", float))}
+
+    pick = Lattice.pick
+
+    def place(self, words: list[str]) -> np.ndarray:
+        """The first node of each of these distinct words."""
+        start = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        missing = np.flatnonzero(start < 0)
+        new = Lattice([words[i] for i in missing.tolist()], self.table)
+        nodes, edges = self.nodes + len(new.first) - 1, self.edges + len(new.next)
+        self._room(nodes, edges, new.upto.shape[1])
+        self._first[self.nodes : nodes + 1] = new.first + self.edges
+        self._upto[self.nodes : nodes, : new.upto.shape[1]] = new.upto
+        self._upto[self.nodes : nodes, new.upto.shape[1] :] = 2.0
+        for name, own in self._per_edge.items():
+            own[self.edges : edges] = getattr(new, name) if name != "next" else np.where(new.next >= 0, new.next + self.nodes, -1)
+            setattr(self, name, own[:edges])
+        self.first, self.upto = self._first[: nodes + 1], self._upto[:nodes]
+        start[missing] = new.start + self.nodes
+        if nodes <= KEPT_NODES:
+            self.known.update(zip((words[i] for i in missing.tolist()), start[missing].tolist(), strict=True))
+            self.nodes, self.edges = nodes, edges
+        return start
+
+    def _room(self, nodes: int, edges: int, width: int) -> None:
+        if nodes + 1 > len(self._first) or width > self._upto.shape[1]:
+            size, wide = max(nodes + 1, min(2 * len(self._first), KEPT_NODES)), max(width, self._upto.shape[1])
+            first, upto = np.zeros(size, np.int64), np.full((size, wide), 2.0)
+            first[: self.nodes + 1] = self._first[: self.nodes + 1]
+            upto[: self.nodes, : self._upto.shape[1]] = self._upto[: self.nodes]
+            self._first, self._upto = first, upto
+        if edges > len(self._per_edge["next"]):
+            for name, own in self._per_edge.items():
+                grown = np.zeros(max(edges, int(1.5 * len(own))), own.dtype)
+                grown[: self.edges] = own[: self.edges]
+                self._per_edge[name] = grown
+
+
 def _random(key: np.ndarray, *counters) -> np.ndarray:
     """Uniform numbers in (0, 1), a function of the key and the counters alone."""
     x = key.astype(np.uint64)
@@ -159,7 +208,7 @@ class _Path:
         self.edges, self.word, self.cuts, self.before, self.value = edges, word, cuts, before, value
 
 
-def _walk(lattice: Lattice, nodes: np.ndarray, key: np.ndarray, draw: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _walk(lattice: Store, nodes: np.ndarray, key: np.ndarray, draw: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(edges, number of edges of each start) from the start nodes to their words' ends, in order."""
     n = len(nodes)
     live, at, steps = np.arange(n), nodes, []
@@ -180,7 +229,7 @@ def _walk(lattice: Lattice, nodes: np.ndarray, key: np.ndarray, draw: int, word:
     return out, count
 
 
-def draw_batch(texts: list[str | None], keys: np.ndarray, table: PieceTable, draws: int):
+def draw_batch(texts: list[str | None], keys: np.ndarray, store: Store, draws: int):
     """For each text its draws: [(edge ids, log_prob, perturbed, log_inclusion)]."""
     parts = [pre_tokens(t) for t in texts]
     index: dict[str, int] = {}
@@ -193,10 +242,11 @@ def draw_batch(texts: list[str | None], keys: np.ndarray, table: PieceTable, dra
         results[i].append((np.zeros(0, np.int64), 0.0, float(root[i]), 0.0))
     if not len(full):
         return results
-    lattice = Lattice(list(index), table)
+    lattice = store
+    starts = store.place(list(index))
     text = np.repeat(np.arange(len(full)), n_words[full])
     word = np.arange(len(text)) - np.repeat(np.cumsum(n_words[full]) - n_words[full], n_words[full])
-    start, key, bound = lattice.start[which], keys[full], root[full]
+    start, key, bound = starts[which], keys[full], root[full]
 
     def finish(edges, of_text, of_word, open_from, bounds, draw) -> _Path:
         """Log-probabilities up to each edge, and values of what is left aside at edges from open_from on."""
@@ -293,7 +343,7 @@ def row_keys(ids: list[int | None], texts: list[str | None], seed: int) -> np.nd
     return np.array([xxhash.xxh64_intdigest(o.encode("utf-8", "surrogatepass"), seed) for o in own], np.uint64)
 
 
-_TABLES: dict[str, PieceTable] = {}
+_STORES: dict[str, Store] = {}
 
 
 def sample_encodings(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", draws: int = DRAWS, seed: int = SEED, decoded: bool = False) -> DataFrame:
@@ -304,9 +354,10 @@ def sample_encodings(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     names = ["doc_id", "draw", "ids", "log_prob", "perturbed", "log_inclusion", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_path not in _TABLES:
-            _TABLES[model_path] = PieceTable(load(model_path))
-        table = _TABLES[model_path]
+        if model_path not in _STORES:
+            _STORES[model_path] = Store(PieceTable(load(model_path)))
+        store = _STORES[model_path]
+        pieces = store.table.pieces
         for batch in batches:
             doc_ids, at = batch.column(0).to_pylist(), 0
             while at < batch.num_rows:
@@ -315,14 +366,14 @@ def sample_encodings(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                     texts.append(batch.column(1)[at].as_py())
                     chars += len(texts[-1] or "")
                     at += 1
-                drawn = draw_batch(texts, row_keys(doc_ids[first:at], texts, seed), table, draws)
-                flat = [(d, k, to_ids(e, table.pieces), *rest) for d, own in zip(doc_ids[first:at], drawn, strict=True) for k, (e, *rest) in enumerate(own)]
+                drawn = draw_batch(texts, row_keys(doc_ids[first:at], texts, seed), store, draws)
+                flat = [(d, k, to_ids(e, pieces), *rest) for d, own in zip(doc_ids[first:at], drawn, strict=True) for k, (e, *rest) in enumerate(own)]
                 columns = list(zip(*flat, strict=True))
                 sizes = np.cumsum([0, *map(len, columns[2])])
                 lists = pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(np.concatenate(columns[2])))
                 arrays = [pa.array(columns[0], types[0]), pa.array(columns[1], types[1]), lists, *(pa.array(columns[k], types[k]) for k in (3, 4, 5))]
                 if decoded:
-                    arrays.append(pa.array([table.pieces.decode(ids.tolist()) for ids in columns[2]], pa.string()))
+                    arrays.append(pa.array([pieces.decode(ids.tolist()) for ids in columns[2]], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -35,7 +35,7 @@ def every_way(text, pieces):
 @pytest.mark.parametrize("text", ["the cat", "ab é", "a\nb c", "한"])
 def test_draws_follow_the_distribution(text):
     pieces = load(PATH)
-    table = s.PieceTable(pieces)
+    table = s.Store(s.PieceTable(pieces))
     ways = every_way(text, pieces)
     n = 4000
     drawn = s.draw_batch([text] * n, np.arange(n, dtype=np.uint64) * np.uint64(7919), table, 3)
@@ -59,10 +59,23 @@ def test_draws_follow_the_distribution(text):
     assert abs(estimate - 1) < 0.1
 
 
+@pytest.mark.parametrize("kept", [0, 30, 10**6])
+def test_kept_lattices_change_nothing(monkeypatch, kept):
+    monkeypatch.setattr(s, "KEPT_NODES", kept)
+    table = s.PieceTable(load(PATH))
+    store = s.Store(table)
+    batches = [["the cat sat", "한국어 x", None], ["the dog sat on the cat", "zz " * 5], ["", "the cat 🙂 internationalization dog"]]
+    for texts in batches:
+        keys = np.arange(len(texts), dtype=np.uint64)
+        kept_, fresh = s.draw_batch(texts, keys, store, 2), s.draw_batch(texts, keys, s.Store(table), 2)
+        for a, b in zip(kept_, fresh):
+            assert [(x[0].tolist(), x[1:]) for x in a] == [(x[0].tolist(), x[1:]) for x in b]
+
+
 def test_few_segmentations_are_all_drawn():
     pieces = load(PATH)
     ways = every_way("ab", pieces)
-    own = s.draw_batch(["ab"], np.array([5], np.uint64), s.PieceTable(pieces), 50)[0]
+    own = s.draw_batch(["ab"], np.array([5], np.uint64), s.Store(s.PieceTable(pieces)), 50)[0]
     assert {tuple(s.to_ids(e, pieces).tolist()) for e, *_ in own} == set(ways)
     assert all(li == 0 for *_, li in own)
 
