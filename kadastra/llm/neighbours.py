@@ -2,10 +2,11 @@
 
 Equal vectors are one node, so a vector that a third of all rows share is one node too. A first graph joins nodes that
 several random hyperplane trees put into one leaf; a leaf has at most LEAF nodes, as leaves are stretches of a sorted order.
-NN-descent then improves it: in each round, neighbours of a neighbour become candidates. A node sends its neighbours and its
-reverse neighbours (at most NEIGHBOURS of each, the best) to one another by Spark joins, where each node keeps its best
-NEIGHBOURS. It ends after ROUNDS rounds, or when under STILL of the links change. Queries walk the graph greedily: from
-their entry nodes, all neighbours of the best nodes found so far are scored in a join, until the best no longer change.
+NN-descent then improves it: in each round, neighbours of a neighbour become candidates. Spark joins bring the neighbours and
+reverse neighbours (at most NEIGHBOURS of each, the best) of a block of close nodes together, where they are introduced to
+one another and each keeps its best NEIGHBOURS. It ends after ROUNDS rounds, or when under STILL of the links change.
+Queries walk the graph greedily: from their entry nodes, the neighbours of the best EXPANDED nodes found and not yet expanded
+are scored in a join, until none of the best BEAM is left to expand, or for HOPS rounds.
 
 The found nodes become rows again: a node stands for its rows with the smallest ids, as many as can be asked for.
 
@@ -31,14 +32,16 @@ from kadastra.llm.common import cut
 from kadastra.shipping import ship
 
 NEIGHBOURS = 24
-TREES = 6
+TREES = 4
 #: Most nodes of a leaf: the bound of what is compared all with all.
 LEAF = 256
 ROUNDS = 3
 STILL = 0.01
 #: Nodes that a search keeps, and the rounds it may take.
 BEAM = 48
-HOPS = 6
+#: Nodes of a search that are expanded in one round, the best first.
+EXPANDED = 8
+HOPS = 4
 SEED = 11
 
 
@@ -98,9 +101,9 @@ def _keep_best(links: DataFrame, k: int, key: str = "node") -> DataFrame:
     return links.dropDuplicates([key, "other"]).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
 
 
-def _first_graph(nodes: DataFrame, dims: int, count: int, k: int) -> DataFrame:
-    """Links inside the leaves of random trees. A leaf is a stretch of the nodes sorted by their sides of the tree's
-    hyperplanes and, among equals, by their distance from the last one; it has at most LEAF nodes."""
+def _trees(nodes: DataFrame, dims: int, count: int) -> DataFrame:
+    """(tree, block, node, v): the nodes of each random tree in stretches of at most LEAF, which overlap by half so that no
+    boundary parts close nodes in every tree. v is in single precision, which is enough to build a graph."""
     depth = max(0, int(np.ceil(np.log2(max(1, count) / (LEAF / 2)))))
     rng = np.random.default_rng(SEED)
     planes = rng.standard_normal((TREES, min(depth, 48) + 1, dims))
@@ -108,94 +111,97 @@ def _first_graph(nodes: DataFrame, dims: int, count: int, k: int) -> DataFrame:
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1))
+            small = batch.column(1).cast(pa.list_(pa.float32()))
             for tree in range(TREES):
                 z = x @ planes[tree].T
                 code = np.zeros(len(x), np.int64)
                 for level in range(planes.shape[1] - 1):
                     # boundaries of one Gray code, so that neighbours in the order are neighbours in space
                     code = code * 2 + ((z[:, level] > 0) ^ (code & 1).astype(bool))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(code), pa.array(z[:, -1]), batch.column(0), batch.column(1)], names=["tree", "code", "z", "node", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(code), pa.array(z[:, -1]), batch.column(0), small], names=["tree", "code", "z", "node", "v"])
 
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, ids, vectors = None, [], []
-
-        def close():
-            node, x = np.array(ids, np.int64), np.stack(vectors)
-            score = x @ x.T
-            np.fill_diagonal(score, -np.inf)
-            m = min(k, len(node) - 1)
-            near = np.argpartition(-score, m - 1, axis=1)[:, :m]
-            return _links(np.repeat(node, m), node[near.ravel()], np.take_along_axis(score, near, axis=1).ravel())
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        part, seen, tree = TaskContext.get().partitionId() << 32, 0, None
+        half = LEAF // 2
         for batch in batches:
-            x = _matrix(batch.column(4))
-            for i, (t, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if t != tree or len(ids) >= LEAF:
-                    if len(ids) > 1:
-                        yield close()
-                    # leaves overlap by half, so that no boundary parts close nodes in every leaf
-                    half = LEAF // 2 if t == tree else 0
-                    tree, ids, vectors = t, ids[len(ids) - half :] if half else [], vectors[len(vectors) - half :] if half else []
-                ids.append(node)
-                vectors.append(x[i])
-        if len(ids) > 1:
-            yield close()
-
-    placed = nodes.mapInArrow(sides, "tree int, code long, z double, node long, v array<double>")
+            for t, i in zip(batch.column(0).to_pylist(), range(batch.num_rows), strict=True):
+                if t != tree:
+                    seen, tree = -(-seen // half) * half + LEAF, t
+                here = pa.array([part + seen // half, part + seen // half - 1], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([t, t], pa.int32()), here, batch.column(3).take([i, i]), batch.column(4).take([i, i])], names=["tree", "block", "node", "v"])
+                seen += 1
+
+    placed = nodes.mapInArrow(sides, "tree int, code long, z double, node long, v array<float>")
     ordered = placed.repartitionByRange("tree", "code", "z", "node").sortWithinPartitions("tree", "code", "z", "node")
-    return _keep_best(ordered.mapInArrow(leaves, _LINK), k)
+    return ordered.mapInArrow(blocks, "tree int, block long, node long, v array<float>")
 
 
-def _descend(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """One round: every node introduces its neighbours and reverse neighbours to one another."""
-    back = _keep_best(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "score"), k)
-    around = graph.union(back).select("node", "other").distinct()
-    with_vectors = around.join(nodes.select(F.col("node").alias("other"), "v"), "other")
+def _meet(k: int):
+    """All members of a block are compared with one another; each keeps its k best. Rows (block, node, v) come sorted by block."""
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by node; a node has at most 2k rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, vectors, waiting, size = None, [], [], [], 0
 
         def close():
-            node, x = np.array(ids, np.int64), np.stack(vectors)
-            score = x @ x.T
-            np.fill_diagonal(score, -np.inf)
+            node, x = np.array(ids, np.int64), np.stack(vectors).astype(np.float32)
             m = min(k, len(node) - 1)
-            near = np.argpartition(-score, m - 1, axis=1)[:, :m]
-            return np.repeat(node, m), node[near.ravel()], np.take_along_axis(score, near, axis=1).ravel()
+            out = []
+            for first in range(0, len(node), 512):
+                score = x[first : first + 512] @ x.T
+                own = np.arange(len(score))
+                score[own, first + own] = -np.inf
+                near = np.argpartition(-score, m - 1, axis=1)[:, :m]
+                out.append((np.repeat(node[first : first + 512], m), node[near.ravel()], np.take_along_axis(score, near, axis=1).ravel().astype(np.float64)))
+            return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
         def flush():
             return _links(*_best(*(np.concatenate(c) for c in zip(*waiting, strict=True)), k))
 
         for batch in batches:
             x = _matrix(batch.column(2))
-            for i, (node, other) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if node != at:
+            for i, (block, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if block != at:
                     if len(ids) > 1:
                         waiting.append(close())
                         size += len(waiting[-1][0])
                         if size > 1_000_000:
                             yield flush()
                             waiting, size = [], 0
-                    at, ids, vectors = node, [], []
-                ids.append(other)
+                    at, ids, vectors = block, [], []
+                ids.append(node)
                 vectors.append(x[i])
         if len(ids) > 1:
             waiting.append(close())
         if waiting:
             yield flush()
 
-    met = with_vectors.select("node", "other", "v").repartition("node").sortWithinPartitions("node").mapInArrow(meet, _LINK)
-    return _keep_best(graph.union(met), k)
+    return run
+
+
+def _descend(graph: DataFrame, vectors: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """One round: the neighbours and reverse neighbours of a block's nodes, at most 2k for each of its LEAF nodes, are
+    introduced to one another. A block's nodes are close, so they share most of these, and each vector travels once a block."""
+    back = _keep_best(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "score"), k)
+    around = graph.union(back).select("node", "other").join(blocks, "node").select("block", "other")
+    met = around.union(blocks.select("block", F.col("node").alias("other"))).distinct().join(vectors.withColumnRenamed("node", "other"), "other")
+    found = met.select("block", "other", "v").repartition("block").sortWithinPartitions("block").mapInArrow(_meet(k), _LINK)
+    return _keep_best(graph.union(found), k)
 
 
 def build_graph(nodes: DataFrame, dims: int, k: int = NEIGHBOURS) -> DataFrame:
     """(node, other, score): each node's k best neighbours found."""
     ship(nodes.sparkSession)
     count = nodes.count()
-    graph = cut(_first_graph(nodes, dims, count, k))
-    for _ in range(ROUNDS if count > LEAF else 0):
-        better = cut(_descend(graph, nodes, k))
+    trees = cut(_trees(nodes, dims, count))
+    first = trees.select("block", "node", "v", "tree").repartition("tree", "block").sortWithinPartitions("tree", "block").select("block", "node", "v")
+    graph = cut(_keep_best(first.mapInArrow(_meet(k), _LINK), k))
+    vectors = nodes.select("node", F.col("v").cast("array<float>").alias("v"))
+    for number in range(ROUNDS if count > LEAF else 0):
+        # every second block of the tree holds each node once
+        own = trees.filter((F.col("tree") == number % TREES) & (F.col("block") % 2 == 0)).select("block", "node")
+        better = cut(_descend(graph, vectors, own, k))
         changed = better.join(graph, ["node", "other"], "left_anti").count()
         graph = better
         if changed < STILL * k * count:
@@ -215,10 +221,13 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = B
     # state: 0 not yet expanded, 1 expanded
     found = cut(queries.join(vectors, F.col("node") == F.col("other")).select("query", "other", _dot("q", "v").alias("score"), F.lit(0).alias("state")))
     for _ in range(HOPS):
-        fresh = found.filter("state = 0").select("query", F.col("other").alias("node")).join(steps, "node").select("query", "other").distinct()
+        order = Window.partitionBy("query").orderBy(F.col("state"), F.desc("score"), "other")
+        ranked = found.withColumn("r", F.row_number().over(order))
+        going = (F.col("state") == 0) & (F.col("r") <= EXPANDED)
+        fresh = ranked.filter(going).select("query", F.col("other").alias("node")).join(steps, "node").select("query", "other").distinct()
         fresh = fresh.join(found.select("query", "other"), ["query", "other"], "left_anti")
         scored = fresh.join(vectors, "other").join(asked, "query").select("query", "other", _dot("q", "v").alias("score"), F.lit(0).alias("state"))
-        everything = found.withColumn("state", F.lit(1)).union(scored)
+        everything = ranked.withColumn("state", F.when(going, 1).otherwise(F.col("state"))).drop("r").union(scored)
         after = cut(_keep_best(everything, beam, "query"))
         more = after.filter("state = 0").limit(1).count()
         found = after
