@@ -23,7 +23,7 @@ def hex_with_ring(cells: DataFrame) -> DataFrame:
     """Each cell with the counts and weighted mean of its six neighbours."""
     around = cells.select("q", "r", F.explode(geo.ring(F.col("q"), F.col("r"))).alias("o"))
     other = cells.select(F.col("q").alias("oq"), F.col("r").alias("orr"), F.col("n").alias("on"), F.col("avg_ppm2").alias("op"))
-    ring = around.join(other, (F.col("o.q") == F.col("oq")) & (F.col("o.r") == F.col("orr"))).groupBy("q", "r").agg(F.sum("on").alias("ring_n"), F.round(F.sum(F.col("on") * F.col("op")) / F.sum("on"), 4).alias("ring_ppm2"))
+    ring = around.join(other, (F.col("o.q") == F.col("oq")) & (F.col("o.r") == F.col("orr"))).groupBy("q", "r").agg(F.sum("on").alias("ring_n"), F.round(F.sum(F.col("on") * F.col("op")) / F.sum("on"), 9).alias("ring_ppm2"))
     return cells.join(ring, ["q", "r"], "left").withColumn("ring_n", F.coalesce("ring_n", F.lit(0)))
 
 

@@ -51,7 +51,7 @@ def ag_hex_stats(m):
 
 @book.query(
     "ag_hex_ring",
-    f"""{_HEXSTATS}, o AS (SELECT * FROM (VALUES (1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1)) t(a, b)), g AS (SELECT c.q, c.r, sum(d.n) AS k, round(sum(d.n * d.avg_ppm2) / sum(d.n), 4) AS p FROM c, o JOIN c d ON d.q = c.q + a AND d.r = c.r + b GROUP BY 1, 2)
+    f"""{_HEXSTATS}, o AS (SELECT * FROM (VALUES (1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1)) t(a, b)), g AS (SELECT c.q, c.r, sum(d.n) AS k, round(sum(d.n * d.avg_ppm2) / sum(d.n), 9) AS p FROM c, o JOIN c d ON d.q = c.q + a AND d.r = c.r + b GROUP BY 1, 2)
  SELECT c.*, CAST(coalesce(k, 0) AS BIGINT) AS ring_n, p AS ring_ppm2 FROM c LEFT JOIN g ON c.q = g.q AND c.r = g.r""",
 )
 def ag_hex_ring(m):
