@@ -181,9 +181,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: 64-bit words of the long fingerprints.
 LONG = 4
-#: Samples of BITS_SAMPLED bits that make candidates of what agrees in all of them.
-SAMPLES = 48
-BITS_SAMPLED = 18
+#: Samples of bits that make candidates of what agrees in all of them.
+SAMPLES = 64
+#: Bits of a sample beyond the logarithm of the number of fingerprints, so that few meet by chance however many there are.
+SPARE_BITS = 3
 
 
 def long_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -213,14 +214,15 @@ def long_links(distinct: DataFrame, bits: int) -> DataFrame:
     """(a, b): links between long fingerprints (no, fp) by their numbers. Candidates agree in a sample of bits. A bucket of
     more than BUCKET members is dealt out to several tasks, each of which also gets the bucket's first member."""
     rng = np.random.default_rng(64)
-    picks = np.stack([rng.permutation(64 * LONG)[:BITS_SAMPLED] for _ in range(SAMPLES)])
+    sampled = min(48, max(14, math.ceil(math.log2(distinct.count() + 1)) + SPARE_BITS))
+    picks = np.stack([rng.permutation(64 * LONG)[:sampled] for _ in range(SAMPLES)])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             flags = np.unpackbits(fps, axis=1, bitorder="little")
             for number, pick in enumerate(picks):
-                key = flags[:, pick] @ (1 << np.arange(BITS_SAMPLED, dtype=np.int64)) + (number << BITS_SAMPLED)
+                key = flags[:, pick] @ (1 << np.arange(sampled, dtype=np.int64)) + (number << sampled)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key)], names=["no", "key"])
 
     def in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
