@@ -181,18 +181,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: 64-bit words of the long fingerprints.
 LONG = 4
-#: Samples of bits that make candidates of what agrees in all of them.
-SAMPLES = 64
-#: Bits of a sample beyond the logarithm of the number of fingerprints, so that few meet by chance however many there are.
-SPARE_BITS = 3
-
-
-def long_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, fp): LONG words of 64 bits, from as many mixes of each shingle hash."""
+#: Bands of least shingle hashes, and the hashes of each. Two sets of Jaccard similarity 0.8 share none of the bands with a
+#: chance of (1 - 0.8^BAND)^BANDS = 0.000005, however many documents there are.
+BANDS, BAND = 40, 6
+#: Standard deviations that the fingerprints' filter allows above the mean distance of a pair of the similarity asked for.
+DEVIATIONS = 4.5
+#: Sets of up to so many shingles pass the fingerprints' filter, as majorities of so few hashes say too little.
+FEW = 8
+
+
+def sketches(rows: DataFrame, width: int) -> DataFrame:
+    """Of (doc_id, text): (doc_id, sid, n, fp, keys): hash and size of the set of distinct shingles, its fingerprint of LONG words, from as
+    many mixes of each shingle hash, and the keys of its bands."""
     mixes = np.array([xxhash.xxh64_intdigest(str(w).encode(), 3) | 1 for w in range(LONG)], dtype=np.uint64)
+    orders = np.array([xxhash.xxh64_intdigest(str(i).encode(), 5) | 1 for i in range(BANDS * BAND)], dtype=np.uint64)
 
-    def one(text: str | None) -> bytes:
-        hashes = shingle_hashes(text, width)
+    def majority(hashes: np.ndarray) -> bytes:
         counts = np.zeros(64 * LONG, np.int64)
         for at in range(0, len(hashes), 16384):
             mixed = hashes[at : at + 16384, None] * mixes[None, :]
@@ -202,69 +206,133 @@ def long_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -
             counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
 
+    def bands(hashes: np.ndarray) -> list[int]:
+        if not len(hashes):
+            return []
+        least = np.full(len(orders), 2**64 - 1, np.uint64)
+        for at in range(0, len(hashes), 512):
+            np.minimum(least, (hashes[at : at + 512, None] * orders[None, :]).min(axis=0), out=least)
+        raw = least.tobytes()
+        return [xxhash.xxh64_intdigest(raw[8 * BAND * b : 8 * BAND * (b + 1)], b) - 2**63 for b in range(BANDS)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(t.as_py()) for t in batch.column(1)], pa.binary())], names=["doc_id", "fp"])
+            sids, sizes, fps, keys = [], [], [], []
+            for text in batch.column(1):
+                hashes = np.sort(shingle_hashes(text.as_py(), width))
+                sids.append(xxhash.xxh64_intdigest(hashes.tobytes(), 9) - 2**63)
+                sizes.append(len(hashes))
+                fps.append(majority(hashes))
+                keys.append(bands(hashes))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "sid", "n", "fp", "keys"]
+            )
+
+    ship(rows.sparkSession)
+    return rows.mapInArrow(run, "doc_id long, sid long, n int, fp binary, keys array<long>")
+
+
+def _may_be(sizes: np.ndarray, fps: np.ndarray, table: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Places of the pairs (x, y) that sizes, pivot distances and fingerprints don't exclude from being of the similarity.
+
+    Sets of Jaccard similarity s have vectors of cosine about 2s / (1 + s), and so differ in an arccos(cosine) / pi share of
+    their fingerprints' bits."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = int(64 * LONG * share + DEVIATIONS * math.sqrt(64 * LONG * share * (1 - share)))
+    low, high = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
+    at = np.flatnonzero(low >= similarity * high - 1e-9)
+    few = high[at] <= FEW
+    small, at = at[few], at[~few]
+    for first in range(0, PIVOTS, 8):
+        at = at[(np.abs(table[x[at], first : first + 8] - table[y[at], first : first + 8]) <= bits).all(axis=1)]
+    at = at[np.bitwise_count(fps[x[at]] ^ fps[y[at]]).sum(axis=1) <= bits]
+    return np.concatenate([small, at])
 
-    ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp binary")
 
+def _words(fps: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(fps.to_pylist()), np.uint64).reshape(len(fps), LONG)
 
-def long_links(distinct: DataFrame, bits: int) -> DataFrame:
-    """(a, b): links between long fingerprints (no, fp) by their numbers. Candidates agree in a sample of bits. A bucket of
-    more than BUCKET members is dealt out to several tasks, each of which also gets the bucket's first member."""
-    rng = np.random.default_rng(64)
-    sampled = min(48, max(14, math.ceil(math.log2(distinct.count() + 1)) + SPARE_BITS))
-    picks = np.stack([rng.permutation(64 * LONG)[:sampled] for _ in range(SAMPLES)])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _filtered(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that may be of the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            flags = np.unpackbits(fps, axis=1, bitorder="little")
-            for number, pick in enumerate(picks):
-                key = flags[:, pick] @ (1 << np.arange(sampled, dtype=np.int64)) + (number << sampled)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key)], names=["no", "key"])
+            n = batch.num_rows
+            sizes = np.concatenate([batch.column(2).to_numpy(), batch.column(4).to_numpy()])
+            fps = np.concatenate([_words(batch.column(3)), _words(batch.column(5))])
+            at = pa.array(_may_be(sizes, fps, pivot_table(fps), np.arange(n), np.arange(n, 2 * n), similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    def in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    left = distinct.select(F.col("no").alias("a"), F.col("n").alias("n_a"), F.col("fp").alias("fp_a"))
+    right = distinct.select(F.col("no").alias("b"), F.col("n").alias("n_b"), F.col("fp").alias("fp_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "fp_a", "n_b", "fp_b").mapInArrow(run, "a long, b long").distinct()
+
+
+def _across(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of one bucket's members of different roots that may be of the similarity, without those of its first member.
+
+    A bucket of more than BUCKET members is dealt out to parts, each searched in one task.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, now = [], None
 
         def close():
-            fps = np.frombuffer(b"".join(f for _, f in kept), np.uint64).reshape(len(kept), -1)
-            numbers = np.array([n for n, _ in kept], np.int64)
-            a, b = forest(fps, pivot_table(fps), bits)
-            return pa.RecordBatch.from_arrays([pa.array(numbers[a]), pa.array(numbers[b])], names=["a", "b"])
+            no, size, root, first, part = (np.array(c, np.int64) for c in zip(*[(k[0], k[1], k[3], k[4], k[5]) for k in kept], strict=True))
+            fps = np.frombuffer(b"".join(k[2] for k in kept), np.uint64).reshape(len(kept), LONG)
+            table = pivot_table(fps)
+            other = int((part == part[0]).sum())  # members from here on are of the second part
+            left, right, held = [], [], 0
+            for x in range(other if other < len(no) else len(no) - 1):
+                y = np.arange(other if other < len(no) else x + 1, len(no))
+                y = y[(root[y] != root[x]) & (no[y] != first[y]) & (no[x] != first[x])]
+                y = y[_may_be(size, fps, table, np.full(len(y), x), y, similarity)]
+                left.append(np.minimum(no[x], no[y]))
+                right.append(np.maximum(no[x], no[y]))
+                held += len(y)
+                if held > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+                    left, right, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
         for batch in batches:
-            for no, fp, *key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != now:
+            for *row, key, i, j in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j) != now:
                     if len(kept) > 1:
-                        yield close()
-                    kept, now = [], key
-                kept.append((no, fp))
+                        yield from close()
+                    kept, now = [], (key, i, j)
+                kept.append(row)
         if len(kept) > 1:
-            yield close()
+            yield from close()
 
-    keys = distinct.mapInArrow(keyed, "no long, key long")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("no").alias("first")).filter("n > 1")
-    shared = keys.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / F.lit(BUCKET)).cast("int"))
-    part = F.when(F.col("no") == F.col("first"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("no"), F.col("parts")).cast("int")))
-    dealt = shared.select("no", "key", F.explode(part).alias("part")).join(distinct, "no")
-    return dealt.select("no", "fp", "key", "part").repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(in_bucket, "a long, b long")
+    dealt = members.withColumn("parts", F.ceil(F.col("times") / F.lit(BUCKET)).cast("int")).withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int"))
+    tasks = dealt.select("no", "n", "fp", "root", "first", "part", "key", F.col("part").alias("i"), F.col("part").alias("j"))
+    return tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of documents that a chain of near duplicates joins to a smaller id.
 
-    Shingle sets of Jaccard similarity s have vectors of cosine about 2s / (1 + s), and so differ in an arccos(cosine) / pi
-    share of their fingerprints' bits; as that is an estimate, one standard deviation is allowed above it. Texts without
-    words are near duplicates of one another. Rows with a null id take no part; rows that share an id are one document.
+    Candidates share a band. First each member of a bucket is compared with the bucket's first; what that joins needs no more
+    comparing, and a bucket with members that are still apart has its pairs of those compared. Texts without words are near
+    duplicates of one another. Rows with a null id take no part; rows that share an id are one document.
     """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = int(64 * LONG * share + math.sqrt(64 * LONG * share * (1 - share)))
-    marked = cut(long_fingerprints(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, width))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("no")).select("no", "fp"))
-    named = marked.join(distinct, "fp").select("doc_id", "no")
-    groups = components(long_links(distinct, bits).union(named.select("doc_id", "no")))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marked = cut(sketches(rows, width))
+    distinct = cut(marked.groupBy("sid").agg(F.min(F.struct("doc_id", "n", "fp", "keys")).alias("d")).select("sid", F.col("d.doc_id").alias("no"), "d.n", "d.fp", "d.keys"))
+    named = marked.select("doc_id", "sid").join(distinct.select("sid", "no"), "sid").select("doc_id", "no")
+    keys = distinct.select("no", F.explode("keys").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("no").alias("first")).filter("times > 1")
+    shared = cut(keys.join(sizes, "key"))
+    stars = shared.filter("no != first").select(F.col("first").alias("a"), F.col("no").alias("b")).distinct()
+    joined = cut(_filtered(stars, distinct, similarity))
+    apart = shared.join(components(joined).withColumnRenamed("node", "no"), "no", "left").withColumn("root", F.coalesce("root", "no"))
+    mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    members = apart.join(mixed, "key").join(distinct.select("no", "n", "fp"), "no")
+    links = joined.union(_across(members, similarity))
+    groups = components(links.union(named))
     return groups.filter("node != root").select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
