@@ -190,6 +190,11 @@ DEVIATIONS = 4.5
 FEW = 8
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Each distinct shingle hash once, in order."""
+    return np.unique(shingle_hashes(text, width))
+
+
 def sketches(rows: DataFrame, width: int) -> DataFrame:
     """Of (doc_id, text): (doc_id, sid, n, fp, keys): hash and size of the set of distinct shingles, its fingerprint of LONG words, from as
     many mixes of each shingle hash, and the keys of its bands."""
@@ -219,7 +224,7 @@ def sketches(rows: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             sids, sizes, fps, keys = [], [], [], []
             for text in batch.column(1):
-                hashes = np.sort(shingle_hashes(text.as_py(), width))
+                hashes = shingle_set(text.as_py(), width)
                 sids.append(xxhash.xxh64_intdigest(hashes.tobytes(), 9) - 2**63)
                 sizes.append(len(hashes))
                 fps.append(majority(hashes))
@@ -312,10 +317,30 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
     return tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part").mapInArrow(compare, "a long, b long").distinct()
 
 
+def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """(no, hashes): the distinct shingles of each row of (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                texts = batch.column(1)[at : at + 256]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], pa.array([shingle_set(t.as_py(), width).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["no", "hashes"])
+
+    return rows.mapInArrow(run, "no long, hashes array<long>")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have at least the Jaccard similarity."""
+    left, right = sets.select(F.col("no").alias("a"), F.col("hashes").alias("s")), sets.select(F.col("no").alias("b"), F.col("hashes").alias("t"))
+    common = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("s", "t")).alias("common"), (F.size("s") + F.size("t")).alias("sizes"))
+    return common.filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common")) - 1e-9).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of documents that a chain of near duplicates joins to a smaller id.
 
-    Candidates share a band. First each member of a bucket is compared with the bucket's first; what that joins needs no more
+    Two documents are near duplicates if their sets of distinct shingles have at least the Jaccard similarity: fingerprints only
+    discard pairs, and those that are left have their sets compared. Candidates share a band. First each member of a bucket is compared with the bucket's first; what that joins needs no more
     comparing, and a bucket with members that are still apart has its pairs of those compared. Texts without words are near
     duplicates of one another. Rows with a null id take no part; rows that share an id are one document.
     """
@@ -326,12 +351,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = distinct.select("no", F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("no").alias("first")).filter("times > 1")
     shared = cut(keys.join(sizes, "key"))
+    sets = cut(shingle_sets(rows.join(shared.select(F.col("no").alias("doc_id")).distinct(), "doc_id", "left_semi"), width))
     stars = shared.filter("no != first").select(F.col("first").alias("a"), F.col("no").alias("b")).distinct()
-    joined = cut(_filtered(stars, distinct, similarity))
+    joined = cut(_linked(_filtered(stars, distinct, similarity), sets, similarity))
     apart = shared.join(components(joined).withColumnRenamed("node", "no"), "no", "left").withColumn("root", F.coalesce("root", "no"))
     mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     members = apart.join(mixed, "key").join(distinct.select("no", "n", "fp"), "no")
-    links = joined.union(_across(members, similarity))
+    links = joined.union(_linked(_across(members, similarity), sets, similarity))
     groups = components(links.union(named))
     return groups.filter("node != root").select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 

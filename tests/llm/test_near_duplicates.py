@@ -57,3 +57,11 @@ def test_pairs_just_above_are_found(spark):
     rng = random.Random(1)
     rows = [(2 * i + k, text) for i in range(150) for k, text in enumerate(at_least(rng, 0.80, 0.84))]
     assert kept(spark, rows) == [2 * i for i in range(150)]
+
+
+def test_what_is_less_alike_stays(spark):
+    rng = random.Random(2)
+    rows = [(2 * i + k, text) for i in range(100) for k, text in enumerate(at_least(rng, 0.70, 0.79))]
+    filler = "w " * 120
+    rows += [(1000 + i, filler + " ".join(f"u{rng.randrange(10**6)}" for _ in range(60))) for i in range(12)]
+    assert kept(spark, rows) == sorted(d for d, _ in rows)
