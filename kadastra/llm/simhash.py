@@ -277,7 +277,8 @@ def _filtered(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataF
 def _across(members: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs of one bucket's members of different roots that may be of the similarity, without those of its first member.
 
-    A bucket of more than BUCKET members is dealt out to parts, each searched in one task.
+    A bucket of more than BUCKET members is dealt out to parts; a task compares two parts, or a part with itself, so that no pair is
+    left out.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +314,8 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
             yield from close()
 
     dealt = members.withColumn("parts", F.ceil(F.col("times") / F.lit(BUCKET)).cast("int")).withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int"))
-    tasks = dealt.select("no", "n", "fp", "root", "first", "part", "key", F.col("part").alias("i"), F.col("part").alias("j"))
+    whole = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tasks = whole.select("no", "n", "fp", "root", "first", "part", "key", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"))
     return tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part").mapInArrow(compare, "a long, b long").distinct()
 
 

@@ -65,3 +65,22 @@ def test_what_is_less_alike_stays(spark):
     filler = "w " * 120
     rows += [(1000 + i, filler + " ".join(f"u{rng.randrange(10**6)}" for _ in range(60))) for i in range(12)]
     assert kept(spark, rows) == sorted(d for d, _ in rows)
+
+
+def test_two_families_in_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(204)]
+    other = base[:180] + [f"o{i}" for i in range(24)]
+    rows = [(2 * i + k, changed(rng, words, 2)) for i in range(60) for k, words in enumerate((base, other))]
+    rows += [(500 + i, changed(rng, changed(rng, base, 3).split(), 3)) for i in range(40)]
+    rng.shuffle(rows)
+    assert kept(spark, rows) == leaders(rows)
+
+
+def test_parts_of_a_bucket_all_meet(spark, monkeypatch):
+    """Members that are far from the bucket's first, each near one other that is dealt to any part."""
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    sketch = simhash.sketches(spark.createDataFrame([(0, "far " * 3 + " ".join(f"a{i}" for i in range(99)))] + [(1 + i, f"x{i // 2} " * 2 + " ".join(f"b{i // 2}-{k}" for k in range(99))) for i in range(40)], COLUMNS), 5)
+    members = sketch.selectExpr("doc_id as no", "n", "fp", "doc_id as root", "0L as first", "41L as times", "7L as key")
+    assert sorted((r.a, r.b) for r in simhash._across(members, 0.8).collect()) == [(1 + i, 2 + i) for i in range(0, 40, 2)]
