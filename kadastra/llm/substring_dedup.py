@@ -7,7 +7,8 @@ smaller id. Windows are judged on the input, never on what is left.
    neighbouring windows mostly share one. Only anchors that occur in two documents can belong to a recurring window.
    Anchors that recur inside a batch are settled there; of those only one goes on, so that a passage that a third of
    all documents share costs one row a batch.
-2. Confirm. The stretches of text under such anchors are dealt out by anchor. Each anchor's shard compares words, not
+2. Confirm. The stretches of text under such anchors are dealt out by anchor; those under an anchor of more than HOT documents
+   are cut into single windows, which are dealt to a part for each HOT documents by all their words, as each document may give another stretch there. Each anchor's shard compares words, not
    hashes: it keeps windows that two stretches share, with their smallest id, and compiles them into an Aho-Corasick
    automaton over word numbers.
 3. Locate. The shard streams its stretches, which hold all occurrences of its windows in all documents, through the
@@ -41,6 +42,8 @@ WINDOW = 13
 ANCHOR = 6
 #: Characters of text whose words are held at a time.
 CHUNK_CHARS = 2_000_000
+#: Documents from which an anchor is hot: its windows are dealt out one by one.
+HOT = 2048
 
 _MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(ANCHOR)], dtype=np.uint64)
 _BASE = 0x100000001B3
@@ -94,11 +97,13 @@ class Windows:
         inside = np.flatnonzero(text[:n] == text[window - 1 :])
         self.at, self.text, self.anchor = inside, text[inside], least[inside].view(np.int64)
 
-    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
-        """First window of each run of windows of one text under one anchor, and the run's end."""
+    def stretches(self, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """First window of each run of windows of one text under one anchor, and the run's end; under a hot anchor each window is alone."""
         n = len(self.at)
         new = np.ones(n, bool)
         new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.text[1:] != self.text[:-1])
+        if hot is not None and len(hot):
+            new |= np.isin(self.anchor, hot)
         first = np.flatnonzero(new)
         return first, np.append(first[1:], n)
 
@@ -111,8 +116,9 @@ def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[range]:
     return (range(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a)
 
 
-def _recurring_anchors(rows: DataFrame, window: int) -> DataFrame:
-    """(doc_id, anchors): per document, the anchors that at least two documents have."""
+def _recurring_anchors(rows: DataFrame, window: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, anchors): per document, the anchors that at least two documents have. Also the hot anchors, at most one for each
+    HOT anchors of documents, with the parts that each is dealt to."""
     once, often, settled = 0, 1, 2
     shards = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -137,7 +143,7 @@ def _recurring_anchors(rows: DataFrame, window: int) -> DataFrame:
             size = np.diff(np.append(first, len(anchor)))
             many = np.repeat(size > 1, size)
             # anchors in one document of the batch ask; those in several are settled, and one tells the other batches
-            for kind, a, d in ((once, anchor[~many], doc[~many]), (often, anchor[first[size > 1]], doc[first[size > 1]]), (settled, anchor[many], doc[many])):
+            for kind, a, d in ((once, anchor[~many], doc[~many]), (often, anchor[first[size > 1]], size[size > 1]), (settled, anchor[many], doc[many])):
                 shard = (a if kind != settled else d) % shards
                 order = np.argsort(shard, kind="stable")
                 shard, a, d = shard[order], a[order], d[order]
@@ -148,7 +154,7 @@ def _recurring_anchors(rows: DataFrame, window: int) -> DataFrame:
                         pa.array(np.full(len(cuts), kind, np.int32)),
                         pa.array(shard[cuts].astype(np.int32)),
                         pa.array([a[b:e].tobytes() for b, e in zip(cuts, ends, strict=True)], pa.binary()),
-                        pa.array([d[b:e].tobytes() if kind != often else b"" for b, e in zip(cuts, ends, strict=True)], pa.binary()),
+                        pa.array([d[b:e].astype(np.int64).tobytes() for b, e in zip(cuts, ends, strict=True)], pa.binary()),
                     ],
                     names=["kind", "shard", "anchors", "docs"],
                 )
@@ -162,6 +168,9 @@ def _recurring_anchors(rows: DataFrame, window: int) -> DataFrame:
                 docs[kind].append(np.frombuffer(d, np.int64))
         none = [np.zeros(0, np.int64)]
         anchor, doc, other = np.concatenate(told[once] + none), np.concatenate(docs[once] + none), np.concatenate(told[often] + none)
+        each, which = np.unique(np.concatenate([anchor, other]), return_inverse=True)
+        times = np.bincount(which, weights=np.concatenate([np.ones(len(anchor)), *docs[often]]), minlength=len(each))
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([np.stack([each, times.astype(np.int64)], axis=1)[times > HOT].ravel()], pa.list_(pa.int64()))], names=["doc_id", "anchors"])
         order = np.lexsort((doc, anchor))
         anchor, doc = anchor[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, int)
@@ -176,11 +185,12 @@ def _recurring_anchors(rows: DataFrame, window: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(doc[first]), lists], names=["doc_id", "anchors"])
 
     met = rows.filter("doc_id is not null").mapInArrow(gather, "kind int, shard int, anchors binary, docs binary")
-    told = met.repartition("shard").mapInArrow(answer, "doc_id long, anchors array<long>")
-    return told.groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    told = cut(met.repartition("shard").mapInArrow(answer, "doc_id long, anchors array<long>"))
+    hot = np.array([x for r in told.filter("doc_id is null").select("anchors").collect() for x in r[0]], np.int64).reshape(-1, 2)
+    return told.filter("doc_id is not null").groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("anchors")), {a: -(-n // HOT) for a, n in hot.tolist()}
 
 
-def _stretches(marked: DataFrame, window: int) -> DataFrame:
+def _stretches(marked: DataFrame, hot: dict[int, int], window: int) -> DataFrame:
     """Text under recurring anchors (kind 0), and what is known to be covered inside a batch (kind 1)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +199,7 @@ def _stretches(marked: DataFrame, window: int) -> DataFrame:
             for chunk in _chunks(batch, 1):
                 raws = [_bytes(batch.column(1)[i].as_py()) for i in chunk]
                 seen = Windows(raws, window)
-                first, end = seen.stretches()
+                first, end = seen.stretches(spread)
                 if not len(first):
                     continue
                 lists = batch.column(2)[chunk.start : chunk.stop]
@@ -210,17 +220,19 @@ def _stretches(marked: DataFrame, window: int) -> DataFrame:
                     where[anchor, words].append((ids[chunk.start + text], text_ids[text], word - int(seen.first_word[text])))
                 shards_: dict[tuple[int, int], list[tuple[int, int, int, bytes]]] = defaultdict(list)
                 for (anchor, words), places in where.items():
+                    home = (anchor + (xxhash.xxh64_intdigest(words) % hot[anchor] if anchor in hot else 0)) % shards
                     low = min(p[0] for p in places)
                     for doc_id, text_id, at in places:
                         if doc_id > low:
-                            shards_[1, (doc_id ^ at) % shards].append((doc_id, text_id, at, b"%d" % (words.count(b" ") + 1)))
+                            shards_[1, doc_id % shards].append((doc_id, text_id, at, b"%d" % (words.count(b" ") + 1)))
                         else:
-                            shards_[0, anchor % shards].append((doc_id, text_id, at, words))
+                            shards_[0, home].append((doc_id, text_id, at, words))
                 keys, packed = list(shards_), [_pack(v) for v in shards_.values()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in keys], pa.int32()), pa.array([k for _, k in keys], pa.int32()), pa.array(packed, pa.binary())], names=["kind", "shard", "rows"]
                 )
 
+    spread = np.array(sorted(hot), np.int64)
     shards = 4 * int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return marked.mapInArrow(gather, "kind int, shard int, rows binary")
 
@@ -312,8 +324,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: doc_id, n_words, n_removed, kept (text of the words left, joined by spaces)."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = rows.join(_recurring_anchors(rows, window), "doc_id").select("doc_id", "text", "anchors")
-    covered = cut(_covered(_stretches(marked, window), window).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("at", "n")).alias("spans")))
+    recurring, hot = _recurring_anchors(rows, window)
+    marked = rows.join(recurring, "doc_id").select("doc_id", "text", "anchors")
+    covered = cut(_covered(_stretches(marked, hot, window), window).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("at", "n")).alias("spans")))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

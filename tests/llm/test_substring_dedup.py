@@ -63,3 +63,18 @@ def test_hot_passage_and_long_text(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_edges_of_a_hot_passage_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(sd, "HOT", 20)
+    rng = np.random.default_rng(5)
+    own = lambda: " ".join(f"o{i}" for i in rng.integers(0, 10**6, 15))
+    hot = " ".join(f"h{i}" for i in range(20))
+    rows = [(i, f"{own()} {hot} {own()}") for i in range(300)]
+    seen, of = [], sd._stretches
+    monkeypatch.setattr(sd, "_stretches", lambda *a: seen.append(of(*a)) or seen[-1])
+    assert run(spark, rows) == slow(rows)
+    sizes = {}
+    for r in seen[0].filter("kind = 0").collect():
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + sum(1 for _ in sd._unpack(bytes(r["rows"])))
+    assert len(sizes) == 16 and max(sizes.values()) <= 2 * sum(sizes.values()) / 16
