@@ -20,11 +20,12 @@ first; equal ids keep their rows. An empty table writes no segment. Other column
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kadastra.llm.words import Memory, Ragged, chunks, white_space_words
 from kadastra.shipping import ship
 
 END_ID = 2
@@ -40,14 +42,13 @@ PERCENTILE = 90
 TARGET_IDS = 65_536
 MAGIC = b"PFR1"
 #: Distinct words whose ids a worker remembers before it starts again.
-REMEMBERED = 250_000
+REMEMBERED = 1_000_000
 #: Letters below this code point have no combining forms, and keep their class in all versions of Unicode.
 LATIN = 0x250
 LAST = chr(LATIN)
-#: Characters of text that are encoded together.
-CHUNK_CHARS = 1_000_000
+#: Bytes of text that are encoded together; a longer text is encoded alone.
+CHUNK_BYTES = 8_000_000
 
-_U4 = struct.Struct("<I").pack
 _INDEX = np.dtype([("start", "<u4"), ("low", "<u4"), ("width", "u1"), ("patches", "u1"), ("zero", "<u2")])
 _PATCH = np.dtype([("at", "u1"), ("high", "<u4")])
 
@@ -142,50 +143,81 @@ def _blocks(index: np.ndarray, payload: np.ndarray) -> np.ndarray:
 # ---- encoding
 
 
-class WordEncoder(dict):
-    """Word -> its ids as little-endian u4; a text's ids are those of its words in turn.
-
-    The tokenizer drops white space and never joins what white space parts. A word of Latin letters is one pre-token, and
-    the marks "." and "," after it are another; the library's model splits these directly. All other words go through the
-    whole tokenizer. Words are remembered up to REMEMBERED, and then anew.
+#: What the short cut below presumes of the tokenizer's file. Fixed values.
+SHORT_CUT = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+_MARKS = r"[!-&(-/:;=-@\[-`{-~]*"  # ASCII marks but the apostrophe, which begins endings, and "<", which begins special tokens
+_LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*"
+_PLAIN = re.compile(f"({_MARKS})({_LETTERS})({_MARKS})").fullmatch
+
+
+class WordEncoder:
+    """Texts to ids, by distinct words where the tokenizer's file allows it.
+
+    A tokenizer with the rules in SHORT_CUT drops white space and never joins what white space parts, so that a text's ids are
+    those of its words in turn. A word of Latin letters with marks around it is a pre-token of marks, one of letters and one
+    of marks, which the library's model splits directly; all other words go through the whole tokenizer. What a word gave is
+    remembered, up to REMEMBERED words. A tokenizer with other rules encodes whole texts.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_words = all(rules[k] == v for k, v in SHORT_CUT.items()) and all(t["content"].startswith("<") and not re.search(r"\s", t["content"]) for t in rules["added_tokens"])
         self.model = self.tokenizer.model
         to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {c: to_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x80, LATIN)) if c.isalpha()}
-        self.letters = str.maketrans(self.letters)
-        self.marks = {m: self._whole(m) for m in ".,"}
-        self.split = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
-
-    def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        body, mark = (word[:-1], self.marks[word[-1]]) if word[-1] in self.marks else (word, b"")
-        low = body.lower()
-        if body.isalpha() and (body.isascii() or (max(body) < LAST and low.isalpha() and max(low) < LAST)):
-            ids = self.get(low)
-            if ids is None:
-                ids = self[low] = b"".join([_U4(t.id) for t in self.model.tokenize(low if low.isascii() else low.translate(self.letters))])
-            ids += mark
-        else:
-            ids = self._whole(word)
-        self[word] = ids
-        return ids
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each text), END_ID included."""
-        end, find = _U4(END_ID), self.__getitem__
-        each = [b"".join(map(find, self.split(t))) + end for t in texts]
-        return np.frombuffer(b"".join(each), "<u4"), np.array([len(x) // 4 for x in each], np.int64)
+        self.letters = str.maketrans({c: to_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x80, LATIN)) if c.isalpha()})
+        self.memory, self.ids, self.parts = Memory(REMEMBERED), Ragged(np.uint32), {}
+
+    def _whole(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _part(self, part: str) -> list[int]:
+        """Ids of one pre-token, in lower case."""
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            found = self.parts[part] = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))]
+        return found
+
+    def word(self, word: str) -> list[int]:
+        plain = _PLAIN(word)
+        if plain is None:
+            return self._whole(word)
+        before, letters, after = plain.groups()
+        low = letters.lower()
+        if not letters.isascii() and not (letters.isalpha() and low.isalpha() and max(low) < LAST):
+            return self._whole(word)
+        return [i for part in (before, low, after) if part for i in self._part(part)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text), END_ID included; null is empty."""
+        if not self.by_words:
+            each = [x.ids for x in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            counts = np.array([len(x) + 1 for x in each], np.int64)
+            return np.array([i for own in each for i in (*own, END_ID)], np.uint32), counts
+        words, n_words = white_space_words(texts)
+        number, new, kept = self.memory.place(words)
+        if kept is not None:
+            self.ids.keep(kept)
+        found = [self.word(w) for w in new]
+        self.ids.extend(np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+        ids, sizes = self.ids.take(number)
+        counts = np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n_words)])])
+        return np.insert(ids, np.cumsum(counts), np.uint32(END_ID)), counts + 1
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -221,15 +253,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "do
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            texts, at = batch.column(1), 0
-            while at < batch.num_rows:
-                group, chars, began = [], 0, at
-                while at < batch.num_rows and (not group or chars < CHUNK_CHARS):
-                    group.append(texts[at].as_py() or "")
-                    chars += len(group[-1])
-                    at += 1
-                ids, counts = encoder.encode(group)
-                for doc_id, own in zip(doc_ids[began:at], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            for began, n in chunks(batch.column(1), CHUNK_BYTES):
+                ids, counts = encoder.encode(batch.column(1).slice(began, n))
+                for doc_id, own in zip(doc_ids[began : began + n], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
                     waiting.append((doc_id, own))
                     size += len(own)
                     if size >= TARGET_IDS:

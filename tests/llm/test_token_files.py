@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -64,11 +65,33 @@ def test_files_match_the_tokenizer(spark, monkeypatch):
 def test_every_latin_letter():
     encoder, tokenizer = tf.WordEncoder(PATH), Tokenizer.from_file(PATH)
     words = [f + c + e for c in map(chr, range(0x21, 0x300)) if not c.isspace() for f in ("", "ab", "Ç") for e in ("", "z", ".", ",", "'S")]
-    ids, counts = encoder.encode(words)
+    assert encoder.by_words
+    ids, counts = encoder.encode(pa.array(words))
     want = [tokenizer.encode(w, add_special_tokens=False).ids + [2] for w in words]
     assert ids.tolist() == [i for own in want for i in own] and counts.tolist() == [len(w) for w in want]
 
 
+@pytest.mark.parametrize("remembered", [1, 50, 10**6])
+def test_words_with_marks(monkeypatch, remembered):
+    monkeypatch.setattr(tf, "REMEMBERED", remembered)
+    encoder, tokenizer = tf.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    rng = np.random.default_rng(5)
+    letters = list("abcéÀzß'.,!?;:<|>()[]*&%$#@~^_-+=/\\`\"“”«»’19 \n\u0301İ한")
+    texts = [None, ""] + ["".join(rng.choice(letters, 12)) for _ in range(4000)]
+    for at in range(0, len(texts), 700):
+        own = texts[at : at + 700]
+        ids, counts = encoder.encode(pa.array(own, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in own]
+
+
+def test_a_tokenizer_with_other_rules_encodes_whole_texts(spark):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    path, tokenizer = new_path(spark, "ids"), Tokenizer.from_file(other)
+    tf.write_ids(spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string"), path, other)
+    got = {r.doc_id: list(r.ids) for r in tf.read_ids(spark, path).collect()}
+    assert got == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(TEXTS)}
+
+
 def test_empty_table(spark):
     path = new_path(spark, "ids")
     tf.write_ids(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
