@@ -23,9 +23,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -181,19 +181,21 @@ class WordEncoder:
         self.letters = str.maketrans({c: to_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x80, LATIN)) if c.isalpha()})
         self.memory, self.ids, self.parts = Memory(REMEMBERED), Ragged(np.uint32), {}
 
-    def _whole(self, word: str) -> list[int]:
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
         """Ids of one pre-token, in lower case."""
         found = self.parts.get(part)
         if found is None:
             if len(self.parts) >= REMEMBERED:
                 self.parts.clear()
-            found = self.parts[part] = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))]
+            ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))]
+            found = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
+        """Its ids, each as a little-endian u4."""
         plain = _PLAIN(word)
         if plain is None:
             return self._whole(word)
@@ -201,7 +203,7 @@ class WordEncoder:
         low = letters.lower()
         if not letters.isascii() and not (letters.isalpha() and low.isalpha() and max(low) < LAST):
             return self._whole(word)
-        return [i for part in (before, low, after) if part for i in self._part(part)]
+        return b"".join([self._part(part) for part in (before, low, after) if part])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text), END_ID included; null is empty."""
@@ -214,7 +216,7 @@ class WordEncoder:
         if kept is not None:
             self.ids.keep(kept)
         found = [self.word(w) for w in new]
-        self.ids.extend(np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+        self.ids.extend(np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4)
         ids, sizes = self.ids.take(number)
         counts = np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n_words)])])
         return np.insert(ids, np.cumsum(counts), np.uint32(END_ID)), counts + 1
