@@ -1,8 +1,9 @@
 """Exact duplicates with a heavy-hitter split.
 
-A frequent-items sketch (a Misra-Gries summary) names the digests that may be frequent. Their exact counts and winners
-come from a map-side aggregate of at most HOT_DIGESTS groups, are broadcast, and settle their rows without a shuffle.
-All other digests go through one ordinary shuffle; none of those groups can hold more than about N / SKETCH_ITEMS rows.
+A frequent-items sketch (a Misra-Gries summary) names the digests that may be frequent. The exact counts and winners of the
+HOT_DIGESTS most frequent come from a map-side aggregate, are broadcast, and settle their rows without a shuffle. All other
+digests are aggregated before their shuffle, and the winners joined to their rows, which Spark can split by skew: no task
+needs the rows of one digest together, however many they are.
 
 Only DataFrame operations are used.
 
@@ -15,12 +16,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kadastra.llm.common import SPACES, cut
 
 #: Most digests that are settled by broadcast: the bound of the broadcast side.
-HOT_DIGESTS = 64
+HOT_DIGESTS = 1024
 #: Counters of the sketch; a digest with over rows * 4 / 3 / SKETCH_ITEMS rows can't be missed.
 SKETCH_ITEMS = 4096
 
@@ -43,29 +43,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.monotonically_increasing_id().alias("row_id"),
         )
     )
-    best = F.max(F.struct("n", (-F.col("doc_id")).alias("low_id"), (-F.col("row_id")).alias("low_row")))
+    best = F.min(F.struct((-F.col("n")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("best")
     likely = rows.agg(F.expr(f"approx_top_k(text_sha256, {HOT_DIGESTS}, {SKETCH_ITEMS})").alias("top")).select(
         F.explode("top.item").alias("text_sha256")
     )
     winners = (
         rows.join(F.broadcast(likely), "text_sha256", "left_semi")
         .groupBy("text_sha256")
-        .agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+        .agg(best, F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
     )
     winners = cut(winners)  # at most HOT_DIGESTS rows
     hot = rows.join(F.broadcast(winners), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    rest = (
-        rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-        .withColumn("best", best.over(group))
-        .withColumn("group_size", F.count(F.lit(1)).over(group))
-    )
-    return hot.unionByName(rest).select(
+    rest = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    others = rest.groupBy("text_sha256").agg(best, F.count(F.lit(1)).alias("group_size"))
+    return hot.unionByName(rest.join(others, "text_sha256")).select(
         "doc_id",
-        (-F.col("best.low_id")).alias("keep_id"),
+        F.col("best.doc_id").alias("keep_id"),
         "group_size",
-        (F.col("best.low_row") == -F.col("row_id")).alias("kept"),
+        (F.col("best.row_id") == F.col("row_id")).alias("kept"),
         "text_sha256",
     )
 

@@ -34,6 +34,11 @@ def test_matches_brute_force(spark, monkeypatch, slots):
     assert run(spark, rows) == slow(rows)
 
 
+def test_ids_at_the_ends_of_their_range(spark):
+    rows = [(-(2**63), "a b"), (2**63 - 1, "ab"), (0, "a b"), (-(2**63), "c"), (None, "c")]
+    assert run(spark, rows) == slow(rows)
+
+
 def test_repeated_rows_keep_one(spark):
     got = run(spark, [(1, "a b"), (1, "a b"), (2, "ab")])
     assert [r[3] for r in got].count(True) == 1 and {r[1] for r in got} == {1} and {r[2] for r in got} == {3}
