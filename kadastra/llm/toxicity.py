@@ -5,7 +5,8 @@ terms are learned: whole words, and stems (beginnings of words) that outnumber e
 documents much more often than in clean ones and behind enough different words; a passage that is copied from document to
 document brings the same word before each of its own, and so teaches no term. Each (term, edits) pair then gets its own
 weight from the same sample, so that a misspelling that is an ordinary word counts for nothing, and a logistic
-regression is fitted on the sums. What goes to the driver is bounded by LEXICON terms and TRAIN_ROWS short rows.
+regression is fitted on the sums. What goes to the driver is bounded by the sample: TRAIN_ROWS short rows, and terms that
+stand in at least LEAST_SUPPORT of its toxic documents each.
 
 Scoring. All terms lie in one trie. The Levenshtein automata of all terms are run against it together: a state is a set
 of trie nodes with the edits spent so far, made deterministic as words need it, so a word costs one look-up a letter.
@@ -36,8 +37,6 @@ from kadastra.shipping import ship
 
 #: Most labelled rows that are learned from.
 TRAIN_ROWS = 20_000
-#: Most terms of the lexicon: the bound of what is broadcast.
-LEXICON = 1_000
 #: A term stands in so many toxic documents and behind so many different words, at least.
 LEAST_SUPPORT = 5
 LEAST_LOG_ODDS = 3.0
@@ -47,8 +46,9 @@ STEM_LETTERS = (4, 5, 6, 7, 8)
 #: Words on either side that make a hit's context.
 CONTEXT = 6
 THRESHOLD = 0.7
-#: Distinct words whose hits a worker remembers before it starts again.
+#: Distinct words whose hits a worker remembers before it starts again, and steps of the automaton.
 REMEMBERED = 300_000
+STEPS = 200_000
 
 # Marks and words that tell quotation and address apart, in the languages of the corpus.
 QUOTES = "\"“”„«»‘’"
@@ -121,6 +121,8 @@ class Lexicon:
             key = (state, letter)
             after = self.steps.get(key)
             if after is None:
+                if len(self.steps) >= STEPS:
+                    self.steps.clear()
                 after = self.steps[key] = self._step(state, letter)
             state = after
             if not state:
@@ -223,6 +225,12 @@ def _units(rows: DataFrame) -> DataFrame:
     """(unit, toxic, before): once per document, each word and each beginning of a word, with a word before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[str, int, str]] = []
+
+        def send():
+            units, toxics, befores = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(units), pa.array(toxics, pa.int32()), pa.array(befores)], names=["unit", "toxic", "before"])
+
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seen: dict[str, str] = {}
@@ -235,7 +243,12 @@ def _units(rows: DataFrame) -> DataFrame:
                             if len(word) > n:
                                 seen.setdefault(word[:n] + "*", last)
                     last = word
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([toxic] * len(seen), pa.int32()), pa.array(list(seen.values()))], names=["unit", "toxic", "before"])
+                out += [(unit, toxic, before) for unit, before in seen.items()]
+                if len(out) > 50_000:
+                    yield send()
+                    out = []
+        if out:
+            yield send()
 
     return rows.select("toxic", "text").mapInArrow(run, "unit string, toxic int, before string")
 
@@ -256,8 +269,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .filter((F.col("t") >= LEAST_SUPPORT) & (F.col("contexts") >= F.greatest(F.lit(LEAST_SUPPORT), F.col("t") / 4)))
         .withColumn("odds", odds)
         .filter(F.col("odds") >= LEAST_LOG_ODDS)
-        .orderBy(F.col("odds").desc(), "unit")
-        .limit(LEXICON)
         .collect()
     )
     support = {r["unit"]: r["t"] for r in terms}
@@ -268,9 +279,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _finder(model)
         for batch in batches:
-            for doc_id, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            own = []
+            for text in batch.column(2):
                 found = finder(text.as_py())
-                yield pa.RecordBatch.from_pylist([{"doc_id": doc_id, "toxic": label, "hits": [{"t": t, "e": e, "k": k, "n": n} for (t, e, k), n in found.items()]}], schema=schema)
+                own.append([{"t": t, "e": e, "k": k, "n": n} for (t, e, k), n in found.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, schema.field("hits").type)], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("hits", pa.list_(pa.struct([("t", pa.string()), ("e", pa.int32()), ("k", pa.string()), ("n", pa.int32())])))])
     found = rows.select("doc_id", "toxic", "text").mapInArrow(hits, "doc_id long, toxic int, hits array<struct<t: string, e: int, k: string, n: int>>")
@@ -312,7 +325,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per input row: doc_id, score, predicted, hits (term, edits, kind of context, count)."""
     ship(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("hits", pa.list_(pa.struct([("term", pa.string()), ("edits", pa.int32()), ("kind", pa.string()), ("n", pa.int32())])))])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the lexicon: its bound is that of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

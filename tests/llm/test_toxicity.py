@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -78,6 +79,50 @@ def test_learns_and_holds_out(spark, corpus):
     assert again == {d: r.score for d, r in got.items()}  # held-out labels are never learned from
 
 
+def slow_hit(word, model):
+    """The best hit, from edit distances to every term."""
+    if word in model.words:
+        return word, 0
+    stems = [x for x in model.stems if word.startswith(x)]
+    if stems:
+        return max(stems, key=len) + "*", 0
+    close = [x for x in model.words if len(x) >= t.FUZZY_LETTERS and distance(x, word) == 1]
+    return (min(close), 1) if close else None
+
+
+def slow_score(text, model):
+    words, counts = (text or "").split(), {}
+    for at, raw in enumerate(words):
+        hit = slow_hit(raw.strip(t._EDGE).lower(), model)
+        if hit:
+            before, after = words[max(0, at - t.CONTEXT) : at + 1], words[at : at + t.CONTEXT + 1]
+            bare = {w.strip(t._EDGE).lower() for w in before[:-1] + after[1:]}
+            quoted = any(w[0] in t.QUOTES for w in before) and any((w.rstrip(".,;:!?") or "-")[-1] in t.QUOTES for w in after)
+            kind = "quoted" if quoted or bare & t.SAYING else "aimed" if bare & t.ADDRESS else "plain"
+            counts[*hit, kind] = counts.get((*hit, kind), 0) + 1
+    sums = [sum(max(0.0, model.weights.get((a, e), 0.0)) * (1 + math.log(n)) for (a, e, k), n in counts.items() if k == kind) for kind in t.KINDS]
+    meant = {}
+    for (a, e, k), n in counts.items():  # a term counts once, with the count of its last kind in order
+        if k != "quoted" and model.weights.get((a, e), 0.0) > 0:
+            meant[a, e] = n
+    x = [math.log1p(v) for v in sums] + [math.log1p(len({a for a, _ in meant})), float(sum(meant.values()) > 1), 1.0]
+    return 1 / (1 + math.exp(-sum(c * v for c, v in zip(model.coefficients, x, strict=True))))
+
+
+@pytest.mark.parametrize("steps", [3, t.STEPS])
+def test_scores_match_brute_force(spark, corpus, monkeypatch, steps):
+    monkeypatch.setattr(t, "STEPS", steps)
+    rows, labels = corpus
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = t.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    odd = [(0, "you blorgishh, and „snarkfac“ he wrote vilequax"), (1, 'x "y" snarkface! SNARKFACE vilequa.'), (2, None), (3, "word1 " * 20000 + "blorgish")]
+    for doc_id, text in odd + rows[::9]:
+        hits = t.Finder(t.Lexicon(model.words, model.stems))(text or "")
+        assert model.score(hits) == pytest.approx(slow_score(text, model), abs=1e-9)
+    got = {r.doc_id: r.score for r in t.score(spark.createDataFrame(odd, "doc_id long, text string"), model).collect()}
+    assert got == {d: pytest.approx(slow_score(x, model), abs=1e-9) for d, x in odd}
+
+
 def test_odd_inputs(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (1, None), (3, "w " * 60000)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
