@@ -4,11 +4,12 @@ Fingerprints are computed in one pass over the texts. Copies share a fingerprint
 fingerprints. Two fingerprints that differ in at most `bits` bits agree in at least blocks - bits of `blocks` equal
 stretches; every choice of so many stretches is a bucket key. Only keys that two fingerprints share go on.
 
-Inside a bucket the pivot table decides: the Hamming distances of each fingerprint to PIVOTS reference fingerprints are
-computed once; as distances obey the triangle inequality, a pair whose coordinates differ by more than `bits` anywhere
-can't be a link and is discarded; the survivors' Hamming distances are verified. A bucket yields a spanning forest of
-its links, never all its pairs. A bucket of more than BUCKET members is keyed again with finer stretches, down to keys
-that leave at most 2^12 different fingerprints, so that no bucket is unbounded and no link is lost.
+The pivot table is computed once for each distinct fingerprint, and travels with it: its Hamming distances to PIVOTS
+reference fingerprints. As distances obey the triangle inequality, a pair whose coordinates differ by more than `bits`
+anywhere can't be a link. In a bucket, candidates are the members in an interval of the first coordinate; pairs that
+any other coordinate parts are discarded, and the survivors' Hamming distances are verified. A bucket yields a
+spanning forest of its links, never all its pairs. A bucket of more than BUCKET members is keyed again with finer stretches,
+down to keys that leave at most 2^12 different fingerprints, so that no bucket is unbounded and no link is lost.
 
 Defined results: null text counts as empty; texts without words have fingerprint 0 and are linked like any other; a null
 id takes part in its fingerprint's group and ranks after every other id. Repeated rows are returned as often as they
@@ -88,40 +89,56 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
 def forest(fps: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (left, right) of links that connect what is within `bits` bits of each other, one for each member but the
     first of its group. fps has one row of 64-bit words for each member. What is linked isn't compared again."""
-    open_, left, right = np.arange(len(fps)), [], []
-    while len(open_):
-        waiting, open_ = [int(open_[0])], open_[1:]
-        while waiting and len(open_):
+    order = np.argsort(table[:, 0], kind="stable")
+    fps, table = fps[order], table[order]
+    first, open_, left, right = table[:, 0], np.ones(len(fps), bool), [], []
+    for start in range(len(fps)):
+        if not open_[start]:
+            continue
+        open_[start], waiting = False, [start]
+        while waiting:
             i = waiting.pop()
-            js = open_
-            for first in range(0, PIVOTS, 8):
-                js = js[(np.abs(table[js, first : first + 8] - table[i, first : first + 8]) <= bits).all(axis=1)]
+            low, high = np.searchsorted(first, first[i] - bits), np.searchsorted(first, first[i] + bits, side="right")
+            js = low + np.flatnonzero(open_[low:high])
+            for at in range(1, PIVOTS, 8):
                 if not len(js):
                     break
+                js = js[(np.abs(table[js, at : at + 8] - table[i, at : at + 8]) <= bits).all(axis=1)]
             js = js[np.bitwise_count(fps[js] ^ fps[i]).sum(axis=1) <= bits]
             if len(js):
                 left.append(np.full(len(js), i))
                 right.append(js)
                 waiting += js.tolist()
-                open_ = np.setdiff1d(open_, js, assume_unique=True)
+                open_[js] = False
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    return order[np.concatenate([none, *left])], order[np.concatenate([none, *right])]
+
+
+def tabled(distinct: DataFrame) -> DataFrame:
+    """(fp, table): each fingerprint's row of the pivot table, a byte for each reference fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pivot_table(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)[:, None]).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["fp", "table"])
+
+    return distinct.mapInArrow(run, "fp long, table binary")
 
 
 def _keys(blocks: int, bits: int):
-    """A function from fingerprints to their bucket keys: one column for each choice of blocks - bits stretches."""
+    """A function from fingerprints to their bucket keys: one row for each choice of blocks - bits stretches."""
     edges = np.linspace(0, 64, blocks + 1).astype(int)
     masks = [sum(1 << i for i in range(edges[b], edges[b + 1])) for b in range(blocks)]
     choices = [np.uint64(sum(masks[i] for i in c)) for c in combinations(range(blocks), blocks - bits)]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(all_fps), 4096):
-                fps = all_fps[at : at + 4096]
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                fps = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 for number, mask in enumerate(choices):
-                    key = (fps & mask).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array(key), pa.array(np.full(len(fps), number, np.int32))], names=["fp", "key", "choice"])
+                    key = pa.array((fps & mask).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([*part.columns, key, pa.array(np.full(len(fps), number, np.int32))], names=["fp", "table", "key", "choice"])
 
     return keyed
 
@@ -130,37 +147,45 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
     """(a, b): links between fingerprints, enough of them to connect all that is connected."""
 
     def in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket."""
+        """Rows (fp, key, choice, table) come sorted by bucket."""
         kept, now = [], None
 
         def close():
-            fps = np.array(kept, dtype=np.int64)
-            a, b = forest(fps.view(np.uint64)[:, None], pivot_table(fps.view(np.uint64)[:, None]), bits)
-            return pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b])], names=["a", "b"])
+            fps = np.array([fp for fp, _ in kept], dtype=np.int64)
+            table = np.frombuffer(b"".join(t for _, t in kept), np.uint8).reshape(len(kept), PIVOTS).astype(np.int16)
+            a, b = forest(fps.view(np.uint64)[:, None], table, bits)
+            return fps[a], fps[b]
+
+        def send(found):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
 
         for batch in batches:
-            for fp, key in zip(batch.column(0).to_pylist(), zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), strict=True):
+            found = []
+            fps, keys, choices, tables = (c.to_pylist() for c in batch.columns)
+            for fp, key, t in zip(fps, zip(keys, choices, strict=True), tables, strict=True):
                 if key != now:
                     if len(kept) > 1:
-                        yield close()
+                        found.append(close())
                     kept, now = [], key
-                kept.append(fp)
+                kept.append((fp, t))
+            if found:
+                yield send(found)
         if len(kept) > 1:
-            yield close()
+            yield send([close()])
 
     ship(distinct.sparkSession)
-    found, todo = None, distinct
+    found, todo = None, cut(tabled(distinct))
     for level, blocks in enumerate(BLOCKS):
-        keyed = todo.mapInArrow(_keys(blocks, bits), "fp long, key long, choice int")
+        keyed = todo.mapInArrow(_keys(blocks, bits), "fp long, table binary, key long, choice int")
         sizes = keyed.groupBy("key", "choice").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         shared = cut(keyed.join(sizes, ["key", "choice"]))
         last = level == len(BLOCKS) - 1
         small = shared if last else shared.filter(F.col("n") <= BUCKET)
-        part = small.select("fp", "key", "choice").repartition("key", "choice").sortWithinPartitions("choice", "key").mapInArrow(in_bucket, "a long, b long")
+        part = small.select("fp", "key", "choice", "table").repartition("key", "choice").sortWithinPartitions("choice", "key").mapInArrow(in_bucket, "a long, b long")
         found = part if found is None else found.union(part)
         if last:
             break
-        todo = shared.filter(F.col("n") > BUCKET).select("fp").distinct()
+        todo = shared.filter(F.col("n") > BUCKET).select("fp", "table").distinct()
         if todo.isEmpty():
             break
     return found
@@ -196,8 +221,8 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, width: int) -> DataFrame:
-    """Of (doc_id, text): (doc_id, sid, n, fp, keys): hash and size of the set of distinct shingles, its fingerprint of LONG words, from as
-    many mixes of each shingle hash, and the keys of its bands."""
+    """Of (doc_id, text): (doc_id, sid, n, fp, table, keys): hash and size of the set of distinct shingles, its fingerprint of LONG words,
+    from as many mixes of each shingle hash, its row of the pivot table, and the keys of its bands."""
     mixes = np.array([xxhash.xxh64_intdigest(str(w).encode(), 3) | 1 for w in range(LONG)], dtype=np.uint64)
     orders = np.array([xxhash.xxh64_intdigest(str(i).encode(), 5) | 1 for i in range(BANDS * BAND)], dtype=np.uint64)
 
@@ -229,12 +254,12 @@ def sketches(rows: DataFrame, width: int) -> DataFrame:
                 sizes.append(len(hashes))
                 fps.append(majority(hashes))
                 keys.append(bands(hashes))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "sid", "n", "fp", "keys"]
-            )
+            tables = [row.tobytes() for row in pivot_table(_words(fps))] if fps else []
+            columns = [batch.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary()), pa.array(tables, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sid", "n", "fp", "table", "keys"])
 
     ship(rows.sparkSession)
-    return rows.mapInArrow(run, "doc_id long, sid long, n int, fp binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, sid long, n int, fp binary, table binary, keys array<long>")
 
 
 def _may_be(sizes: np.ndarray, fps: np.ndarray, table: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
@@ -254,8 +279,12 @@ def _may_be(sizes: np.ndarray, fps: np.ndarray, table: np.ndarray, x: np.ndarray
     return np.concatenate([small, at])
 
 
-def _words(fps: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(fps.to_pylist()), np.uint64).reshape(len(fps), LONG)
+def _words(fps: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), LONG)
+
+
+def _tables(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.int16).reshape(len(rows), PIVOTS)
 
 
 def _filtered(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
@@ -264,14 +293,14 @@ def _filtered(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            sizes = np.concatenate([batch.column(2).to_numpy(), batch.column(4).to_numpy()])
-            fps = np.concatenate([_words(batch.column(3)), _words(batch.column(5))])
-            at = pa.array(_may_be(sizes, fps, pivot_table(fps), np.arange(n), np.arange(n, 2 * n), similarity))
+            sizes = np.concatenate([batch.column(2).to_numpy(), batch.column(5).to_numpy()])
+            fps, tables = (f(batch.column(c).to_pylist() + batch.column(c + 3).to_pylist()) for f, c in ((_words, 3), (_tables, 4)))
+            at = pa.array(_may_be(sizes, fps, tables, np.arange(n), np.arange(n, 2 * n), similarity))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    left = distinct.select(F.col("no").alias("a"), F.col("n").alias("n_a"), F.col("fp").alias("fp_a"))
-    right = distinct.select(F.col("no").alias("b"), F.col("n").alias("n_b"), F.col("fp").alias("fp_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "fp_a", "n_b", "fp_b").mapInArrow(run, "a long, b long").distinct()
+    left = distinct.select(F.col("no").alias("a"), F.col("n").alias("n_a"), F.col("fp").alias("fp_a"), F.col("table").alias("table_a"))
+    right = distinct.select(F.col("no").alias("b"), F.col("n").alias("n_b"), F.col("fp").alias("fp_b"), F.col("table").alias("table_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "fp_a", "table_a", "n_b", "fp_b", "table_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _across(members: DataFrame, similarity: float) -> DataFrame:
@@ -285,9 +314,8 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
         kept, now = [], None
 
         def close():
-            no, size, root, first, part = (np.array(c, np.int64) for c in zip(*[(k[0], k[1], k[3], k[4], k[5]) for k in kept], strict=True))
-            fps = np.frombuffer(b"".join(k[2] for k in kept), np.uint64).reshape(len(kept), LONG)
-            table = pivot_table(fps)
+            no, size, root, first, part = (np.array(c, np.int64) for c in zip(*[(k[0], k[1], k[4], k[5], k[6]) for k in kept], strict=True))
+            fps, table = _words([k[2] for k in kept]), _tables([k[3] for k in kept])
             other = int((part == part[0]).sum())  # members from here on are of the second part
             left, right, held = [], [], 0
             for x in range(other if other < len(no) else len(no) - 1):
@@ -315,7 +343,7 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
 
     dealt = members.withColumn("parts", F.ceil(F.col("times") / F.lit(BUCKET)).cast("int")).withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int"))
     whole = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = whole.select("no", "n", "fp", "root", "first", "part", "key", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"))
+    tasks = whole.select("no", "n", "fp", "table", "root", "first", "part", "key", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"))
     return tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part").mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -348,7 +376,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked = cut(sketches(rows, width))
-    distinct = cut(marked.groupBy("sid").agg(F.min(F.struct("doc_id", "n", "fp", "keys")).alias("d")).select("sid", F.col("d.doc_id").alias("no"), "d.n", "d.fp", "d.keys"))
+    distinct = cut(marked.groupBy("sid").agg(F.min(F.struct("doc_id", "n", "fp", "table", "keys")).alias("d")).select("sid", F.col("d.doc_id").alias("no"), "d.n", "d.fp", "d.table", "d.keys"))
     named = marked.select("doc_id", "sid").join(distinct.select("sid", "no"), "sid").select("doc_id", "no")
     keys = distinct.select("no", F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("no").alias("first")).filter("times > 1")
@@ -358,7 +386,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = cut(_linked(_filtered(stars, distinct, similarity), sets, similarity))
     apart = shared.join(components(joined).withColumnRenamed("node", "no"), "no", "left").withColumn("root", F.coalesce("root", "no"))
     mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    members = apart.join(mixed, "key").join(distinct.select("no", "n", "fp"), "no")
+    members = apart.join(mixed, "key").join(distinct.select("no", "n", "fp", "table"), "no")
     links = joined.union(_linked(_across(members, similarity), sets, similarity))
     groups = components(links.union(named))
     return groups.filter("node != root").select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))

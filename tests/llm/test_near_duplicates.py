@@ -82,5 +82,5 @@ def test_parts_of_a_bucket_all_meet(spark, monkeypatch):
     """Members that are far from the bucket's first, each near one other that is dealt to any part."""
     monkeypatch.setattr(simhash, "BUCKET", 4)
     sketch = simhash.sketches(spark.createDataFrame([(0, "far " * 3 + " ".join(f"a{i}" for i in range(99)))] + [(1 + i, f"x{i // 2} " * 2 + " ".join(f"b{i // 2}-{k}" for k in range(99))) for i in range(40)], COLUMNS), 5)
-    members = sketch.selectExpr("doc_id as no", "n", "fp", "doc_id as root", "0L as first", "41L as times", "7L as key")
+    members = sketch.selectExpr("doc_id as no", "n", "fp", "table", "doc_id as root", "0L as first", "41L as times", "7L as key")
     assert sorted((r.a, r.b) for r in simhash._across(members, 0.8).collect()) == [(1 + i, 2 + i) for i in range(0, 40, 2)]

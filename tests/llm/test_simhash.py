@@ -57,6 +57,26 @@ def test_groups_match_brute_force(spark):
     assert run(spark, rows) == slow_groups(rows)
 
 
+def test_forest_connects_what_is_near():
+    rng = np.random.default_rng(9)
+    fps = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    for i in range(1, 300):
+        if rng.random() < 0.7:
+            fps[i] = fps[rng.integers(i)] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 5)), replace=False)))
+    a, b = simhash.forest(fps[:, None], simhash.pivot_table(fps[:, None]), 3)
+    root = list(range(300))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        assert int(fps[x] ^ fps[y]).bit_count() <= 3 and find(x) != find(y)
+        root[find(x)] = find(y)
+    assert all(find(i) == find(j) for i in range(300) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 3)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
@@ -74,8 +94,8 @@ def test_keys_lose_no_link(blocks):
     def keys(x):
         out = [set() for _ in x]
         where = {int(v): i for i, v in enumerate(x)}
-        for batch in simhash._keys(blocks, 3)([pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["fp"])]):
-            for fp, key, choice in zip(*(c.to_pylist() for c in batch.columns)):
+        for batch in simhash._keys(blocks, 3)([pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.nulls(len(x), pa.binary())], names=["fp", "table"])]):
+            for fp, _, key, choice in zip(*(c.to_pylist() for c in batch.columns)):
                 out[where[fp % 2**64]].add((key, choice))
         return out
 
