@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kadastra.functions import geo
+from kadastra.operators import ranking
 
 
 def best_match(rows: DataFrame, dims: DataFrame, id_col: str, name_col: str, dim_id: str, dim_name: str) -> DataFrame:
@@ -34,10 +35,17 @@ def relists(listings: DataFrame, days: int = 60) -> DataFrame:
     new = listings.select(
         F.col("id").alias("n_id"), F.col("complex_id").alias("n_complex"), F.col("rooms").alias("n_rooms"), F.col("floor").alias("n_floor"), F.col("area").alias("n_area"), F.col("price").alias("n_price"), F.col("first_seen").alias("n_seen")
     )
+    # later listings meet earlier ones in buckets of time and price, so that a building is never paired with itself
+    week = lambda t: F.floor(F.unix_micros(t) / F.lit(days * 86_400_000_000.0))
+    old = old.withColumn("_t", F.explode(F.array(week(F.col("archived_at")), week(F.col("archived_at")) + 1)))
+    old = old.withColumn("_p", F.explode(ranking.log_buckets(F.col("price"), 0.85, 1.15 / 0.85, 0.3)))
+    new = new.withColumn("n_t", week(F.col("n_seen"))).withColumn("n_p", ranking.log_bucket(F.col("n_price"), 0.3))
     near = lambda a, b, share: F.abs(a - b) <= b * share
     pair = (
         (F.col("complex_id") == F.col("n_complex"))
         & (F.col("rooms") == F.col("n_rooms"))
+        & (F.col("_t") == F.col("n_t"))
+        & (F.col("_p") == F.col("n_p"))
         & (F.col("id") != F.col("n_id"))
         & (F.col("n_seen") > F.col("archived_at"))
         & (F.col("n_seen") <= F.col("archived_at") + F.expr(f"INTERVAL {days} DAYS"))
@@ -46,7 +54,7 @@ def relists(listings: DataFrame, days: int = 60) -> DataFrame:
     )
     strict = F.col("floor").eqNullSafe(F.col("n_floor")) & near(F.col("n_area"), F.col("area"), 0.05)
     found = old.join(new, pair).groupBy("id").agg(F.bool_or(strict).alias("strict"), F.count(F.lit(1)).alias("n_loose"))
-    return old.select("id").join(found, "id", "left").select("id", F.coalesce("strict", F.lit(False)).alias("relisted"), (F.coalesce("n_loose", F.lit(0)) > 0).alias("possibly_relisted"))
+    return listings.filter("archived_at is not null and complex_id is not null").select("id").join(found, "id", "left").select("id", F.coalesce("strict", F.lit(False)).alias("relisted"), (F.coalesce("n_loose", F.lit(0)) > 0).alias("possibly_relisted"))
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, degrees: float) -> DataFrame:
@@ -81,11 +89,24 @@ def trigrams(text: Column) -> Column:
 
 
 def trigram_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Pairs of (l_id, l_name) and (r_id, r_name) by shared trigrams over all: each name's trigrams meet in an equi-join."""
-    a = left.withColumn("_l", trigrams(F.col("l_name"))).select("l_id", F.size("_l").alias("_ln"), F.explode("_l").alias("_t"))
-    b = right.withColumn("_r", trigrams(F.col("r_name"))).select("r_id", F.size("_r").alias("_rn"), F.explode("_r").alias("_t"))
-    both = a.join(b, "_t").groupBy("l_id", "r_id").agg(F.count(F.lit(1)).alias("_c"), F.first("_ln").alias("_ln"), F.first("_rn").alias("_rn"))
-    return both.withColumn("similarity", F.col("_c") / (F.col("_ln") + F.col("_rn") - F.col("_c"))).filter(F.col("similarity") >= least).select("l_id", "r_id", "similarity")
+    """Pairs of (l_id, l_name) and (r_id, r_name) by shared trigrams over all, from a similarity of `least` on.
+
+    Names that are so alike share one of each name's rarest trigrams: of n trigrams at least ceil(least * n) are shared, so one of the
+    first n - ceil(least * n) + 1 in any one order of all is. Only those meet in the join; common trigrams bring nothing together.
+    """
+    a = left.select("l_id", trigrams(F.col("l_name")).alias("_l"))
+    b = right.select("r_id", trigrams(F.col("r_name")).alias("_r"))
+    times = b.select(F.explode("_r").alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
+
+    def rarest(rows: DataFrame, key: str, grams: str) -> DataFrame:
+        each = rows.select(key, F.size(grams).alias("_size"), F.explode(grams).alias("_t")).join(times, "_t", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+        place = F.row_number().over(Window.partitionBy(key).orderBy("_n", "_t"))
+        return each.withColumn("_place", place).filter(F.col("_place") <= F.col("_size") - F.ceil(F.col("_size") * least - 1e-9) + 1).select(key, "_t")
+
+    met = rarest(a, "l_id", "_l").join(rarest(b, "r_id", "_r"), "_t").select("l_id", "r_id").distinct()
+    both = met.join(a, "l_id").join(b, "r_id")
+    shared = F.size(F.array_intersect("_l", "_r"))
+    return both.withColumn("similarity", shared / (F.size("_l") + F.size("_r") - shared)).filter(F.col("similarity") >= least).select("l_id", "r_id", "similarity")
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

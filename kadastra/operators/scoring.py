@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from kadastra.functions import geo
 from kadastra.functions.stats import clamp, days, whole_days
-from kadastra.operators import market, relational
+from kadastra.operators import market, ranking, relational
 
 # ---- hexagons
 
@@ -31,16 +31,16 @@ def hex_score(rows: DataFrame, severity: str, edge_m: float = 150.0) -> DataFram
     """Events per hexagon against the 90th percentile of counts (floor index), raised by their mean severity."""
     q, r = geo.hex_axial(F.col("lat"), F.col("lon"), edge_m)
     cells = rows.groupBy(q.alias("q"), r.alias("r")).agg(F.count(F.lit(1)).alias("n"), F.avg(severity).alias("sev"))
-    ranked = cells.withColumn("i", F.row_number().over(Window.orderBy("n", "q", "r"))).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy()))
-    p90 = ranked.filter(F.col("i") == F.least(F.floor(F.col("all") * 0.9), F.col("all") - 1) + 1).select(F.col("n").alias("p90"))
-    return cells.crossJoin(F.broadcast(p90)).select("q", "r", "n", F.round(F.least(F.col("n") / F.col("p90"), F.lit(1.0)), 6).alias("count_norm"), F.round((F.col("n") / F.col("p90")) * (1 + 0.5 * F.col("sev")) / 3, 6).alias("score"))
+    placed = ranking.ranked(cells, ["n", "q", "r"], "i")
+    p90 = placed.filter(F.col("i") == F.least(F.floor(F.col("i_all") * 0.9), F.col("i_all") - 1) + 1).select(F.col("n").alias("p90"))
+    return placed.crossJoin(F.broadcast(p90)).select("q", "r", "n", F.round(F.least(F.col("n") / F.col("p90"), F.lit(1.0)), 6).alias("count_norm"), F.round((F.col("n") / F.col("p90")) * (1 + 0.5 * F.col("sev")) / 3, 6).alias("score"))
 
 
 def rank_composite(rows: DataFrame, key: str, volume: str, price: str) -> DataFrame:
     """.65 of the volume's and .35 of the price's place in its order, from 0 to 1; ties by key."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    place = lambda c: (F.row_number().over(Window.orderBy(c, key)) - 1) / F.greatest(n - 1, F.lit(1))
-    return rows.withColumn("hype", F.round(0.65 * place(volume) + 0.35 * place(price), 9))
+    placed = ranking.ranked(ranking.ranked(rows, [volume, key], "_v"), [price, key], "_p")
+    place = lambda c: (F.col(c) - 1) / F.greatest(F.col(f"{c}_all") - 1, F.lit(1))
+    return placed.withColumn("hype", F.round(0.65 * place("_v") + 0.35 * place("_p"), 9)).drop("_v", "_v_all", "_p", "_p_all")
 
 
 def kernel_density(points: DataFrame, weight: str, bandwidth_m: float = 700.0, edge_m: float = 350.0) -> DataFrame:
@@ -135,16 +135,35 @@ def km_quantile(steps: DataFrame, keys: list[str], time: str, q: float) -> DataF
 
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve from average ranks."""
-    r = F.rank().over(Window.orderBy(score)) + (F.count(F.lit(1)).over(Window.partitionBy(score)) - 1) / F.lit(2.0)
-    ranked = rows.select(F.col(label).cast("int").alias("y"), r.alias("r"))
-    pos, neg = F.sum("y"), F.sum(1 - F.col("y"))
-    return ranked.agg(pos.alias("n_pos"), neg.alias("n_neg"), F.round((F.sum(F.when(F.col("y") == 1, F.col("r"))) - pos * (pos + 1) / 2) / (pos * neg), 6).alias("auc"))
+    """Area under the ROC curve from average ranks, by counts of each score."""
+    y = F.col(label).cast("int")
+    counts = rows.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"))
+    r = F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)
+    pos, neg = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
+    return ranking.running(counts, ["s"], ["n"]).agg(pos.alias("n_pos"), neg.alias("n_neg"), F.round((F.sum(F.col("pos") * r) - pos * (pos + 1) / 2) / (pos * neg), 6).alias("auc"))
+
+
+def average_precision(rows: DataFrame, score: str, label: str, key: str) -> DataFrame:
+    """Area under the precision-recall curve: the mean of precision at each positive, best scores first, ties by key."""
+    placed = ranking.running(rows.select((-F.col(score)).alias("s"), key, F.col(label).cast("long").alias("y"), F.lit(1).cast("long").alias("one")), ["s", key], ["y", "one"])
+    precision = (F.col("y_before") + F.col("y")) / (F.col("one_before") + 1)
+    return placed.agg(F.round(F.avg(F.when(F.col("y") == 1, precision)), 6).alias("average_precision"))
+
+
+def lift_at(rows: DataFrame, score: str, label: str, key: str, shares: tuple[float, ...] = (0.05, 0.1, 0.2)) -> DataFrame:
+    """Rate among the best share of the scores over the rate among all, for each share; at least one row is taken."""
+    placed = ranking.ranked(rows.select((-F.col(score)).alias("s"), key, F.col(label).cast("int").alias("y")), ["s", key])
+    base = F.avg("y")
+    top = lambda share: F.avg(F.when(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("rank_all") * share)), F.col("y")))
+    return placed.agg(*[F.round(top(x) / F.nullif(base, F.lit(0.0)), 6).alias(f"lift_{round(100 * x)}") for x in shares])
 
 
 def calibration(rows: DataFrame, score: str, label: str, key: str, bins: int = 10) -> DataFrame:
-    tile = F.ntile(bins).over(Window.orderBy(score, key))
-    return rows.withColumn("bin", tile).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 6).alias("mean_score"), F.round(F.avg(F.col(label).cast("int")), 6).alias("rate"))
+    """Mean score and rate of each of `bins` equal parts of the order by score and key; the first parts take what is over."""
+    placed = ranking.ranked(rows, [score, key])
+    i, size, over = F.col("rank") - 1, F.floor(F.col("rank_all") / bins), F.col("rank_all") % bins
+    tile = F.when(i < over * (size + 1), F.floor(i / (size + 1))).otherwise(over + F.floor((i - over * (size + 1)) / F.nullif(size, F.lit(0)))) + 1
+    return placed.withColumn("bin", tile.cast("int")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 6).alias("mean_score"), F.round(F.avg(F.col(label).cast("int")), 6).alias("rate"))
 
 
 def gaussian_bayes(rows: DataFrame, label: str, features: list[str], key: str) -> DataFrame:
@@ -159,9 +178,10 @@ def gaussian_bayes(rows: DataFrame, label: str, features: list[str], key: str) -
 
 def class_share(rows: DataFrame, key: str, price: str) -> DataFrame:
     """Share of all that are strictly cheaper, in percent, and the label that stands for."""
-    cheaper = (F.rank().over(Window.orderBy(price)) - 1) * 100.0 / F.count(F.lit(1)).over(Window.partitionBy())
+    by_price = ranking.running(rows.groupBy(F.col(price).alias("_p")).agg(F.count(F.lit(1)).alias("n")), ["_p"], ["n"])
+    cheaper = F.col("n_before") * 100.0 / F.col("n_all")
     label = F.when(F.col("share") >= 90, "elite").when(F.col("share") >= 65, "business").when(F.col("share") >= 30, "comfort").otherwise("economy")
-    return rows.select(key, F.round(cheaper, 6).alias("share")).withColumn("label", label)
+    return rows.join(by_price, F.col(price).eqNullSafe(F.col("_p"))).select(key, F.round(cheaper, 6).alias("share")).withColumn("label", label)
 
 
 # ---- money

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kadastra.functions import geo, stats
-from kadastra.operators import market
+from kadastra.operators import market, ranking
 from kadastra.plans.book import Book
 from kadastra.plans.dashboards import BASE_SQL, NOW
 from kadastra.sources.market import LISTINGS_SQL, as_of
@@ -32,9 +32,10 @@ def fil_rental_live(m):
 )
 def fil_user_searches(m):
     rows = market.base(m.listings).filter(market.status_condition("active"))
-    users = m.customer.filter("c_acctbal > 0")
+    users = m.customer.filter("c_acctbal > 0").withColumn("budget", F.explode(ranking.log_buckets(F.col("c_acctbal"), 30, 32, 0.05)))
+    rows = rows.withColumn("bucket", ranking.log_bucket(F.col("price"), 0.05))
     wide = (F.col("c_nationkey") % 5 == 0) | (F.col("rooms") == F.col("c_nationkey") % 5)
-    fits = (F.col("c_mktsegment") == F.col("housing_class")) & F.col("price").between(F.col("c_acctbal") * 30, F.col("c_acctbal") * 32) & wide
+    fits = (F.col("c_mktsegment") == F.col("housing_class")) & (F.col("budget") == F.col("bucket")) & F.col("price").between(F.col("c_acctbal") * 30, F.col("c_acctbal") * 32) & wide
     return rows.join(users, fits).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -99,8 +100,9 @@ def dm_preference_score(m):
 )
 def dm_class_score(m):
     c = market.base(m.listings).filter(market.status_condition("active")).groupBy("complex_id").agg(F.avg(market.ppm2()).alias("p"), F.avg("area").alias("a"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy()
-    share = lambda x: (F.col(x) - F.min(x).over(w)) / F.nullif(F.max(x).over(w) - F.min(x).over(w), F.lit(0).cast("double"))
+    ends = c.agg(*[f(x).alias(f"{n}_{x}") for x in ("p", "a", "n") for n, f in (("low", F.min), ("high", F.max))])  # one row
+    c = c.crossJoin(F.broadcast(ends))
+    share = lambda x: (F.col(x) - F.col(f"low_{x}")) / F.nullif((F.col(f"high_{x}") - F.col(f"low_{x}")).cast("double"), F.lit(0.0))
     c = c.withColumn("n", F.col("n").cast("double"))
     return c.select("complex_id", F.round((0.4 * share("p") + 0.2 * share("a") + 0.1 * (1 - share("n"))) / 0.7, 6).alias("score"))
 
@@ -134,14 +136,14 @@ def dm_market_comparison(m):
 
 @book.query(
     "dm_buyer_alternatives",
-    f"""{BASE_SQL}, t AS (SELECT * FROM base WHERE active), q AS (SELECT * FROM t WHERE id % 100 = 0), c AS (SELECT q.id AS base_id, t.id, CASE WHEN t.price < q.price THEN 2 ELSE 0 END + CASE WHEN t.area > q.area THEN 1 ELSE 0 END + CASE WHEN t.floor NOT IN (1, 9) THEN 1 ELSE 0 END AS points,
+    f"""{BASE_SQL}, t AS (SELECT * FROM base WHERE active), q AS (SELECT * FROM t WHERE id % 20 = 0), c AS (SELECT q.id AS base_id, t.id, CASE WHEN t.price < q.price THEN 2 ELSE 0 END + CASE WHEN t.area > q.area THEN 1 ELSE 0 END + CASE WHEN t.floor NOT IN (1, 9) THEN 1 ELSE 0 END AS points,
   sqrt(power((q.lat - t.lat) * 111000.0::DOUBLE, 2) + power((q.lon - t.lon) * cos(radians(q.lat)) * 111000.0::DOUBLE, 2)) AS d FROM q JOIN t ON q.rooms = t.rooms AND q.id <> t.id AND abs(q.lat - t.lat) <= 0.01 AND abs(q.lon - t.lon) <= 0.02)
  SELECT base_id, id, points FROM c WHERE d <= 700 QUALIFY row_number() OVER (PARTITION BY base_id ORDER BY points DESC, round(d, 3), id) <= 3""",
 )
 def dm_buyer_alternatives(m):
     t = market.base(m.listings).filter(market.status_condition("active"))
     degrees = 0.012
-    q = t.filter("id % 100 = 0").select(*[F.col(c).alias(f"q_{c}") for c in ("id", "price", "area", "rooms", "lat", "lon")]).withColumn("c", F.explode(geo.around(F.col("q_lat"), F.col("q_lon"), degrees)))
+    q = t.filter("id % 20 = 0").select(*[F.col(c).alias(f"q_{c}") for c in ("id", "price", "area", "rooms", "lat", "lon")]).withColumn("c", F.explode(geo.around(F.col("q_lat"), F.col("q_lon"), degrees)))
     homes = t.withColumn("at", geo.cell(F.col("lat"), F.col("lon"), degrees))
     pairs = q.join(homes, (F.col("c.i") == F.col("at.i")) & (F.col("c.j") == F.col("at.j")) & (F.col("q_rooms") == F.col("rooms")) & (F.col("q_id") != F.col("id")))
     d = geo.planar_m(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon"))

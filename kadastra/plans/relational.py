@@ -226,8 +226,9 @@ def wn_chain_integrity(m):
 
 @book.query("wn_total_on_every_row", "SELECT s_suppkey, s_nationkey, count(*) OVER (PARTITION BY s_nationkey) AS in_nation, count(*) OVER () AS total, max(s_acctbal) OVER () AS top FROM supplier")
 def wn_total_on_every_row(m):
-    whole, own = Window.partitionBy(), Window.partitionBy("s_nationkey")
-    return m.supplier.select("s_suppkey", "s_nationkey", F.count(F.lit(1)).over(own).alias("in_nation"), F.count(F.lit(1)).over(whole).alias("total"), F.max("s_acctbal").over(whole).alias("top"))
+    each = m.supplier.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("in_nation"))
+    whole = m.supplier.agg(F.count(F.lit(1)).alias("total"), F.max("s_acctbal").alias("top"))  # one row
+    return m.supplier.join(each, "s_nationkey").crossJoin(F.broadcast(whole)).select("s_suppkey", "s_nationkey", "in_nation", "total", "top")
 
 
 @book.query("wn_group_transform", f"{L} SELECT id, count(*) OVER w AS n, round(quantile_cont(price, 0.5) OVER w, 4) AS median, round(avg(price) OVER w, 6) AS mean FROM listings WINDOW w AS (PARTITION BY district, rooms)")

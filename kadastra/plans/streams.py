@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from kadastra.plans.book import Book
 from kadastra.plans.dashboards import NOW
+from kadastra.shared import new_path
 from kadastra.sources.market import LISTINGS_SQL, as_of
 from kadastra.streaming import events as ev
 
@@ -17,8 +15,7 @@ QUERIES, ORACLE = book.queries, book.oracle
 
 
 def scratch(spark, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
 
 
 @book.query(
