@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kadastra.shared import cut, new_path, shared_dir
+
 #: The white space that separates words: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 #: Java and RE2 pattern of one word.
@@ -17,25 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BITS = 1 << 27
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one only where it is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return named or current
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and held in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["BITS", "SPACES", "WORD", "bitmap", "cut", "in_bitmap", "new_path", "shared_dir", "table", "word_count"]
 
 
 def word_count(text: Column) -> Column:
