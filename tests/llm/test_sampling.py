@@ -8,7 +8,7 @@ from kadastra.llm import sampling as s
 from kadastra.llm.pieces import SPACE, load, pre_tokens
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
-TEXTS = [None, "", " ", "Hello  world\n\n foo bar", "naïve café\t한국어 🙂 x\n", "the same words " * 200, "abcdefgh" * 60, " lead and trail ", "x", "internationalization"]
+TEXTS = [None, "", " ", "Hello  world\n\n foo bar", "naïve café\t한국어 🙂 x\n", "the same words " * 200, "abcdefgh" * 60, " lead and trail ", "▁ a▁b ▁▁", "x", "internationalization"]
 
 
 def every_way(text, pieces):
