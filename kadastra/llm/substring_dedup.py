@@ -8,13 +8,14 @@ smaller id. Windows are judged on the input, never on what is left.
    Anchors that recur inside a batch are settled there; of those only one goes on, so that a passage that a third of
    all documents share costs one row a batch.
 2. Confirm. The stretches of text under such anchors are dealt out by anchor; those under an anchor of more than HOT documents
-   are cut into single windows, which are dealt to a part for each HOT documents by all their words, as each document may give another stretch there. Each anchor's shard compares words, not
-   hashes: it keeps windows that two stretches share, with their smallest id, and compiles them into an Aho-Corasick
-   automaton over word numbers.
-3. Locate. The shard streams its stretches, which hold all occurrences of its windows in all documents, through the
-   automaton, and reports the covered words of every document but the smallest. Equal stretches need no automaton: all
-   but the smallest id's are covered. Those of one batch are reported before the shuffle, so a shard never meets a hot
-   passage document by document.
+   are cut into single windows, which are dealt to a part for each HOT documents by all their words, as each document may give
+   another stretch there. A shard compares words, not hashes. Its passages are the stretches that two documents have, and
+   the windows that different stretches share, each with its smallest id; they are compiled into an Aho-Corasick automaton
+   over word numbers.
+3. Locate. All stretches of a shard, which hold every occurrence of its passages in all documents, are streamed through its
+   automaton, and what it finds of a smaller id is covered. A document isn't sent to shards that have no passage for it.
+   Copies of a stretch inside a batch are folded into the first before the shuffle, so a shard never meets a hot passage
+   document by document. A task works on one shard at a time.
 4. Remove. Covered stretches are joined to the whole texts.
 
 Defined results: null text counts as empty and has no words. A null id is compared with none: such rows keep all their
@@ -44,6 +45,8 @@ ANCHOR = 6
 CHUNK_CHARS = 2_000_000
 #: Documents from which an anchor is hot: its windows are dealt out one by one.
 HOT = 2048
+#: Anchors of documents that a task gathers before it sends them on.
+HELD = 1_000_000
 
 _MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(ANCHOR)], dtype=np.uint64)
 _BASE = 0x100000001B3
@@ -160,34 +163,77 @@ def _recurring_anchors(rows: DataFrame, window: int) -> tuple[DataFrame, dict[in
                 )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: dict[int, list[np.ndarray]] = {once: [], often: [], settled: []}
-        docs: dict[int, list[np.ndarray]] = {once: [], often: [], settled: []}
-        for batch in batches:
-            for kind, a, d in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                told[kind].append(np.frombuffer(a, np.int64))
-                docs[kind].append(np.frombuffer(d, np.int64))
-        none = [np.zeros(0, np.int64)]
-        anchor, doc, other = np.concatenate(told[once] + none), np.concatenate(docs[once] + none), np.concatenate(told[often] + none)
-        each, which = np.unique(np.concatenate([anchor, other]), return_inverse=True)
-        times = np.bincount(which, weights=np.concatenate([np.ones(len(anchor)), *docs[often]]), minlength=len(each))
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([np.stack([each, times.astype(np.int64)], axis=1)[times > HOT].ravel()], pa.list_(pa.int64()))], names=["doc_id", "anchors"])
-        order = np.lexsort((doc, anchor))
-        anchor, doc = anchor[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, int)
-        size = np.diff(np.append(first, len(anchor)))
-        shared = (doc[first] != doc[first + size - 1]) | np.isin(anchor[first], other) if len(anchor) else np.zeros(0, bool)
-        shared = np.repeat(shared, size)
-        anchor, doc = np.concatenate([anchor[shared], *told[settled]]), np.concatenate([doc[shared], *docs[settled]])
-        order = np.lexsort((anchor, doc))
-        anchor, doc = anchor[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(anchor))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), lists], names=["doc_id", "anchors"])
-
+        docs, anchors, hot, held = [], [], [], 0
+
+        def send():
+            doc, anchor = np.concatenate(docs), np.concatenate(anchors)
+            home = doc % parts
+            order = np.argsort(home, kind="stable")
+            home, doc, anchor = home[order], doc[order], anchor[order]
+            cuts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else np.zeros(0, int)
+            ends = np.append(cuts[1:], len(home))[: len(cuts)]
+            return packed(home[cuts].tolist(), [(doc[b:e], anchor[b:e]) for b, e in zip(cuts, ends, strict=True)])
+
+        def packed(homes, pairs):
+            columns = [pa.array(homes, pa.int32()), *(pa.array([x[i].astype(np.int64).tobytes() for x in pairs], pa.binary()) for i in (0, 1))]
+            return pa.RecordBatch.from_arrays(columns, names=["home", "docs", "anchors"])
+
+        for rows in by_shard(batches, 1):
+            none = [np.zeros(0, np.int64)]
+            told = {k: [np.frombuffer(r[2], np.int64) for r in rows if r[0] == k] + none for k in (once, often, settled)}
+            also = {k: [np.frombuffer(r[3], np.int64) for r in rows if r[0] == k] + none for k in (once, often, settled)}
+            anchor, doc, other = np.concatenate(told[once]), np.concatenate(also[once]), np.concatenate(told[often])
+            each, which = np.unique(np.concatenate([anchor, other]), return_inverse=True)
+            times = np.bincount(which, weights=np.concatenate([np.ones(len(anchor)), *also[often]]), minlength=len(each)).astype(np.int64)
+            hot.append((each[times > HOT], times[times > HOT]))
+            order = np.lexsort((doc, anchor))
+            anchor, doc = anchor[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, int)
+            size = np.diff(np.append(first, len(anchor)))
+            shared = (doc[first] != doc[first + size - 1]) | np.isin(anchor[first], other) if len(anchor) else np.zeros(0, bool)
+            shared = np.repeat(shared, size)
+            docs += [doc[shared], *also[settled]]
+            anchors += [anchor[shared], *told[settled]]
+            held += int(shared.sum()) + sum(map(len, told[settled]))
+            if held > HELD:
+                yield send()
+                docs, anchors, held = [], [], 0
+        if held:
+            yield send()
+        if any(len(a) for a, _ in hot):
+            yield packed([-1], [(np.concatenate([n for _, n in hot]), np.concatenate([a for a, _ in hot]))])
+
+    def by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_shard(batches, 0):
+            doc, anchor = (np.concatenate([np.frombuffer(r[i], np.int64) for r in rows]) for i in (1, 2))
+            order = np.lexsort((anchor, doc))
+            doc, anchor = doc[order], anchor[order]
+            first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            for a in range(0, len(first), 1000):
+                own = np.append(first[a : a + 1000], first[a + 1000] if a + 1000 < len(first) else len(doc))
+                lists = pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), pa.array(anchor[own[0] : own[-1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[own[:-1]]), lists], names=["doc_id", "anchors"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = rows.filter("doc_id is not null").mapInArrow(gather, "kind int, shard int, anchors binary, docs binary")
-    told = cut(met.repartition("shard").mapInArrow(answer, "doc_id long, anchors array<long>"))
-    hot = np.array([x for r in told.filter("doc_id is null").select("anchors").collect() for x in r[0]], np.int64).reshape(-1, 2)
-    return told.filter("doc_id is not null").groupBy("doc_id").agg(F.flatten(F.collect_list("anchors")).alias("anchors")), {a: -(-n // HOT) for a, n in hot.tolist()}
+    told = cut(met.repartition("shard").sortWithinPartitions("shard").mapInArrow(answer, "home int, docs binary, anchors binary"))
+    # at most one anchor for each HOT anchors of documents
+    hot = {a: -(-n // HOT) for r in told.filter("home < 0").collect() for n, a in zip(np.frombuffer(r["docs"], np.int64).tolist(), np.frombuffer(r["anchors"], np.int64).tolist(), strict=True)}
+    recurring = told.filter("home >= 0").repartition("home").sortWithinPartitions("home").mapInArrow(by_doc, "doc_id long, anchors array<long>")
+    return recurring, hot
+
+
+def by_shard(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[list]]:
+    """The rows of each shard; batches come sorted by that column."""
+    rows: list[list] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and rows[-1][column] != row[column]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
 
 
 def _stretches(marked: DataFrame, hot: dict[int, int], window: int) -> DataFrame:
@@ -260,64 +306,57 @@ def _covered(stretches: DataFrame, window: int) -> DataFrame:
         where: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
         for doc_id, text_id, at, words in rows:
             where[words].append((doc_id, text_id, at))
-        # copies of one stretch are covered as a whole; the automaton looks for windows that different stretches share
-        streams, owner, several = [], {}, set()
+        streams, owner, passages = [], {}, {}
         for words, places in where.items():
             low = min(p[0] for p in places)
-            n = words.count(b" ") + 1
-            for doc_id, text_id, at in places:
-                if doc_id > low:
-                    yield doc_id, text_id, at, n
-            stream = np.fromiter(map(numbers.__getitem__, words.split(b" ")), np.int32, n)
-            streams.append((stream, low, [p for p in places if p[0] == low]))
+            stream = np.fromiter(map(numbers.__getitem__, words.split(b" ")), np.int32)
+            streams.append((stream, low, places))
             raw = stream.tobytes()
+            if any(p[0] > low for p in places):
+                passages[raw] = low
             for b in range(0, len(raw) - 4 * window + 4, 4):
                 key = raw[b : b + 4 * window]
                 before = owner.get(key)
                 if before is None:
                     owner[key] = low
                 elif before != low:
-                    several.add(key)
-                    if low < before:
-                        owner[key] = low
-        if not several:
+                    owner[key] = passages[key] = min(low, before, passages.get(key, low))
+        if not passages:
             return
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key in several:
-            automaton.add_word(tuple(np.frombuffer(key, np.int32).tolist()), owner[key])
+        for key, least in passages.items():
+            automaton.add_word(tuple(np.frombuffer(key, np.int32).tolist()), (len(key) // 4, least))
         automaton.make_automaton()
         for stream, low, places in streams:
-            begin = stop = None
-            spans = []
-            for end, least in automaton.iter(tuple(stream.tolist())):
-                if least >= low:
-                    continue
-                b = end - window + 1
-                if begin is not None and b <= stop:
-                    stop = end + 1
-                    continue
-                if begin is not None:
-                    spans.append((begin, stop - begin))
-                begin, stop = b, end + 1
-            if begin is not None:
-                spans.append((begin, stop - begin))
-            for doc_id, text_id, at in places:
-                for b, n in spans:
-                    yield doc_id, text_id, at + b, n
+            found = [(end + 1 - n, end + 1, least) for end, (n, least) in automaton.iter(tuple(stream.tolist()))]
+            if not found:
+                continue
+            for copies in (False, True):  # the smallest id's place, and all others, which see the stretch itself as a passage
+                own = [p for p in places if (p[0] > low) == copies]
+                spans = _joined([(b, e) for b, e, least in found if least < low or (copies and least == low)]) if own else ()
+                for doc_id, text_id, at in own:
+                    for b, e in spans:
+                        yield doc_id, text_id, at + b, e - b
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, out = [], []
-        for batch in batches:
-            for kind, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if kind:
-                    out.extend((d, t, at, int(n)) for d, t, at, n in _unpack(packed))
-                else:
-                    rows.extend(_unpack(packed))
-        out.extend(shard(rows))
-        columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["doc_id", "text_id", "at", "n"])
-
-    return stretches.repartition("shard").mapInArrow(locate, "doc_id long, text_id long, at int, n int")
+        for rows in by_shard(batches, 1):
+            out = [(d, t, at, int(n)) for kind, _, packed in rows if kind for d, t, at, n in _unpack(packed)]
+            out.extend(shard([r for kind, _, packed in rows if not kind for r in _unpack(packed)]))
+            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["doc_id", "text_id", "at", "n"])
+
+    return stretches.repartition("shard").sortWithinPartitions("shard").mapInArrow(locate, "doc_id long, text_id long, at int, n int")
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that touch or overlap made one."""
+    out: list[tuple[int, int]] = []
+    for b, e in sorted(spans):
+        if out and b <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((b, e))
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
