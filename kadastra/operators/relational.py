@@ -29,32 +29,34 @@ def unique_name_match(rows: DataFrame, dims: DataFrame, bound: str, house: str,
 
 
 def relists(listings: DataFrame, days: int = 60) -> DataFrame:
-    """Per archived listing: whether a later one in the same building with as many rooms looks like it (strict: same floor,
-    area within 5 %, price within 15 %; loose: area within 10 %)."""
+    """Per archived listing: whether one that was first seen within so many days after it, in the same building with as many rooms,
+    looks like it. Relisted: same floor, area within 5 %, price within 15 %; else possibly: area within 10 %.
+
+    Later listings meet earlier ones in buckets of time and area, so that a building is never paired with itself.
+    """
+    span = lambda t: F.floor(F.unix_micros(t) / F.lit(days * 86_400_000_000.0))
     old = listings.filter("archived_at is not null and complex_id is not null")
-    new = listings.select(
+    dealt = old.filter("area is not null and price is not null").withColumn("_t", F.explode(F.array(span(F.col("archived_at")), span(F.col("archived_at")) + 1)))
+    dealt = dealt.withColumn("_a", F.explode(ranking.log_buckets(F.col("area"), 0.90, 1.10, 0.2)))
+    new = listings.filter("area is not null and price is not null").select(
         F.col("id").alias("n_id"), F.col("complex_id").alias("n_complex"), F.col("rooms").alias("n_rooms"), F.col("floor").alias("n_floor"), F.col("area").alias("n_area"), F.col("price").alias("n_price"), F.col("first_seen").alias("n_seen")
     )
-    # later listings meet earlier ones in buckets of time and price, so that a building is never paired with itself
-    week = lambda t: F.floor(F.unix_micros(t) / F.lit(days * 86_400_000_000.0))
-    old = old.withColumn("_t", F.explode(F.array(week(F.col("archived_at")), week(F.col("archived_at")) + 1)))
-    old = old.withColumn("_p", F.explode(ranking.log_buckets(F.col("price"), 0.85, 1.15 / 0.85, 0.3)))
-    new = new.withColumn("n_t", week(F.col("n_seen"))).withColumn("n_p", ranking.log_bucket(F.col("n_price"), 0.3))
-    near = lambda a, b, share: F.abs(a - b) <= b * share
+    new = new.withColumn("n_t", span(F.col("n_seen"))).withColumn("n_a", ranking.log_bucket(F.col("n_area"), 0.2))
+    near = lambda c, share: F.col(f"n_{c}").between(F.col(c) * (1 - share), F.col(c) * (1 + share))
     pair = (
         (F.col("complex_id") == F.col("n_complex"))
         & (F.col("rooms") == F.col("n_rooms"))
         & (F.col("_t") == F.col("n_t"))
-        & (F.col("_p") == F.col("n_p"))
+        & (F.col("_a") == F.col("n_a"))
         & (F.col("id") != F.col("n_id"))
         & (F.col("n_seen") > F.col("archived_at"))
         & (F.col("n_seen") <= F.col("archived_at") + F.expr(f"INTERVAL {days} DAYS"))
-        & near(F.col("n_price"), F.col("price"), 0.15)
-        & near(F.col("n_area"), F.col("area"), 0.10)
+        & near("area", 0.10)
     )
-    strict = F.col("floor").eqNullSafe(F.col("n_floor")) & near(F.col("n_area"), F.col("area"), 0.05)
-    found = old.join(new, pair).groupBy("id").agg(F.bool_or(strict).alias("strict"), F.count(F.lit(1)).alias("n_loose"))
-    return listings.filter("archived_at is not null and complex_id is not null").select("id").join(found, "id", "left").select("id", F.coalesce("strict", F.lit(False)).alias("relisted"), (F.coalesce("n_loose", F.lit(0)) > 0).alias("possibly_relisted"))
+    strict = F.col("floor").eqNullSafe(F.col("n_floor")) & near("area", 0.05) & near("price", 0.15)
+    found = dealt.join(new, pair).groupBy("id").agg(F.bool_or(strict).alias("strict"), F.count(F.lit(1)).alias("n"))
+    known = F.coalesce("strict", F.lit(False))
+    return old.select("id").join(found, "id", "left").select("id", known.alias("relisted"), (~known & (F.coalesce("n", F.lit(0)) > 0)).alias("possibly_relisted"))
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, degrees: float) -> DataFrame:

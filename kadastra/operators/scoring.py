@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kadastra.functions import geo
-from kadastra.functions.stats import clamp, days, whole_days
+from kadastra.functions.stats import clamp
 from kadastra.operators import market, ranking, relational
 
 # ---- hexagons
@@ -59,65 +59,9 @@ def kernel_density(points: DataFrame, weight: str, bandwidth_m: float = 700.0, e
     return cells.groupBy("q", "r").agg(F.sum(mass).alias("people")).filter("people >= 3").withColumn("people", F.round("people", 4))
 
 
-# ---- deal score
-
-
-def deal_scores(listings: DataFrame) -> DataFrame:
-    """Expected unit price from the building (as many rooms, at least 3 others), else from hexagon, ring and city; the price
-    score, and a confidence. A listing never counts among its own comparables: its share is taken out of each sum."""
-    rows = market.base(listings).filter(market.status_condition("active")).withColumn("ppm2", market.ppm2()).filter("ppm2 is not null")
-    q, r = geo.hex_axial(F.col("lat"), F.col("lon"), 400.0)
-    rows = rows.withColumn("q", q).withColumn("r", r).withColumn("rooms4", market.rooms_bucket())
-
-    def others(keys: list[str], n: str, mean: str) -> tuple[Column, Column]:
-        w = Window.partitionBy(*keys)
-        count = F.count(F.lit(1)).over(w) - 1
-        return count.alias(n), ((F.sum("ppm2").over(w) - F.col("ppm2")) / F.nullif(count, F.lit(0))).alias(mean)
-
-    rows = rows.select("*", *others(["complex_id", "rooms4"], "n_building", "p_building"), *others(["q", "r", "rooms4"], "n_hex", "p_hex"))
-    city = rows.groupBy("rooms4").agg(F.percentile("ppm2", F.lit(0.5)).alias("city"))
-    rows = rows.join(city, "rooms4")
-    enough = F.col("n_hex") >= 3
-    blend = (0.35 * F.col("city") + F.when(enough, F.col("p_hex")).otherwise(0.0)) / (0.35 + F.when(enough, 1.0).otherwise(0.0))
-    expected = F.when(F.col("n_building") >= 3, F.col("p_building")).otherwise(blend)
-    index = expected / F.col("ppm2")
-    score = clamp(F.rint(50 + (index - 1) * 200), 0, 100).cast("int")
-    confidence = 30 + F.when(F.col("n_building") >= 3, 30).otherwise(0) + F.when(enough, 20).otherwise(0)
-    return rows.select("id", F.round(expected, 4).alias("expected"), F.round(index, 6).alias("deal_index"), score.alias("price_score"), confidence.cast("int").alias("confidence"))
-
-
-def weighted_share(pairs: list[tuple[float, Column]]) -> Column:
-    """Weighted mean of the parts that are known; null if none is."""
-    total = sum((F.when(c.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for w, c in pairs), F.lit(0.0))
-    value = sum((F.coalesce(F.lit(w) * c, F.lit(0.0)) for w, c in pairs), F.lit(0.0))
-    return value / F.nullif(total, F.lit(0.0))
-
-
-def comparable_score(a: str, b: str) -> Column:
-    """Likeness of two listings from area, floor, rooms and distance, over what both know."""
-    A, B = lambda c: F.col(f"{a}.{c}"), lambda c: F.col(f"{b}.{c}")
-    near = F.exp(-geo.planar_m(A("lat"), A("lon"), B("lat"), B("lon")) / 500.0)
-    area = F.when(A("area").isNotNull() & B("area").isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(A("area") - B("area")) / A("area") / 0.15))
-    return weighted_share([(0.30, near), (0.15, area), (0.20, (A("rooms") == B("rooms")).cast("double")), (0.05, 1.0 / (1 + F.abs(A("floor") - B("floor"))))])
-
-
 # ---- labels, survival, evaluation
 
 
-def outcome_labels(listings: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
-    """Three-valued outcomes: null means that the window is still open, never false."""
-    cut = changes.filter("new_price < old_price").groupBy("listing_id").agg(F.min("changed_at").alias("first_cut"))
-    again = relational.relists(listings).select(F.col("id").alias("r_id"), "relisted")
-    rows = listings.join(cut, F.col("id") == F.col("listing_id"), "left").join(again, F.col("id") == F.col("r_id"), "left")
-    age, life = days(as_of, F.col("first_seen")), days(F.col("archived_at"), F.col("first_seen"))
-    cut_before = F.coalesce(F.col("first_cut") <= F.col("archived_at"), F.lit(False))
-    gone30 = F.when(F.col("archived_at").isNotNull() & (life <= 30), ~cut_before).when(F.col("archived_at").isNotNull() | (age > 30), False)
-    open_ = F.col("archived_at") + F.expr("INTERVAL 60 DAYS") > as_of
-    clean = F.when(F.col("archived_at").isNull(), None).when(F.coalesce("relisted", F.lit(False)), False).when(open_, None).otherwise(True)
-    survives = F.when(F.col("archived_at").isNotNull() & (life <= 90), False).when(F.coalesce(life, age) > 90, True)
-    return rows.select("id", gone30.alias("disappeared_within_30d"), clean.alias("clean_disappearance"), F.coalesce("relisted", F.lit(False)).alias("relisted"), survives.alias("survives_90d"), whole_days(F.col("archived_at"), F.col("first_seen")).alias("time_on_market"))
-
-
 def kaplan_meier(rows: DataFrame, keys: list[str], time: str, event: str) -> DataFrame:
     """S(t) at each time with an event: the product of 1 - d / n over event times, n at risk being those that last to t."""
     by_time = rows.groupBy(*keys, time).agg(F.sum(F.col(event).cast("int")).alias("d"), F.count(F.lit(1)).alias("m"))

@@ -170,42 +170,6 @@ def sc_annuity(m):
 # ---- scores
 
 
-@book.query(
-    "dm_deal_score",
-    f"""{BASE_SQL}, h AS ({hexed('(SELECT * FROM base WHERE active AND ppm2 IS NOT NULL)', 'lat', 'lon', 400.0)}),
- w AS (SELECT *, count(*) OVER (PARTITION BY complex_id, rooms4) - 1 AS nb, (sum(ppm2) OVER (PARTITION BY complex_id, rooms4) - ppm2) / nullif(count(*) OVER (PARTITION BY complex_id, rooms4) - 1, 0) AS pb,
-  count(*) OVER (PARTITION BY q, r, rooms4) - 1 AS nh, (sum(ppm2) OVER (PARTITION BY q, r, rooms4) - ppm2) / nullif(count(*) OVER (PARTITION BY q, r, rooms4) - 1, 0) AS ph FROM h),
- c AS (SELECT rooms4, quantile_cont(ppm2, 0.5) AS city FROM h GROUP BY 1),
- e AS (SELECT id, ppm2, nb, nh, CASE WHEN nb >= 3 THEN pb ELSE (0.35::DOUBLE * city + CASE WHEN nh >= 3 THEN ph ELSE 0 END) / (0.35::DOUBLE + CASE WHEN nh >= 3 THEN 1.0 ELSE 0.0 END) END AS x FROM w JOIN c USING (rooms4))
- SELECT id, round(x, 4) AS expected, round(x / ppm2, 6) AS deal_index, CAST(greatest(0, least(100, round_even(50 + (x / ppm2 - 1) * 200, 0))) AS INTEGER) AS price_score, CAST(30 + CASE WHEN nb >= 3 THEN 30 ELSE 0 END + CASE WHEN nh >= 3 THEN 20 ELSE 0 END AS INTEGER) AS confidence FROM e""",
-)
-def dm_deal_score(m):
-    return scoring.deal_scores(m.listings)
-
-
-@book.query(
-    "dm_comparable_score",
-    f"""{L} SELECT a.id AS a_id, b.id AS b_id, round((0.30 * exp(-sqrt(power((a.lat - b.lat) * 111000.0::DOUBLE, 2) + power((a.lon - b.lon) * cos(radians(a.lat)) * 111000.0::DOUBLE, 2)) / 500.0::DOUBLE) + coalesce(0.15 * greatest(0.0::DOUBLE, 1 - abs(a.area - b.area) / a.area / 0.15), 0) + 0.20 * CASE WHEN a.rooms = b.rooms THEN 1 ELSE 0 END + 0.05 / (1 + abs(a.floor - b.floor)))
-  / (0.30 + CASE WHEN a.area IS NULL OR b.area IS NULL THEN 0 ELSE 0.15 END + 0.20 + 0.05), 6) AS score FROM listings a JOIN listings b ON a.seller_id = b.seller_id AND a.id < b.id""",
-)
-def dm_comparable_score(m):
-    pairs = m.listings.alias("a").join(m.listings.alias("b"), (F.col("a.seller_id") == F.col("b.seller_id")) & (F.col("a.id") < F.col("b.id")))
-    return pairs.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.round(scoring.comparable_score("a", "b"), 6).alias("score"))
-
-
-@book.query(
-    "dm_outcome_labels",
-    f"""{WITH_CHANGES}, cu AS (SELECT listing_id, min(changed_at) AS fc FROM changes WHERE new_price < old_price GROUP BY 1), rl AS (SELECT o.id, bool_or(o.floor IS NOT DISTINCT FROM n.floor AND abs(n.area - o.area) <= o.area * 0.05) AS strict FROM listings o JOIN listings n
-  ON o.complex_id = n.complex_id AND o.rooms = n.rooms AND o.id <> n.id AND n.first_seen > o.archived_at AND n.first_seen <= o.archived_at + INTERVAL 60 DAY AND abs(n.price - o.price) <= o.price * 0.15 AND abs(n.area - o.area) <= o.area * 0.10 WHERE o.archived_at IS NOT NULL GROUP BY 1),
- x AS (SELECT l.*, fc, coalesce(strict, FALSE) AS rel, (epoch_us({NOW}) - epoch_us(first_seen)) / 86400000000.0::DOUBLE AS age, (epoch_us(archived_at) - epoch_us(first_seen)) / 86400000000.0::DOUBLE AS life FROM listings l LEFT JOIN cu ON listing_id = l.id LEFT JOIN rl ON rl.id = l.id)
- SELECT id, CASE WHEN archived_at IS NOT NULL AND life <= 30 THEN NOT coalesce(fc <= archived_at, FALSE) WHEN archived_at IS NOT NULL OR age > 30 THEN FALSE END AS disappeared_within_30d,
-  CASE WHEN archived_at IS NULL THEN NULL WHEN rel THEN FALSE WHEN archived_at + INTERVAL 60 DAY > {NOW} THEN NULL ELSE TRUE END AS clean_disappearance, rel AS relisted,
-  CASE WHEN archived_at IS NOT NULL AND life <= 90 THEN FALSE WHEN coalesce(life, age) > 90 THEN TRUE END AS survives_90d, CAST(trunc(life) AS INTEGER) AS time_on_market FROM x""",
-)
-def dm_outcome_labels(m):
-    return scoring.outcome_labels(m.listings, m.changes, as_of())
-
-
 _KM = f"""{L}, o AS (SELECT housing_class, greatest(0.5::DOUBLE, floor((epoch_us(coalesce(archived_at, {NOW})) - epoch_us(first_seen)) / 86400000000.0::DOUBLE)) AS t, archived_at IS NOT NULL AS e FROM listings WHERE coalesce(archived_at, {NOW}) >= first_seen),
  g AS (SELECT housing_class, t, sum(CASE WHEN e THEN 1 ELSE 0 END) AS d, count(*) AS m FROM o GROUP BY 1, 2), a AS (SELECT *, sum(m) OVER (PARTITION BY housing_class ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS n FROM g),
  k AS (SELECT housing_class, t, n, d, CASE WHEN max(CASE WHEN d = n THEN 1 ELSE 0 END) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN d < n THEN ln(1 - CAST(d AS DOUBLE) / n) ELSE 0 END) OVER w) END AS s FROM a WHERE d > 0 WINDOW w AS (PARTITION BY housing_class ORDER BY t ROWS UNBOUNDED PRECEDING))"""

@@ -57,10 +57,13 @@ def jn_priority_chain(m):
     return relational.unique_name_match(rows, m.customer, "bound", "house", "nm", "c_custkey", "c_nationkey", "c_name").select("o_orderkey", "resolved_id")
 
 
-RELISTS_SQL = f"""{L}, p AS (SELECT o.id, bool_or(o.floor IS NOT DISTINCT FROM n.floor AND abs(n.area - o.area) <= o.area * 0.05) AS strict, count(*) AS k FROM listings o JOIN listings n
-  ON o.complex_id = n.complex_id AND o.rooms = n.rooms AND o.id <> n.id AND n.first_seen > o.archived_at AND n.first_seen <= o.archived_at + INTERVAL 60 DAY AND abs(n.price - o.price) <= o.price * 0.15 AND abs(n.area - o.area) <= o.area * 0.10
-  WHERE o.archived_at IS NOT NULL GROUP BY 1)
- SELECT l.id, coalesce(strict, FALSE) AS relisted, coalesce(k, 0) > 0 AS possibly_relisted FROM listings l LEFT JOIN p ON l.id = p.id WHERE archived_at IS NOT NULL"""
+#: Of listings o and later ones n that may be o again: strict, and how many there are.
+RELIST_MATCH_SQL = """SELECT o.id, bool_or(o.floor IS NOT DISTINCT FROM n.floor AND n.area BETWEEN o.area * 0.95::DOUBLE AND o.area * 1.05::DOUBLE AND n.price BETWEEN o.price * 0.85::DOUBLE AND o.price * 1.15::DOUBLE) AS strict, count(*) AS k
+  FROM listings o JOIN listings n ON o.complex_id = n.complex_id AND o.rooms = n.rooms AND o.id <> n.id AND n.first_seen > o.archived_at AND n.first_seen <= o.archived_at + INTERVAL 60 DAY
+   AND n.area BETWEEN o.area * 0.9::DOUBLE AND o.area * 1.1::DOUBLE
+  WHERE o.archived_at IS NOT NULL AND o.price IS NOT NULL AND n.price IS NOT NULL GROUP BY 1"""
+RELISTS_SQL = f"""{L}, p AS ({RELIST_MATCH_SQL})
+ SELECT l.id, coalesce(strict, FALSE) AS relisted, NOT coalesce(strict, FALSE) AND coalesce(k, 0) > 0 AS possibly_relisted FROM listings l LEFT JOIN p ON l.id = p.id WHERE archived_at IS NOT NULL"""
 
 
 @book.query("jn_relists", RELISTS_SQL)

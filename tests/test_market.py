@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kadastra.functions import geo, stats, text
-from kadastra.operators import market, relational, scoring
+from kadastra.operators import market, outcomes, relational, scoring
 
 SCHEMA = "id long, price double, area double, rooms int, floor int, district string, housing_class string, complex_id long, first_seen timestamp, last_seen timestamp, archived_at timestamp, is_active boolean, is_duplicate boolean, lat double, lon double"
 NOW = dt.datetime(2026, 1, 31)
@@ -69,16 +69,20 @@ def test_demand_verdicts(spark):
 
 def test_relist(spark):
     rows = frame(spark, listing(1, 30e6, 60.0, seen=100, gone=40, active=False), listing(2, 30.5e6, 61.0, seen=35), listing(3, 90e6, 61.0, seen=35))
-    assert [tuple(r) for r in relational.relists(rows).collect()] == [(1, True, True)]
+    assert [tuple(r) for r in relational.relists(rows).collect()] == [(1, True, False)]
 
 
 def test_outcomes_stay_unknown_while_open(spark):
     rows = frame(spark, listing(1, seen=10), listing(2, seen=40), listing(3, seen=30, gone=10, active=False), listing(4, seen=200, gone=190, active=False, area=99.0))
     none = spark.createDataFrame([], "listing_id long, old_price double, new_price double, changed_at timestamp, seq long")
-    got = {r.id: r for r in scoring.outcome_labels(rows, none, F.lit(NOW)).collect()}
-    assert got[1].disappeared_within_30d is None and got[2].disappeared_within_30d is False
-    assert got[3].disappeared_within_30d is True and got[3].clean_disappearance is None
-    assert got[4].clean_disappearance is True and got[4].survives_90d is False and got[4].time_on_market == 10
+    views = spark.createDataFrame([(4, NOW - dt.timedelta(days=200), 5), (4, NOW - dt.timedelta(days=196), 45), (3, NOW, 7)], "listing_id long, observed_at timestamp, views_count long")
+    labels = outcomes.outcome_labels(rows.withColumn("details_fetched", F.lit(True)), none, views, F.lit(NOW))
+    got = {r.id: r for r in labels.collect()}
+    assert got[1].disappeared_within_30d is None and got[2].disappeared_within_30d is False and got[1].censored and got[1].outcome_notes == "censored"
+    assert got[3].disappeared_within_30d is True and got[3].clean_disappearance_within_30d is None and got[3].relisted_within_60d is None
+    assert got[4].clean_disappearance_within_30d is True and got[4].survives_90d is False and got[4].time_on_market == 10 and got[4].views_velocity == 10.0
+    report = {r.label: (r.resolved, r.n_true) for r in outcomes.outcome_report(labels).collect()}
+    assert report["disappeared_within_30d"] == (3, 2) and report["clean_disappearance_within_30d"] == (2, 1)
 
 
 def test_kaplan_meier(spark):
