@@ -51,6 +51,33 @@ def roman_value(token: Column, most: int = 49) -> Column:
     return F.element_at(table, F.lower(token))
 
 
+#: Cyrillic letters by rows of the alphabet, and what each becomes. Fixed values.
+_CYRILLIC = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
+_LATIN = "a b v g d e e zh z i y k l m n o p r s t u f kh ts ch sh shch  y  e yu ya".split(" ")
+
+
+def transliterate(text: Column) -> Column:
+    """Lower case, Cyrillic letters in Latin ones."""
+    out = F.lower(text)
+    for letter, latin in zip(_CYRILLIC, _LATIN, strict=True):
+        out = F.replace(out, F.lit(letter), F.lit(latin))
+    return out
+
+
+def phase_and_base(name: Column) -> Column:
+    """Struct of the phase of a building's name (an Arabic or Roman number at its end, with or without a word for it) and the rest."""
+    low = F.trim(F.regexp_replace(transliterate(name), r"\s+", " "))
+    pattern = r"^(.*?)[ ,\-]+(?:(?:phase|stage|queue|block) )?(\d{1,2}|[ivxl]{1,6})$"
+    token, rest = F.regexp_extract(low, pattern, 2), F.trim(F.regexp_extract(low, pattern, 1))
+    number = F.when(token.rlike(r"^\d+$"), F.when(token.rlike(r"^\d+$"), token).cast("int")).otherwise(roman_value(token))
+    return F.struct(number.alias("phase"), F.when(number.isNotNull(), rest).otherwise(low).alias("base"))
+
+
+def street_key(address: Column) -> Column:
+    """What stands before the first number of an address, normalised."""
+    return F.nullif(F.trim(F.regexp_extract(normal_address(address), r"^([^0-9]*)", 1)), F.lit(""))
+
+
 def address_hash(address: Column, floor: Column, area: Column) -> Column:
     return F.sha2(F.concat_ws("|", normal_address(address), floor.cast("string"), F.bround(area, 0).cast("long").cast("string")), 256)
 
@@ -85,6 +112,12 @@ def hamming_hex(a: Column, b: Column) -> Column:
     return F.aggregate(letters, F.lit(0), lambda s, x: s + x)
 
 
+def text_flags(text: Column, rules: dict[str, str]) -> Column:
+    """Names of all rules, in their order, whose pattern the text holds."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array_compact(F.array(*[F.when(low.rlike(pattern), F.lit(name)) for name, pattern in rules.items()]))
+
+
 def fold(key: Column, folds: int = 10) -> Column:
     """Stable fold of a key by its digest."""
     return (F.conv(F.substring(F.sha2(key, 256), 1, 15), 16, 10).cast("long") % folds).cast("int")

@@ -74,6 +74,15 @@ def stale(listings: DataFrame, as_of, days: int, coverage_pct: float, least_cove
     return listings.filter(healthy & F.col("archived_at").isNull() & (F.col("last_seen") < as_of - F.expr(f"INTERVAL {days} DAYS")))
 
 
-def reopened(listings: DataFrame) -> DataFrame:
-    """Listings that were seen again after they had been archived."""
-    return listings.filter("archived_at is not null and last_seen > archived_at")
+def reopened(listings: DataFrame, sightings: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """(reopened, episodes). A listing seen after it was archived is a candidate; a later sighting that confirms it (id, seen_at,
+    price, confirmed) reopens it, and its time away becomes an episode (id, archived_at, reactivated_at, days_away). Sightings
+    that came after as_of are not known yet; of several confirmed ones the first counts."""
+    waiting = listings.filter("archived_at is not null and last_seen > archived_at").select("id", "archived_at")
+    known = sightings.filter(F.col("confirmed") & (F.col("seen_at") <= as_of)).select(F.col("id").alias("s_id"), "seen_at", "price")
+    first = waiting.join(known, (F.col("id") == F.col("s_id")) & (F.col("seen_at") > F.col("archived_at"))).groupBy("id", "archived_at").agg(F.min(F.struct("seen_at", "price")).alias("s"))
+    away = (F.unix_micros("s.seen_at") - F.unix_micros("archived_at")) / F.lit(86_400_000_000.0)
+    episodes = first.select("id", "archived_at", F.col("s.seen_at").alias("reactivated_at"), F.round(away, 4).alias("days_away"))
+    back = first.select(F.col("id").alias("b_id"), F.col("s.seen_at").alias("b_seen"), F.col("s.price").alias("b_price"))
+    opened = listings.join(back, F.col("id") == F.col("b_id")).select("id", F.col("b_price").alias("price"), F.lit(True).alias("is_active"), F.col("b_seen").alias("last_seen"))
+    return opened, episodes
