@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kadastra.functions import geo, text
-from kadastra.operators import market, picks
+from kadastra.operators import market, models, picks
 from kadastra.plans.book import Book
 from kadastra.plans.dashboards import BASE_SQL, NOW, WITH_CHANGES
 from kadastra.plans.domain import hexed
@@ -113,6 +113,18 @@ def dm_liquidity_features(m):
     return picks.liquidity_features(market.base(m.listings), m.changes, F.lit("1998-01-01").cast("timestamp"))
 
 
+FEATURES = ["log_price", "log_area", "floor", "age", "price_rank", "against_segment", "against_complex", "segment_stock", "complex_stock", "n_cuts", "n_changes", "deepest_cut", "days_since_change", "segment_exits", "segment_days"]
+
+
+@book.query("dm_liquidity_model")  # a trained model has no SQL
+def dm_liquidity_model(m):
+    """Each listing's chance to go within 90 days, from models that never saw its building."""
+    rows, moment = market.base(m.listings), F.lit("1998-01-01").cast("timestamp")
+    known = picks.liquidity_features(rows, m.changes, moment).join(models.exit_label(rows, moment, 90), "id")
+    with_group = known.join(rows.select("id", "complex_id"), "id")
+    return models.grouped_scores(with_group, FEATURES, "complex_id").select("id", "fold", "label", F.round("score", 6).alias("score"))
+
+
 # ---- scalar functions
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kadastra.functions import geo, stats, text
-from kadastra.operators import market, outcomes, relational, scoring
+from kadastra.operators import deal, economics, linking, market, models, outcomes, picks, ranking, relational, scenario, scoring
 
 SCHEMA = "id long, price double, area double, rooms int, floor int, district string, housing_class string, complex_id long, first_seen timestamp, last_seen timestamp, archived_at timestamp, is_active boolean, is_duplicate boolean, lat double, lon double"
 NOW = dt.datetime(2026, 1, 31)
@@ -142,3 +142,95 @@ def test_text_functions(spark):
     assert value(text.only_hit(F.lit("red ring"), [("colour", "red"), ("shape", "ring")], "unknown")) == "unknown"
     assert value(text.hamming_hex(F.lit("ff00"), F.lit("ff10"))) == 1
     assert "[mail]" in value(text.scrub(F.lit("write to a.b@c.example <b>now</b> +7 701 123 45 67")))
+
+
+def test_isotonic(spark):
+    def slow(values, weights):
+        blocks = [[v, w, 1] for v, w in zip(values, weights)]
+        i = 0
+        while i < len(blocks) - 1:
+            if blocks[i][0] > blocks[i + 1][0]:
+                (v, w, n), (x, y, m) = blocks[i], blocks[i + 1]
+                blocks[i : i + 2] = [[(v * w + x * y) / (w + y), w + y, n + m]]
+                i = max(i - 1, 0)
+            else:
+                i += 1
+        return [v for v, _, n in blocks for _ in range(n)]
+
+    cases = [([5.0, 1.0, 3.0, 2.0, 8.0, 6.0, 9.0], [1.0] * 7), ([1.0, 2.0, 3.0], [1.0, 5.0, 2.0]), ([4.0, 3.0, 3.5, 1.0], [2.0, 1.0, 4.0, 0.5]), ([7.0], [3.0]), ([], [])]
+    rows = spark.createDataFrame([(i, v, w) for i, (v, w) in enumerate(cases)], "i int, v array<double>, w array<double>")
+    got = {r.i: r.f for r in rows.select("i", scenario.isotonic(F.col("v"), F.col("w")).alias("f")).collect()}
+    for i, (v, w) in enumerate(cases):
+        assert got[i] == pytest.approx(slow(v, w)) and got[i] == sorted(got[i])
+
+
+def test_interpolation_is_constant_beyond_its_ends(spark):
+    row = spark.createDataFrame([([0.0, 1.0, 3.0], [2.0, 4.0, 5.0])], "xs array<double>, ys array<double>")
+    at = [-1.0, 0.0, 0.5, 1.0, 2.0, 3.0, 9.0]
+    got = row.select(*[scenario.interpolate(F.col("xs"), F.col("ys"), F.lit(x)).alias(f"c{i}") for i, x in enumerate(at)]).first()
+    assert list(got) == [2.0, 2.0, 3.0, 4.0, 4.5, 5.0, 5.0]
+
+
+def test_scenarios_never_rise_with_the_discount(spark):
+    rows = [listing(i, 1e7 + 1e5 * (i % 13), 20.0 + i % 5, seen=120, gone=120 - 5 - 3 * (i % 20), active=False) for i in range(60)] + [listing(100 + i, 1.1e7, 20.0, seen=10) for i in range(5)]
+    got = {}
+    for r in scenario.dom_scenarios(frame(spark, *rows), F.lit(NOW)).collect():
+        got.setdefault(r.id, []).append((r.discount, r.days_low, r.days_high, r.level))
+    assert got.keys() == {100 + i for i in range(5)}
+    for own in got.values():
+        own.sort()
+        assert [d for d, *_ in own] == [0, 3, 5, 7, 10] and own[0][3] == "district_rooms"
+        assert all(a[1] >= b[1] and a[2] >= b[2] and 3 <= b[1] <= b[2] <= 180 for a, b in zip(own, own[1:]))
+
+
+def test_running_sums_over_a_whole_table(spark):
+    values = [(i * 37 % 101, i) for i in range(300)]
+    got = {r.k: (r.v_before, r.v_all) for r in ranking.running(spark.createDataFrame(values, "v long, k long").repartition(7), ["v", "k"], ["v"]).collect()}
+    run = 0
+    for v, k in sorted(values):
+        assert got[k] == (run, sum(x for x, _ in values))
+        run += v
+    assert ranking.ranked(spark.createDataFrame([], "v long, k long"), ["v", "k"]).collect() == []
+
+
+def test_similarity_lies_between_0_and_1(spark):
+    import random
+
+    rng = random.Random(5)
+    maybe = lambda v: None if rng.random() < 0.2 else v
+    one = lambda: (maybe(rng.randint(1, 3)), maybe(rng.randint(1, 3)), rng.uniform(20, 90), maybe(rng.randint(1, 12)), maybe(rng.randint(1990, 2025)), maybe(60.0), maybe(75.0), 51.1 + rng.random() / 50, 71.4 + rng.random() / 50)
+    kind = "struct<house_id:long,complex_id:long,area:double,floor:int,year:int,class_ord:double,finish_ord:double,lat:double,lon:double>"
+    rows = spark.createDataFrame([(one(), one()) for _ in range(200)] + [(x := one(), x)], f"a {kind}, b {kind}")
+    got = [r[0] for r in rows.select(deal.similarity(F.col("a"), F.col("b"))).collect()]
+    assert all(0 <= s <= 1 for s in got) and got[-1] == pytest.approx(1.0)
+
+
+def test_bargain_ladder(spark):
+    offers = spark.createDataFrame([(1, 9.0e6, True, False), (2, 1.0e7, True, False), (3, 1.3e7, False, False), (4, 1.0e7, True, True), (5, 1.0e7, True, False)], "id long, price double, is_owner boolean, is_urgent boolean")
+    peers = spark.createDataFrame([(i, 1.0e7, d) for i in (1, 2, 3, 4) for d in (40.0, 40.0, 5.0)], "id long, price double, days_seen double")
+    got = {r.id: (r.market, r.discount, r.target) for r in economics.bargain(offers, peers).collect()}
+    assert got[1] == ("cold", 1.0, 8910000) and got[2] == ("cold", 8.0, 9200000) and got[3] == ("cold", 20.0, 9700000)
+    assert got[4] == ("cold", 11.0, 8900000) and got[5] == ("unknown", 0.0, None)
+
+
+def test_sources_merge_along_chains_and_keep_the_richest(spark):
+    rows = spark.createDataFrame([(1, "a", 1, 10, None), (2, "a", 1, 10, 7), (3, None, 1, 10, 7), (4, "z", 9, 9, 9), (5, None, None, None, None)], "k long, p string, q int, r int, s int")
+    assert {r.k: r.kept for r in linking.merge_sources(rows, "k", ["p", "q", "r", "s"]).collect()} == {1: 2, 2: 2, 3: 2, 4: 4, 5: 5}
+
+
+def test_spans_without_episodes(spark):
+    spans = spark.createDataFrame([(1, 0, 100), (2, 0, 10)], "k long, start long, end long")
+    breaks = spark.createDataFrame([(1, 10, 20), (1, 15, 30), (1, 90, 200), (3, 0, 5)], "k long, start long, end long")
+    assert sorted(map(tuple, economics.active_spans(spans, breaks, ["k"]).collect())) == [(1, 0, 10), (1, 30, 90), (2, 0, 10)]
+
+
+def test_grouped_scores_order_what_can_be_told(spark):
+    rows = spark.createDataFrame([(i, float(i % 2), i % 37, i % 2 + (i % 7) / 10.0, None if i % 5 else 1.0) for i in range(600)], "id long, label double, g long, x double, y double")
+    scored = models.grouped_scores(rows, ["x", "y"], "g")
+    assert scored.count() == 600 and scoring.auc(scored, "score", "label").first().auc > 0.99
+
+
+def test_walkability_takes_the_nearest_on_foot(spark):
+    rows = spark.createDataFrame([(1, "shop", i, 100.0, w) for i, w in enumerate([300.0, 190.0, None, 120.0, 500.0])], "place long, kind string, poi long, straight_m double, walked_m double")
+    got = picks.walkability(rows, top=2).first()
+    assert (got.n, got.nearest_m, got.mean_m, got.barrier) == (2, 120.0, 155.0, False)
