@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from kadastra import shared
 from kadastra.functions import geo, stats, text
 from kadastra.operators import deal, economics, linking, market, models, outcomes, picks, ranking, relational, scenario, scoring
 
@@ -234,3 +235,12 @@ def test_walkability_takes_the_nearest_on_foot(spark):
     rows = spark.createDataFrame([(1, "shop", i, 100.0, w) for i, w in enumerate([300.0, 190.0, None, 120.0, 500.0])], "place long, kind string, poi long, straight_m double, walked_m double")
     got = picks.walkability(rows, top=2).first()
     assert (got.n, got.nearest_m, got.mean_m, got.barrier) == (2, 120.0, 155.0, False)
+
+
+def test_written_paths_can_be_discarded(spark):
+    path = shared.new_path(spark, "scratch")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and shared.discard(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    assert shared.discard(spark) == 0
