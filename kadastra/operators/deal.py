@@ -56,13 +56,14 @@ def similarity(a: Column, b: Column) -> Column:
     return F.coalesce(weighted_share([(FACTOR_WEIGHTS[k], v) for k, v in factors.items()]), F.lit(0.0))
 
 
-def weighted_median_of_top(pairs: DataFrame, keys: list[str], value: str, weight: str, tie: str, top: int = TOP) -> DataFrame:
+def weighted_median_of_top(pairs: DataFrame, keys: list[str], value: str, weight: str, tie: str, top: int = TOP, least: int = 1) -> DataFrame:
     """(keys, median): the weighted median of the `top` rows of the greatest positive weight of each key, ties by `tie`: the first value,
-    in order, at which half of the weight is reached."""
-    best = Window.partitionBy(*keys).orderBy(F.desc(weight), tie)
-    upto = Window.partitionBy(*keys).orderBy(value, weight).rowsBetween(Window.unboundedPreceding, 0)
-    few = pairs.filter(F.col(weight) > 0).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= top)
-    summed = few.withColumn("_run", F.sum(weight).over(upto)).withColumn("_all", F.sum(weight).over(Window.partitionBy(*keys)))
+    in order, at which half of the weight is reached. Keys of under `least` rows have none."""
+    own = Window.partitionBy(*keys)
+    best, upto = own.orderBy(F.desc(weight), tie), own.orderBy(value, weight).rowsBetween(Window.unboundedPreceding, 0)
+    enough = pairs.withColumn("_n", F.count(F.lit(1)).over(own)).filter((F.col("_n") >= least) & (F.col(weight) > 0))
+    few = enough.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= top)
+    summed = few.withColumn("_run", F.sum(weight).over(upto)).withColumn("_all", F.sum(weight).over(own))
     return summed.filter(F.col("_run") >= F.col("_all") / 2).groupBy(*keys).agg(F.min(value).alias("median"))
 
 
@@ -79,35 +80,34 @@ def deal_scores(listings: DataFrame, edge_m: float = 400.0) -> DataFrame:
     rows = rows.withColumn("rooms4", market.rooms_bucket()).withColumn("q", q).withColumn("r", r)
     ordinals = (lookup(CLASS_ORDINAL, F.col("class")).alias("class_ord"), lookup(FINISH_ORDINAL, F.col("finish")).alias("finish_ord"))
     rows = rows.withColumn("own", F.struct("id", "ppm2", "house_id", "complex_id", F.col("area").cast("double").alias("area"), "floor", "year", *ordinals, "lat", "lon"))
-    rows = cut(rows)  # read by every pool
+    cell = ["rooms4", "q", "r"]
+    rows = cut(rows.withColumn("at", F.row_number().over(Window.partitionBy(*cell).orderBy("id"))))  # read by every pool
 
-    by_area = Window.partitionBy("complex_id", "rooms4").orderBy("area", "id").rowsBetween(-(POOL // 2), POOL // 2)
-    low, high = F.col("area") * (1 - AREA_BAND), F.col("area") * (1 + AREA_BAND)
-    around = F.filter(F.collect_list("own").over(by_area), lambda x: (x["id"] != F.col("id")) & x["area"].between(low, high))
-    rows = rows.withColumn("building", F.when(F.col("complex_id").isNotNull(), around).otherwise(F.array().cast("array<struct<id:long,ppm2:double,house_id:long,complex_id:long,area:double,floor:int,year:int,class_ord:double,finish_ord:double,lat:double,lon:double>>")))
+    def medians(pairs: DataFrame, least: int, name: str) -> DataFrame:
+        alike = pairs.select("id", F.col("x.ppm2").alias("v"), F.col("x.id").alias("tie"), similarity(F.col("own"), F.col("x")).alias("s"))
+        return weighted_median_of_top(alike, ["id"], "v", "s", "tie", least=least).withColumnRenamed("median", name)
 
-    cell = ["rooms4", "q", "r"]
-    first = lambda n: F.row_number().over(Window.partitionBy(*cell).orderBy("id")) <= n
-    few = rows.select(*cell, "id", "own").withColumn("few", first(POOL + 1)).filter("few")
-    sizes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
-    own = few.groupBy(*cell).agg(F.sort_array(F.collect_list("own")).alias("hex")).join(sizes, cell)
+    by_area = Window.partitionBy("complex_id", "rooms4").orderBy("area", "id").rowsBetween(-(POOL // 2), POOL // 2)
+    near_area = rows.filter("complex_id is not null").select("id", "own", "area", F.collect_list("own").over(by_area).alias("pool"))
+    in_band = F.col("x.area").between(F.col("area") * (1 - AREA_BAND), F.col("area") * (1 + AREA_BAND))
+    building = near_area.select("id", "own", "area", F.explode("pool").alias("x")).filter((F.col("x.id") != F.col("id")) & in_band)
+    m0 = cut(medians(building, LEAST_BUILDING, "m0"))
+
+    rest = rows.join(m0, "id", "left_anti").select("id", "own", "at", *cell)
+    few = rows.filter(F.col("at") <= POOL + 1).select(*cell, F.col("own").alias("x"), F.col("at").alias("x_at"))
+    hexagon = rest.join(few, cell).filter((F.col("x.id") != F.col("id")) & ((F.col("x_at") <= POOL) | (F.col("at") <= POOL)))
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in geo.SIX])
     spread = lambda df: df.withColumn("o", F.explode(steps)).withColumn("q", F.col("q") + F.col("o.a")).withColumn("r", F.col("r") + F.col("o.b")).drop("o")
-    ring = spread(few.select(*cell, "id", "own")).withColumn("few", first(POOL)).filter("few").groupBy(*cell).agg(F.collect_list("own").alias("ring"))
-    ring = ring.join(spread(sizes).groupBy(*cell).agg(F.sum("n").alias("ring_n")), cell)
+    first = F.row_number().over(Window.partitionBy(*cell).orderBy("x.id")) <= POOL
+    ring = rest.join(spread(few.filter(F.col("x_at") <= POOL)).withColumn("first", first).filter("first"), cell)
+    sizes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
     city = rows.groupBy("rooms4").agg(F.percentile("ppm2", F.lit(0.5)).alias("city"))
-    rows = rows.join(own, cell).join(ring, cell, "left").join(F.broadcast(city), "rooms4")  # at most four rows
+    rows = rows.join(sizes, cell).join(spread(sizes).groupBy(*cell).agg(F.sum("n").alias("ring_n")), cell, "left").join(F.broadcast(city), "rooms4")  # at most four rows
+    for more in (m0, medians(hexagon, LEAST_HEX, "m1"), medians(ring, LEAST_RING, "m2")):
+        rows = rows.join(more, "id", "left")
 
     n_hex, n_ring = F.col("n") - 1, F.coalesce("ring_n", F.lit(0))
-    near = F.slice(F.filter("hex", lambda x: x["id"] != F.col("id")), 1, POOL)
-    has_building, has_hex, has_ring = F.size("building") >= LEAST_BUILDING, n_hex >= LEAST_HEX, n_ring >= LEAST_RING
-    none = F.slice("hex", 1, 0)
-    pools = F.array(F.struct(F.lit(0).alias("no"), F.when(has_building, F.col("building")).otherwise(none).alias("of")), F.struct(F.lit(1).alias("no"), F.when(has_hex & ~has_building, near).otherwise(none).alias("of")), F.struct(F.lit(2).alias("no"), F.when(has_ring & ~has_building, F.col("ring")).otherwise(none).alias("of")))
-    pairs = rows.select("id", "own", F.explode(pools).alias("p")).select("id", "own", "p.no", F.explode("p.of").alias("x"))
-    pairs = pairs.select("id", "no", F.col("x.ppm2").alias("v"), F.col("x.id").alias("tie"), similarity(F.col("own"), F.col("x")).alias("s"))
-    found = weighted_median_of_top(pairs, ["id", "no"], "v", "s", "tie")
-    medians = found.groupBy("id").agg(*[F.max(F.when(F.col("no") == n, F.col("median"))).alias(f"m{n}") for n in range(3)])
-    rows = rows.join(medians, "id", "left")
+    has_building, has_hex, has_ring = F.col("m0").isNotNull(), n_hex >= LEAST_HEX, n_ring >= LEAST_RING
     raw = F.coalesce("m0", weighted_share([(CITY_SHARE, F.col("city")), (HEX_SHARE, F.col("m1")), (RING_SHARE, F.col("m2"))]))
     ceiling = F.when(F.col("ceiling").isNull(), 1.0).otherwise(1 + clamp((F.col("ceiling") - 2.7) / 0.10 * 0.06, -0.12, 0.18))
     scored = rows.select("*", raw.alias("raw"), n_hex.alias("hex_n"), n_ring.alias("around_n"), has_building.alias("b"), has_hex.alias("d0"), has_ring.alias("d1"))
