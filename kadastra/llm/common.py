@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BITS = 1 << 27
 
 
-__all__ = ["BITS", "SPACES", "WORD", "bitmap", "cut", "in_bitmap", "new_path", "shared_dir", "table", "word_count"]
+__all__ = ["BITS", "SPACES", "WORD", "bitmap", "cut", "held", "in_bitmap", "new_path", "shared_dir", "table", "word_count"]
 
 
 def word_count(text: Column) -> Column:
@@ -28,6 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet in the shared folder: columns that a reader leaves out are never read again."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def bitmap(hashes: DataFrame) -> DataFrame:
     """A bitmap over the first column's hashes: (bucket, bits), at most BITS bits whatever the number of rows."""
     at = F.pmod(F.col(hashes.columns[0]), F.lit(BITS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from kadastra.llm import exact_dedup, line_dedup, mixing, neighbours, repair, sampling, simhash, substring_dedup, token_counts, token_files, toxicity
+from kadastra.llm import exact_dedup, jaccard, line_dedup, mixing, neighbours, repair, sampling, simhash, substring_dedup, token_counts, token_files, toxicity
 from kadastra.llm.common import new_path, table
 
 
@@ -66,6 +66,10 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_jaccard_join(spark, sf_dir):
+    return jaccard.linked_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark, sf_dir):
     return repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_jaccard_join": op11_jaccard_join,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
