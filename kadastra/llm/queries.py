@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from kadastra.llm import exact_dedup, jaccard, line_dedup, mixing, neighbours, repair, sampling, simhash, substring_dedup, token_counts, token_files, toxicity
+from kadastra.llm import alignment, exact_dedup, jaccard, line_dedup, mixing, neighbours, repair, sampling, simhash, substring_dedup, token_counts, token_files, toxicity
 from kadastra.llm.common import new_path, table
 
 
@@ -70,6 +70,10 @@ def op11_jaccard_join(spark, sf_dir):
     return jaccard.linked_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_tokenizer_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_conversation_repair(spark, sf_dir):
     return repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
     "op11_jaccard_join": op11_jaccard_join,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_conversation_repair": op13_conversation_repair,
 }
 

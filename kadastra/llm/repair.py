@@ -390,7 +390,7 @@ def _cut_conversations(rows: DataFrame) -> DataFrame:
     hashed = traced.repartition("key").sortWithinPartitions("key", "part", "chunk").mapInArrow(_hashed, "key string, audit string, cost long, repaired_sha256 string")
     seams = F.sort_array(F.collect_list(F.struct("part", "low", "high", "first", "last", "turns")))  # one for each piece
     sums = pieces.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated", "illegal", "turns")], F.min("low").alias("low"), F.max("high").alias("high"), seams.alias("seams"))
-    pair = lambda f: F.coalesce(F.expr(f"aggregate(sequence(2, size(seams)), 0L, (n, i) -> n + if({f}, 1L, 0L))"), F.lit(0))
+    pair = lambda f: F.coalesce(F.expr(f"aggregate(filter(sequence(1, size(seams)), i -> i > 1), 0L, (n, i) -> n + if({f}, 1L, 0L))"), F.lit(0))
     torn = pair("seams[i - 2].last || seams[i - 1].first not in ('su', 'ua', 'au')")
     # the highest known turn before a piece is its predecessor's, as turns grow and nulls come first
     same = pair("seams[i - 2].high is not null and seams[i - 2].high = seams[i - 1].low")

@@ -133,6 +133,13 @@ def test_conversations_cut_by_partitions(spark):
     assert got[9][:6] == want[9][:6]  # ties of turn and role follow the hash of the text
 
 
+def test_cut_conversation_in_one_piece(spark):
+    rows = [(7, t, ["user", "assistant"][t % 2], f"{t % 30}.") for t in range(60)]
+    dealt = repair._dealt(repair.damaged(spark.createDataFrame(rows, SCHEMA)))
+    got = repair._cut_conversations(dealt.coalesce(1)).collect()
+    assert [tuple(r)[1:] for r in got] == [brute_force(rows)[7]]
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None, None), (None, 1, "user", "Hi."), (1, 5, "assistant", "x" * 300_000 + "."), (1, 4, "user", "Hm?"), (1, 4, "user", "Hm?"), (2, 0, "", "a."), (3, -5, "user", "b."), (3, 5, "assistant", "c.")]
     got = result(repair.repair_damaged(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", key int")))
