@@ -56,8 +56,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def _runs(texts: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For stretches of texts: hashes of all words in a row, of the run of `width` words from each on, and how many words each text has."""
     for first, number in chunks(texts, _BYTES):
         words, sizes = white_space_words(pc.ascii_lower(texts.slice(first, number)))
         coded = words.dictionary_encode()
@@ -66,7 +66,12 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
         runs = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
         for place in range(width):
             runs += hashes[place : place + len(runs)] * _MIX[place]
-        runs = _mixed(runs)
+        yield hashes, _mixed(runs), sizes
+
+
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    for hashes, runs, sizes in _runs(texts, width):
         end = 0
         for size in sizes.tolist():
             begin, end = end, end + size
@@ -80,20 +85,14 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def standing_out(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """For each bin of shingle hashes 0, or how often its documents double twice the mean: all documents are counted."""
+    """For each bin of shingle hashes 0, or how often its count doubles twice the mean: all shingles of all documents are counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BINS, np.int64)
         for batch in batches:
-            held, size = [], 0
-            for own in shingle_sets(batch.column(0), width):
-                held.append(own)
-                size += len(own)
-                if size > BINS:
-                    counts += np.bincount(_bin(np.concatenate(held)), minlength=BINS)
-                    held, size = [], 0
-            if held:
-                counts += np.bincount(_bin(np.concatenate(held)), minlength=BINS)
+            for _, runs, sizes in _runs(batch.column(0), width):
+                inside = np.arange(len(runs)) + width <= np.repeat(np.cumsum(sizes), sizes)[: len(runs)]
+                counts += np.bincount(_bin(runs[inside]), minlength=BINS)
         small = counts.astype(np.uint8 if counts.max() < 256 else np.uint16 if counts.max() < 65536 else np.int64).reshape(-1, _BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(small)), pa.int32()), pa.array([r.tobytes() for r in small], pa.binary())], names=["block", "counts"])
 
@@ -251,18 +250,24 @@ def _tile_pairs(met: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
     major = by_root.groupBy("key").agg(F.max(F.struct("times", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", F.col("m.root").alias("major"))
     mixed = met.join(major, "key").withColumn("apart", F.col("root") != F.col("major"))
     parts = lambda n: F.ceil(n / F.lit(TILE)).cast("int")
-    bands = mixed.groupBy("key", "band").agg(parts(F.count(F.lit(1))).alias("all_parts"), parts(F.count_if("apart")).alias("apart_parts"))
-    layout = bands.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("all_parts", "apart_parts")))).alias("layout"))  # bands are few
+    ends = lambda c: (F.min(c), F.max(c))
+    low, high = ends("root")
+    apart_low, apart_high = ends(F.when(F.col("apart"), F.col("root")))
+    bands = mixed.groupBy("key", "band").agg(
+        F.struct(parts(F.count(F.lit(1))).alias("parts"), low.alias("low"), high.alias("high")).alias("all"), F.struct(parts(F.count_if("apart")).alias("parts"), apart_low.alias("low"), apart_high.alias("high")).alias("apart")
+    )
+    layout = bands.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("all", F.col("apart").alias("some"))))).alias("layout"))  # bands are few
     placed = cut(mixed.select("key", "band", "no", "root", "apart").join(layout, "key"))
     near = F.sequence(F.col("band") - 1, F.col("band") + 1)
-    count = lambda b, field: F.coalesce(F.col("layout")[b][field], F.lit(0))
+    # parts of a band that hold a root besides the row's own
+    count = lambda b, side: F.coalesce(F.when((F.col("layout")[b][side]["low"] != F.col("root")) | (F.col("layout")[b][side]["high"] != F.col("root")), F.col("layout")[b][side]["parts"]), F.lit(0))
     numbers = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
-    own = lambda n: F.pmod(F.xxhash64("no"), F.greatest(n, F.lit(1))).cast("int")
+    own = lambda side: F.pmod(F.xxhash64("no"), F.greatest(F.col("layout")[F.col("band")][side]["parts"], F.lit(1))).cast("int")
     left = placed.filter("apart").select(
-        "key", F.col("band").alias("i"), own(count(F.col("band"), "apart_parts")).alias("p"), F.explode(F.flatten(F.transform(near, lambda b: F.transform(numbers(count(b, "all_parts")), lambda q: F.struct(b.alias("j"), q.alias("q")))))).alias("t"), "no", "root", F.lit(0).alias("side")
+        "key", F.col("band").alias("i"), own("some").alias("p"), F.explode(F.flatten(F.transform(near, lambda b: F.transform(numbers(count(b, "all")), lambda q: F.struct(b.alias("j"), q.alias("q")))))).alias("t"), "no", "root", F.lit(0).alias("side")
     )
     right = placed.select(
-        "key", F.col("band").alias("j"), own(count(F.col("band"), "all_parts")).alias("q"), F.explode(F.flatten(F.transform(near, lambda b: F.transform(numbers(count(b, "apart_parts")), lambda p: F.struct(b.alias("i"), p.alias("p")))))).alias("t"), "no", "root", F.lit(1).alias("side")
+        "key", F.col("band").alias("j"), own("all").alias("q"), F.explode(F.flatten(F.transform(near, lambda b: F.transform(numbers(count(b, "some")), lambda p: F.struct(b.alias("i"), p.alias("p")))))).alias("t"), "no", "root", F.lit(1).alias("side")
     )
     names = ["key", "i", "p", "j", "q"]
     dealt = left.select("key", "i", "p", "t.j", "t.q", "no", "root", "side").unionByName(right.select("key", "t.i", "t.p", "j", "q", "no", "root", "side"))
