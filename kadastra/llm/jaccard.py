@@ -24,7 +24,6 @@ nothing. A text without words stays apart even if its id has another. Repeated r
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +45,8 @@ _BLOCK = 1 << 14
 _HAIR = 1.0001
 #: Documents of a part of a band.
 TILE = 1024
+#: Pairs that are compared at a time.
+PAIRS = 1 << 20
 #: Bytes of text whose shingles are at hand at a time.
 _BYTES = 4 << 20
 _MIX = np.array([xxhash.xxh64_intdigest(b"place %d" % i) | 1 for i in range(64)], dtype=np.uint64)
@@ -231,20 +232,53 @@ def _star_pairs(met: DataFrame) -> DataFrame:
 def _tile_pairs(met: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of different roots that share a prefix shingle and that bitmaps allow, from (key, band, no, root)."""
 
+    def linked(no, n, root, side, tile, bits):
+        """Pairs of whole tiles, whose rows stand together, those of the apart first."""
+        wide = np.array([len(b) for b in bits])
+        first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+        rights = np.add.reduceat(side, first)
+        ends = np.concatenate([first[1:], [len(tile)]])
+        left = np.flatnonzero(side == 0)
+        at = np.searchsorted(first, left, side="right") - 1
+        many, begin = rights[at], (ends - rights)[at]
+        total = np.cumsum(many)
+        for low in range(0, int(total[-1]) if len(total) else 0, PAIRS):
+            some = slice(np.searchsorted(total, low, side="right"), np.searchsorted(total, low + PAIRS, side="right"))
+            x = np.repeat(left[some], many[some])
+            y = np.arange(len(x)) + np.repeat(begin[some] - (np.cumsum(many[some]) - many[some]), many[some])
+            fine = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            x, y = x[fine], y[fine]
+            width = np.minimum(wide[x], wide[y])
+            for w in np.unique(width):
+                own_x, own_y = x[width == w], y[width == w]
+                rows, place = np.unique(np.concatenate([own_x, own_y]), return_inverse=True)
+                folded = _folded([bits[i] for i in rows], 8 * int(w))
+                for part in range(0, len(own_x), max(1, (8 << 20) // int(w))):
+                    to = slice(part, part + max(1, (8 << 20) // int(w)))
+                    px, py = own_x[to], own_y[to]
+                    hit = may_link(n[px], folded[place[: len(own_x)][to]], n[py], folded[place[len(own_x) :][to]], percent)
+                    if hit.any():
+                        a, b = no[px[hit]], no[py[hit]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for _, own in groupby(rows, key=lambda r: r[:5]):
-            own = list(own)  # two parts: about twice TILE at most
-            no, n, root, side = (np.array([r[i] for r in own], np.int64) for i in (5, 6, 7, 9))
-            bits = _folded([r[8] for r in own], 8 * min(len(r[8]) for r in own))
-            right, left_found, right_found = np.flatnonzero(side == 1), [], []
-            for x in np.flatnonzero(side == 0):
-                y = right[root[right] != root[x]]
-                y = y[may_link(n[x], bits[x], n[y], bits[y], percent)]
-                left_found.append(np.minimum(no[x], no[y]))
-                right_found.append(np.maximum(no[x], no[y]))
-            if left_found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left_found)), pa.array(np.concatenate(right_found))], names=["a", "b"])
+        rest = None  # rows of the last tile, of which more may come: two parts, about twice TILE at most
+        for batch in batches:
+            numbers = [batch.column(c).to_numpy() for c in (0, 1, 2, 3, 4, 5, 6, 7, 9)]
+            bits = np.array(batch.column(8).to_pylist() + [None], object)[:-1]
+            if rest is not None:
+                numbers, bits = [np.concatenate(c) for c in zip(rest[0], numbers, strict=True)], np.concatenate([rest[1], bits])
+            new = np.zeros(len(bits), bool)
+            for c in numbers[:5]:
+                new[1:] |= c[1:] != c[:-1]
+            last = int(np.flatnonzero(new)[-1]) if new.any() else 0
+            no, n, root, side = numbers[5:]
+            if last:
+                yield from linked(no[:last], n[:last], root[:last], side[:last].astype(np.int64), np.cumsum(new[:last]), bits[:last])
+            rest = [c[last:] for c in numbers], bits[last:]
+        if rest is not None and len(rest[1]):
+            no, n, root, side = rest[0][5:]
+            yield from linked(no, n, root, side.astype(np.int64), np.zeros(len(no), np.int64), rest[1])
 
     by_root = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("times"))
     major = by_root.groupBy("key").agg(F.max(F.struct("times", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", F.col("m.root").alias("major"))
@@ -257,7 +291,7 @@ def _tile_pairs(met: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
         F.struct(parts(F.count(F.lit(1))).alias("parts"), low.alias("low"), high.alias("high")).alias("all"), F.struct(parts(F.count_if("apart")).alias("parts"), apart_low.alias("low"), apart_high.alias("high")).alias("apart")
     )
     layout = bands.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("all", F.col("apart").alias("some"))))).alias("layout"))  # bands are few
-    placed = cut(mixed.select("key", "band", "no", "root", "apart").join(layout, "key"))
+    placed = held(mixed.select("key", "band", "no", "root", "apart").join(layout, "key"), "tile-rows")
     near = F.sequence(F.col("band") - 1, F.col("band") + 1)
     # parts of a band that hold a root besides the row's own
     count = lambda b, side: F.coalesce(F.when((F.col("layout")[b][side]["low"] != F.col("root")) | (F.col("layout")[b][side]["high"] != F.col("root")), F.col("layout")[b][side]["parts"]), F.lit(0))
@@ -272,7 +306,7 @@ def _tile_pairs(met: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
     names = ["key", "i", "p", "j", "q"]
     dealt = left.select("key", "i", "p", "t.j", "t.q", "no", "root", "side").unionByName(right.select("key", "t.i", "t.p", "j", "q", "no", "root", "side"))
     tiles = dealt.join(distinct.select("no", "n", "bits"), "no").select(*names, "no", "n", "root", "bits", "side")
-    return tiles.repartition(*names).sortWithinPartitions(*names).mapInArrow(compare, "a long, b long").distinct()
+    return tiles.repartition(*names).sortWithinPartitions(*names, "side").mapInArrow(compare, "a long, b long").distinct()
 
 
 def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

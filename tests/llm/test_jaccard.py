@@ -77,6 +77,7 @@ def invented(seed):
 @pytest.mark.parametrize("tile", [7, 1024])
 def test_against_all_pairs(spark, monkeypatch, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "PAIRS", 50 * tile)
     rows = invented(tile)
     assert result(jaccard.linked_groups(spark.createDataFrame(rows, SCHEMA))) == brute_force(rows)
 
