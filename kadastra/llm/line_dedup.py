@@ -156,8 +156,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = in_bitmap(rows, "text_id", bitmap(gone.select("text_id")))
     # texts that surely lose no line need no shuffle
     rows = rows.filter("maybe").join(gone, ["no_id", "id", "text_id"], "left").unionByName(rows.filter("not maybe").withColumn("gone", F.lit(None).cast("array<int>")))
-    split = F.split("text", "\n")
-    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains("gone", i)), "\n"))
+    lines = F.split("text", "\n")
+    # the outer lambda binds both lists, so that each is made once for a text; array_except is linear
+    both = F.array(F.struct(lines.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone").alias("stay")))
+    stayed = F.transform(both, lambda b: F.array_join(F.transform(b["stay"], lambda i: F.get(b["lines"], i)), "\n"))[0]
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(stayed)
     more = ["_row"] if carry else []
     return rows.select(*more, F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), left.alias("text"), (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 

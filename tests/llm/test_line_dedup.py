@@ -77,3 +77,14 @@ def test_equal_ids(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_text_of_very_many_lines(spark):
+    import time
+
+    lines = [f"entry {i % 150_000} of the long log" for i in range(300_000)]
+    began = time.monotonic()
+    row = line_dedup.dedup_lines(spark.createDataFrame([(1, "\n".join(lines) + "\nend")], "doc_id long, text string")).collect()[0]
+    assert (row.n_lines, row.n_dropped) == (300_001, 299_999)
+    assert row.text == "entry 0 of the long log\nend"
+    assert time.monotonic() - began < 120
