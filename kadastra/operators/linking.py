@@ -1,4 +1,4 @@
-"""Which record is which: merging of sources, binding of listings to buildings and houses, candidates of properties."""
+"""Which record is which: merging of sources, binding of listings to buildings and houses, photos of pairs."""
 
 from __future__ import annotations
 
@@ -93,30 +93,6 @@ def resolve_houses(listings: DataFrame, houses: DataFrame) -> DataFrame:
     return listings.select("id").join(found.select("id", house.alias("house_id"), method.alias("method")), "id", "left")
 
 
-def property_candidates(listings: DataFrame) -> DataFrame:
-    """Pairs (a, b, method, relation) of listings (id, address_hash, complex_id, rooms, floor, area, first_seen, archived_at) that may be one
-    property: equal address hash, floor and rooms (exact), or the same building, rooms and floor with areas at most 1 apart
-    (fuzzy). relation: parallel if their spans overlap, else successor; conflict if areas of an exact pair differ by over 3.
-
-    Each is paired with the next of its kind alone, in order of (first_seen, id), as chains say the same as all pairs: exact links need the
-    hash, fuzzy ones the next larger area.
-    """
-    end = F.coalesce("archived_at", F.lit("9999-01-01").cast("timestamp"))
-    rows = listings.withColumn("end", end)
-    other = F.struct("id", "area", "first_seen", "end")
-
-    def chain(df: DataFrame, keys: list[str], order: list[str], method: str) -> DataFrame:
-        return df.withColumn("o", F.lead(other).over(Window.partitionBy(*keys).orderBy(*order))).filter("o is not null").withColumn("method", F.lit(method))
-
-    exact = chain(rows.filter("address_hash is not null"), ["address_hash", "floor", "rooms"], ["first_seen", "id"], "exact")
-    fuzzy = chain(rows.filter("complex_id is not null and area is not null"), ["complex_id", "rooms", "floor"], ["area", "id"], "fuzzy").filter("o.area - area <= 1")
-    overlap = (F.col("first_seen") < F.col("o.end")) & (F.col("o.first_seen") < F.col("end"))
-    conflict = (F.col("method") == "exact") & (F.abs(F.col("area") - F.col("o.area")) > 3)
-    relation = F.when(F.coalesce(conflict, F.lit(False)), "conflict").when(overlap, "parallel").otherwise("successor")
-    pairs = exact.unionByName(fuzzy).select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), "method", relation.alias("relation"))
-    return pairs.groupBy("a", "b").agg(F.min(F.struct("method", "relation")).alias("m")).select("a", "b", "m.method", "m.relation")
-
-
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
