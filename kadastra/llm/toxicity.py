@@ -218,7 +218,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Da
     known = docs.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     chosen = named.join(known, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    # one text for each id, the least, however often the id occurs
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
 
 
 def _units(rows: DataFrame) -> DataFrame:
