@@ -135,7 +135,7 @@ def test_odd_inputs(spark):
 def test_sample_has_one_text_for_each_id(spark):
     docs = spark.createDataFrame([(3, "b", 1), (3, "a", 1), (3, "b", 1), (6, None, 1), (7, "x", 1)] + [(9, "c", 1)] * 50, "doc_id long, text string, toxic int")
     labels = spark.createDataFrame([(i, i % 2) for i in (3, 6, 7, 9, 12)], "doc_id long, toxic int")
-    rows = toxicity.sample(docs, labels, "doc_id", "text").collect()
+    rows = t.sample(docs, labels, "doc_id", "text").collect()
     ids = [r.doc_id for r in rows]
     assert len(ids) == len(set(ids)) and set(ids) <= {3, 6, 7, 9}
     assert {r.doc_id: r.text for r in rows}.get(3, "a") == "a"
