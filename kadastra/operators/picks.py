@@ -7,28 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kadastra.functions.stats import days
-from kadastra.operators import relational
+from kadastra.operators import ranking, relational
+from kadastra.shared import cut
 
 LEAST_COMPLEX, LEAST_DISTRICT = 5, 10
 
 
-def rental_picks(offers: DataFrame, low: float = 0.05, high: float = 0.35, limit: int = 20) -> DataFrame:
-    """The best `limit` offers of each district by discount: id, district, peers, level, median, discount, rank.
+def _peers(rows: DataFrame, offers: DataFrame, level: str) -> DataFrame:
+    """(id, peers, rates): unit rents of other offers of an offer's level and rooms with an area at most 15 % from its own; areas meet by buckets."""
+    one = rows.withColumn("_a", F.explode(ranking.log_buckets(F.col("area"), 0.85, 1.15, 0.15))).alias("a")
+    other = offers.withColumn("_a", ranking.log_bucket(F.col("area"), 0.15)).alias("b")
+    same = (F.col(f"a.{level}") == F.col(f"b.{level}")) & (F.col("a.rooms") == F.col("b.rooms")) & (F.col("a._a") == F.col("b._a")) & (F.col("a.id") != F.col("b.id"))
+    met = one.join(other, same & F.col("b.area").between(0.85 * F.col("a.area"), 1.15 * F.col("a.area")))
+    return met.groupBy(F.col("a.id").alias("id")).agg(F.sort_array(F.collect_list(F.col("b.rent") / F.col("b.area"))).alias("rates"))
 
-    offers: id, complex_id, district, rooms, rent. Peers have as many rooms: in the same complex, at least 5 others, else in the district, at
-    least 10. The offer itself is not among its peers. A discount outside [low, high] is none, or too good to be true.
+
+def rental_picks(offers: DataFrame, most_rent: float, low: float = 5.0, high: float = 30.0, limit: int = 30) -> DataFrame:
+    """The `limit` best offers by discount, then rent and id: id, district, peers, level, reference, discount (percent), rank.
+
+    offers: id, complex_id, district, rooms, area, rent. Peers are other offers with as many rooms and about the area: in the same complex, at
+    least 5, else in the district, at least 10. The reference is the median of their rents for a square metre, without the offer's own; where
+    the peers' middle half spreads over half of it there is none. A discount outside [low, high] is none, or too good to be true. Peers are
+    gathered for one offer at a time: rows of its complex, or of its district and area where that has too few.
     """
-    def level(keys: list[str], name: str) -> tuple[Column, Column]:
-        w = Window.partitionBy(*keys, "rooms")
-        return (F.count("rent").over(w) - 1).alias(f"n_{name}"), F.percentile("rent", F.lit(0.5)).over(w).alias(f"m_{name}")
-
-    rows = offers.filter("rent > 0").select("*", *level(["complex_id"], "complex"), *level(["district"], "district"))
-    near, wide = (F.col("n_complex") >= LEAST_COMPLEX) & F.col("complex_id").isNotNull(), F.col("n_district") >= LEAST_DISTRICT
-    rows = rows.withColumn("level", F.when(near, "complex").when(wide, "district")).filter("level is not null")
-    rows = rows.withColumn("median", F.when(near, F.col("m_complex")).otherwise(F.col("m_district"))).withColumn("peers", F.when(near, F.col("n_complex")).otherwise(F.col("n_district")))
-    rows = rows.withColumn("discount", F.round(1 - F.col("rent") / F.col("median"), 6)).filter(F.col("discount").between(low, high))
-    order = Window.partitionBy("district").orderBy(F.desc("discount"), "id")  # one limit for each district
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("id", "district", F.col("peers").cast("long").alias("peers"), "level", F.round("median", 4).alias("median"), "discount", "rank")
+    known = offers.filter("rent > 0 and area > 0")
+    asked = known.filter(F.col("rent") <= most_rent)
+    near = cut(_peers(asked, known, "complex_id").filter(F.size("rates") >= LEAST_COMPLEX).withColumn("level", F.lit("complex")))
+    wide = _peers(asked.join(near.select("id"), "id", "left_anti"), known, "district").filter(F.size("rates") >= LEAST_DISTRICT).withColumn("level", F.lit("district"))
+    n, half = F.size("rates"), F.floor(F.size("rates") / 2).cast("int")
+    at = lambda i: F.get("rates", i.cast("int"))
+    reference = F.when(n % 2 == 1, at(half)).otherwise((at(half - 1) + at(half)) / 2)
+    told = near.unionByName(wide).withColumn("reference", reference).filter((at(F.floor(3 * n / 4)) - at(F.floor(n / 4))) / F.col("reference") <= 0.5)
+    rows = asked.join(told, "id").withColumn("discount", F.round(100 * (1 - F.col("rent") / F.col("area") / F.col("reference")), 1)).filter(F.col("discount").between(low, high))
+    best = rows.orderBy(F.desc("discount"), "rent", "id").limit(limit)
+    order = Window.orderBy(F.desc("discount"), "rent", "id")  # over `limit` rows
+    return best.select("id", "district", F.size("rates").cast("long").alias("peers"), "level", F.round("reference", 4).alias("reference"), "discount", F.row_number().over(order).alias("rank"))
 
 
 def exclusion_reasons(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -118,22 +118,6 @@ def dm_rent_estimate(m):
     return m.listings.filter("is_active").join(r, ["complex_id", "rooms"]).select("id", *[F.round(F.col("q")[i], 4).alias(a) for i, a in enumerate(("low", "rent", "high"))])
 
 
-@book.query(
-    "dm_market_comparison",
-    f"""{BASE_SQL}, t AS (SELECT district, rooms4, ppm2, id % 4 = 0 AS fresh FROM base WHERE active AND ppm2 IS NOT NULL), s AS (SELECT district, rooms4, fresh, count(*) AS n, quantile_cont(ppm2, 0.25) AS a, quantile_cont(ppm2, 0.5) AS b, quantile_cont(ppm2, 0.75) AS c FROM t GROUP BY 1, 2, 3)
- SELECT p.district, p.rooms4 AS rooms, round(p.b / q.b - 1, 6) AS premium, p.n >= 5 AND q.n >= 5 AND (p.c - p.a) / p.b <= 1.0 AND (q.c - q.a) / q.b <= 1.0 AS comparable FROM s p JOIN s q ON p.district = q.district AND p.rooms4 = q.rooms4 AND p.fresh AND NOT q.fresh""",
-)
-def dm_market_comparison(m):
-    t = market.base(m.listings).filter(market.status_condition("active")).withColumn("ppm2", market.ppm2()).filter("ppm2 is not null").withColumn("fresh", F.col("id") % 4 == 0)
-    q = F.percentile("ppm2", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    s = t.groupBy("district", market.rooms_bucket().alias("rooms"), "fresh").agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
-    calm = lambda c: (F.col(c)[2] - F.col(c)[0]) / F.col(c)[1] <= 1.0
-    new = s.filter("fresh").select("district", "rooms", F.col("n").alias("n1"), F.col("q").alias("q1"))
-    old = s.filter("not fresh").select("district", "rooms", F.col("n").alias("n2"), F.col("q").alias("q2"))
-    fine = (F.col("n1") >= 5) & (F.col("n2") >= 5) & calm("q1") & calm("q2")
-    return new.join(old, ["district", "rooms"]).select("district", "rooms", F.round(F.col("q1")[1] / F.col("q2")[1] - 1, 6).alias("premium"), fine.alias("comparable"))
-
-
 @book.query(
     "dm_buyer_alternatives",
     f"""{BASE_SQL}, t AS (SELECT * FROM base WHERE active), q AS (SELECT * FROM t WHERE id % 20 = 0), c AS (SELECT q.id AS base_id, t.id, CASE WHEN t.price < q.price THEN 2 ELSE 0 END + CASE WHEN t.area > q.area THEN 1 ELSE 0 END + CASE WHEN t.floor NOT IN (1, 9) THEN 1 ELSE 0 END AS points,

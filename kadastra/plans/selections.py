@@ -19,14 +19,16 @@ L = f"WITH {LISTINGS_SQL}"
 
 @book.query(
     "dm_rental_picks",
-    f"""{BASE_SQL}, o AS (SELECT id, complex_id, district, rooms, price AS rent, count(price) OVER c - 1 AS nc, quantile_cont(price, 0.5) OVER c AS mc, count(price) OVER d - 1 AS nd, quantile_cont(price, 0.5) OVER d AS md FROM base WHERE active AND price > 0 WINDOW c AS (PARTITION BY complex_id, rooms), d AS (PARTITION BY district, rooms)),
- x AS (SELECT id, district, CASE WHEN nc >= 5 THEN nc ELSE nd END AS peers, CASE WHEN nc >= 5 THEN 'complex' WHEN nd >= 10 THEN 'district' END AS level, CASE WHEN nc >= 5 THEN mc ELSE md END AS median, rent FROM o),
- y AS (SELECT *, round(1 - rent / median, 6) AS discount FROM x WHERE level IS NOT NULL)
- SELECT id, district, CAST(peers AS BIGINT) AS peers, level, round(median, 4) AS median, discount, CAST(row_number() OVER (PARTITION BY district ORDER BY discount DESC, id) AS INTEGER) AS rank FROM y WHERE discount BETWEEN 0.05 AND 0.35 QUALIFY row_number() OVER (PARTITION BY district ORDER BY discount DESC, id) <= 20""",
+    f"""{BASE_SQL}, o AS (SELECT id, complex_id, district, rooms, area, price AS rent FROM base WHERE active AND price > 0 AND area > 0), k AS (SELECT * FROM o WHERE rent <= 200000),
+ c AS (SELECT k.id, 'complex' AS level, list_sort(list(o.rent / o.area)) AS r FROM k JOIN o ON o.complex_id = k.complex_id AND o.rooms = k.rooms AND o.id <> k.id AND o.area BETWEEN 0.85::DOUBLE * k.area AND 1.15::DOUBLE * k.area GROUP BY 1 HAVING count(*) >= 5),
+ d AS (SELECT k.id, 'district' AS level, list_sort(list(o.rent / o.area)) AS r FROM k JOIN o ON o.district = k.district AND o.rooms = k.rooms AND o.id <> k.id AND o.area BETWEEN 0.85::DOUBLE * k.area AND 1.15::DOUBLE * k.area WHERE k.id NOT IN (SELECT id FROM c) GROUP BY 1 HAVING count(*) >= 10),
+ x AS (SELECT *, len(r) AS n, list_median(r) AS reference FROM (SELECT * FROM c UNION ALL SELECT * FROM d)),
+ y AS (SELECT k.id, district, n AS peers, level, reference, round(100 * (1 - rent / area / reference), 1) AS discount, rent FROM x JOIN k ON k.id = x.id WHERE (r[3 * n // 4 + 1] - r[n // 4 + 1]) / reference <= 0.5)
+ SELECT id, district, peers, level, round(reference, 4) AS reference, discount, CAST(row_number() OVER (ORDER BY discount DESC, rent, id) AS INTEGER) AS rank FROM y WHERE discount BETWEEN 5 AND 30 ORDER BY discount DESC, rent, id LIMIT 30""",
 )
 def dm_rental_picks(m):
     rows = market.base(m.listings).filter(market.status_condition("active"))
-    return picks.rental_picks(rows.select("id", "complex_id", "district", "rooms", F.col("price").alias("rent")))
+    return picks.rental_picks(rows.select("id", "complex_id", "district", "rooms", "area", F.col("price").alias("rent")), most_rent=200_000)
 
 
 _SLICE_SQL = f"""{L}, r AS (SELECT id, district, complex_id, complex_id * 10 + id % 10 AS house_id, rooms, price, last_seen, CASE WHEN id % 4 <> 0 THEN seller_id END AS prop, CASE WHEN coalesce(is_duplicate, FALSE) THEN 'flagged' WHEN archived_at IS NOT NULL THEN 'archived' WHEN area < 30 THEN 'small' WHEN price > 300000 THEN 'dear' END AS ex FROM listings),

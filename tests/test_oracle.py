@@ -41,8 +41,8 @@ def same(a, b):
     return plain(a) == plain(b)
 
 
-#: A trained model has no SQL; test_market.py tests it on fixtures.
-NO_SQL = {"dm_liquidity_model"}
+#: A trained model and walks that depend on an order have no SQL; fixtures test them (test_market.py, test_dedup.py, test_canonical.py).
+NO_SQL = {"dm_liquidity_model", "dm_listing_duplicates", "st_canonical_assignment"}
 
 
 def test_every_query_has_sql():
