@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Builder = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register the property-market queries; each has QUERIES and ORACLE dictionaries.
-PLAN_MODULES: tuple[str, ...] = ("kadastra.plans.dashboards", "kadastra.plans.relational", "kadastra.plans.domain", "kadastra.plans.streams", "kadastra.plans.more", "kadastra.plans.extra", "kadastra.plans.scores", "kadastra.plans.links", "kadastra.plans.forecasts", "kadastra.plans.selections", "kadastra.plans.completed", "kadastra.plans.pricing")
+PLAN_MODULES: tuple[str, ...] = ("kadastra.plans.dashboards", "kadastra.plans.relational", "kadastra.plans.domain", "kadastra.plans.streams", "kadastra.plans.more", "kadastra.plans.extra", "kadastra.plans.scores", "kadastra.plans.links", "kadastra.plans.forecasts", "kadastra.plans.selections", "kadastra.plans.completed", "kadastra.plans.pricing", "kadastra.plans.rentals")
 
 
 def load(modules: tuple[str, ...] = PLAN_MODULES) -> tuple[dict[str, Builder], dict[str, str]]:
