@@ -264,20 +264,19 @@ def _tile_pairs(met: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # rows of the last tile, of which more may come: two parts, about twice TILE at most
         for batch in batches:
-            numbers = [batch.column(c).to_numpy() for c in (0, 1, 2, 3, 4, 5, 6, 7, 9)]
-            bits = np.array(batch.column(8).to_pylist() + [None], object)[:-1]
+            numbers = [batch.column(c).to_numpy() for c in (0, 1, 2, 3, 5)]
+            bits = np.array(batch.column(4).to_pylist() + [None], object)[:-1]
             if rest is not None:
                 numbers, bits = [np.concatenate(c) for c in zip(rest[0], numbers, strict=True)], np.concatenate([rest[1], bits])
             new = np.zeros(len(bits), bool)
-            for c in numbers[:5]:
-                new[1:] |= c[1:] != c[:-1]
+            new[1:] = numbers[0][1:] != numbers[0][:-1]
             last = int(np.flatnonzero(new)[-1]) if new.any() else 0
-            no, n, root, side = numbers[5:]
+            no, n, root, side = numbers[1:]
             if last:
                 yield from linked(no[:last], n[:last], root[:last], side[:last].astype(np.int64), np.cumsum(new[:last]), bits[:last])
             rest = [c[last:] for c in numbers], bits[last:]
         if rest is not None and len(rest[1]):
-            no, n, root, side = rest[0][5:]
+            no, n, root, side = rest[0][1:]
             yield from linked(no, n, root, side.astype(np.int64), np.zeros(len(no), np.int64), rest[1])
 
     by_root = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("times"))
@@ -303,10 +302,11 @@ def _tile_pairs(met: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
     right = placed.select(
         "key", F.col("band").alias("j"), own("all").alias("q"), F.explode(F.flatten(F.transform(near, lambda b: F.transform(numbers(count(b, "some")), lambda p: F.struct(b.alias("i"), p.alias("p")))))).alias("t"), "no", "root", F.lit(1).alias("side")
     )
-    names = ["key", "i", "p", "j", "q"]
-    dealt = left.select("key", "i", "p", "t.j", "t.q", "no", "root", "side").unionByName(right.select("key", "t.i", "t.p", "j", "q", "no", "root", "side"))
-    tiles = dealt.join(distinct.select("no", "n", "bits"), "no").select(*names, "no", "n", "root", "bits", "side")
-    return tiles.repartition(*names).sortWithinPartitions(*names, "side").mapInArrow(compare, "a long, b long").distinct()
+    # a tile goes by the hash of its place; should two tiles have one, they are compared together, and no pair is lost
+    tile = F.xxhash64("key", "i", "p", "j", "q").alias("tile")
+    dealt = left.select("key", "i", "p", "t.j", "t.q", "no", "root", "side").unionByName(right.select("key", "t.i", "t.p", "j", "q", "no", "root", "side")).select(tile, "no", "root", "side")
+    tiles = dealt.join(distinct.select("no", "n", "bits"), "no").select("tile", "no", "n", "root", "bits", "side")
+    return tiles.repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(compare, "a long, b long").distinct()
 
 
 def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
