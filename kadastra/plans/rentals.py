@@ -1,10 +1,11 @@
-"""The rental index as a registered query. Listings stand for flats to let: a third of them by the day, the archived ones as removed."""
+"""The rental index, price cells and the audit of names as registered queries. Listings stand for flats to let: a third of them by the day, the archived ones as removed."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kadastra.operators import rental_index
+from kadastra.functions import geo
+from kadastra.operators import audits, rental_index
 from kadastra.plans.book import Book
 from kadastra.sources.market import AS_OF, LISTINGS_SQL, as_of
 
@@ -63,3 +64,38 @@ def ag_rental_index_scopes(m):
     seconds = lambda c: F.unix_seconds(c).alias(c)
     out = rental_index.build(observations, live, removed, as_of())
     return out.select(*[seconds(c) if c in ("oldest", "newest") else c for c in out.columns])
+
+
+@book.query(
+    "ag_hex_price_cells",
+    f"""WITH {LISTINGS_SQL}, xy AS (SELECT *, (lon - {geo.LON0}) * {geo.M_LON!r}::DOUBLE AS x, (lat - {geo.LAT0}) * {geo.M_LAT}::DOUBLE AS y FROM listings WHERE NOT is_duplicate AND price > 50000 AND area > 0),
+ ax AS (SELECT *, (x * (sqrt(3) / 3) - y / 3) / 300 AS fq, y * (2 / 3.0::DOUBLE) / 300 AS fr FROM xy), rd AS (SELECT *, round_even(fq, 0) AS a, round_even(fr, 0) AS b, round_even(-fq - fr, 0) AS g FROM ax),
+ o AS (SELECT price / area AS u, coalesce(is_active, TRUE) AS live, archived_at, CAST(CASE WHEN abs(a - fq) > abs(b - fr) AND abs(a - fq) > abs(g + fq + fr) THEN -b - g ELSE a END AS BIGINT) AS q,
+   CAST(CASE WHEN NOT (abs(a - fq) > abs(b - fr) AND abs(a - fq) > abs(g + fq + fr)) AND abs(b - fr) > abs(g + fq + fr) THEN -a - g ELSE b END AS BIGINT) AS r FROM rd),
+ c AS (SELECT q, r, count(*) FILTER (WHERE live) AS n, avg(u) FILTER (WHERE live) AS m, count(*) FILTER (WHERE NOT live AND archived_at > TIMESTAMP '1995-06-01' - INTERVAL 900 DAYS) AS old_n, avg(u) FILTER (WHERE NOT live AND archived_at > TIMESTAMP '1995-06-01' - INTERVAL 900 DAYS) AS old_m FROM o GROUP BY 1, 2),
+ d AS (SELECT * FROM (VALUES (0, 0, 0), (1, 1, 0), (2, 1, -1), (3, 0, -1), (4, -1, 0), (5, -1, 1), (6, 0, 1)) t(place, dq, dr)),
+ w AS (SELECT q, r, CAST(place AS INTEGER) AS place, q + dq AS c_q, r + dr AS c_r FROM c, d)
+ SELECT w.q, w.r, place, c_q, c_r, coalesce(CASE WHEN coalesce(n, 0) = 0 AND old_n > 0 THEN old_n ELSE n END, 0) AS n, round(CASE WHEN coalesce(n, 0) = 0 AND old_n > 0 THEN old_m ELSE m END, 4) AS avg_m2, coalesce(coalesce(n, 0) = 0 AND old_n > 0, FALSE) AS archived FROM w LEFT JOIN c ON c.q = c_q AND c.r = c_r""",
+)
+def ag_hex_price_cells(m):
+    return audits.price_cells(m.listings, F.lit("1995-06-01 00:00:00").cast("timestamp"), 300.0, 900, 50_000.0)
+
+
+@book.query(
+    "dm_street_audit",
+    """WITH c AS (SELECT c_custkey AS k, CASE c_custkey % 7 WHEN 0 THEN 'ЖК Абай ' || (c_custkey % 40) WHEN 1 THEN 'Сарыарка' WHEN 2 THEN 'жк' WHEN 3 THEN 'Q' || (c_custkey % 10) ELSE 'Park ' || (c_custkey % 60) END AS name, c_custkey % 11 = 0 AS card, c_custkey % 5 = 0 AS other FROM customer WHERE c_custkey % 13 <> 0),
+ l AS (SELECT k, lower(trim(regexp_replace(name, '^\s*(ЖК|жк)\s+', ''))) AS bare, name, other FROM c WHERE NOT card),
+ o AS (SELECT n.name AS complex_name, CASE o_orderkey % 4 WHEN 0 THEN 'Сарыарка р-н, абай ' || (o_custkey % 40) WHEN 1 THEN n.name || ' р-н' ELSE lower(n.name) || ' 5' END AS address FROM orders JOIN (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'ЖК Абай ' || (c_custkey % 40) WHEN 1 THEN 'Сарыарка' WHEN 2 THEN 'жк' WHEN 3 THEN 'Q' || (c_custkey % 10) ELSE 'Park ' || (c_custkey % 60) END AS name FROM customer) n ON n.c_custkey = o_custkey),
+ j AS (SELECT k, bare, other, count(*) AS listings, count(*) FILTER (WHERE contains(lower(address), bare) AND NOT regexp_matches(substr(lower(address), instr(lower(address), bare) + length(bare)), '^\s+(р-н|район|ауданы|аудан)')) AS street_hits FROM l JOIN o ON lower(trim(complex_name)) = lower(trim(name)) GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+ v AS (SELECT *, street_hits / listings AS share, bare = 'жк' OR (length(bare) < 4 AND NOT other) AS junk FROM j)
+ SELECT k AS id, listings, street_hits, round(share, 4) AS share, CASE WHEN junk AND share < 0.6 THEN 'junk' ELSE 'street' END AS reason FROM v WHERE junk OR (share >= 0.6 AND bare <> 'сарыарка')""",
+)
+def dm_street_audit(m):
+    """Customers as complexes and orders as their listings, some of which have the name in the address."""
+    k = F.col("c_custkey")
+    name = F.when(k % 7 == 0, F.concat(F.lit("ЖК Абай "), (k % 40).cast("string"))).when(k % 7 == 1, "Сарыарка").when(k % 7 == 2, "жк").when(k % 7 == 3, F.concat(F.lit("Q"), (k % 10).cast("string"))).otherwise(F.concat(F.lit("Park "), (k % 60).cast("string")))
+    complexes = m.customer.filter(k % 13 != 0).select(k.alias("id"), name.alias("name"), F.lit(False).alias("is_street"), (k % 11 == 0).alias("card"), (k % 5 == 0).alias("other_card"))
+    named = m.orders.join(m.customer.select(k, name.alias("complex_name")), F.col("o_custkey") == k)
+    kind = F.col("o_orderkey") % 4
+    address = F.when(kind == 0, F.concat(F.lit("Сарыарка р-н, абай "), (F.col("o_custkey") % 40).cast("string"))).when(kind == 1, F.concat("complex_name", F.lit(" р-н"))).otherwise(F.concat(F.lower("complex_name"), F.lit(" 5")))
+    return audits.street_audit(complexes, named.select("complex_name", address.alias("address")))
