@@ -83,7 +83,7 @@ def ag_hex_price_cells(m):
 
 @book.query(
     "dm_street_audit",
-    """WITH c AS (SELECT c_custkey AS k, CASE c_custkey % 7 WHEN 0 THEN 'ЖК Абай ' || (c_custkey % 40) WHEN 1 THEN 'Сарыарка' WHEN 2 THEN 'жк' WHEN 3 THEN 'Q' || (c_custkey % 10) ELSE 'Park ' || (c_custkey % 60) END AS name, c_custkey % 11 = 0 AS card, c_custkey % 5 = 0 AS other FROM customer WHERE c_custkey % 13 <> 0),
+    r"""WITH c AS (SELECT c_custkey AS k, CASE c_custkey % 7 WHEN 0 THEN 'ЖК Абай ' || (c_custkey % 40) WHEN 1 THEN 'Сарыарка' WHEN 2 THEN 'жк' WHEN 3 THEN 'Q' || (c_custkey % 10) ELSE 'Park ' || (c_custkey % 60) END AS name, c_custkey % 11 = 0 AS card, c_custkey % 5 = 0 AS other FROM customer WHERE c_custkey % 13 <> 0),
  l AS (SELECT k, lower(trim(regexp_replace(name, '^\s*(ЖК|жк)\s+', ''))) AS bare, name, other FROM c WHERE NOT card),
  o AS (SELECT n.name AS complex_name, CASE o_orderkey % 4 WHEN 0 THEN 'Сарыарка р-н, абай ' || (o_custkey % 40) WHEN 1 THEN n.name || ' р-н' ELSE lower(n.name) || ' 5' END AS address FROM orders JOIN (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'ЖК Абай ' || (c_custkey % 40) WHEN 1 THEN 'Сарыарка' WHEN 2 THEN 'жк' WHEN 3 THEN 'Q' || (c_custkey % 10) ELSE 'Park ' || (c_custkey % 60) END AS name FROM customer) n ON n.c_custkey = o_custkey),
  j AS (SELECT k, bare, other, count(*) AS listings, count(*) FILTER (WHERE contains(lower(address), bare) AND NOT regexp_matches(substr(lower(address), instr(lower(address), bare) + length(bare)), '^\s+(р-н|район|ауданы|аудан)')) AS street_hits FROM l JOIN o ON lower(trim(complex_name)) = lower(trim(name)) GROUP BY 1, 2, 3 HAVING count(*) >= 3),
