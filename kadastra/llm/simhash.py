@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kadastra.llm.common import bitmap, cut, in_bitmap
+from kadastra.llm.common import bitmap, cut, held, in_bitmap
 from kadastra.llm.components import components
 from kadastra.shipping import ship
 
@@ -306,21 +306,21 @@ def _filtered(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataF
 def _across(members: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs of one bucket's members of different roots that may be of the similarity, without those of its first member.
 
-    A bucket of more than BUCKET members is dealt out to parts; a task compares two parts, or a part with itself, so that no pair is
-    left out.
+    The bucket's largest root is its home; pairs inside it need no comparing, so that only members apart from it meet the rest.
+    They are dealt to chunks and all members to parts, each of about BUCKET; a task compares one chunk with one part, so that no
+    pair is left out and the work grows with the members apart.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, now = [], None
 
         def close():
-            no, size, root, first, part = (np.array(c, np.int64) for c in zip(*[(k[0], k[1], k[4], k[5], k[6]) for k in kept], strict=True))
+            no, size, root, first, home, side = (np.array(c, np.int64) for c in zip(*[(k[0], k[1], k[4], k[5], k[6], k[7]) for k in kept], strict=True))
             fps, table = _words([k[2] for k in kept]), _tables([k[3] for k in kept])
-            other = int((part == part[0]).sum())  # members from here on are of the second part
+            apart, others = np.flatnonzero((side == 0) & (no != first)), np.flatnonzero((side == 1) & (no != first))
             left, right, held = [], [], 0
-            for x in range(other if other < len(no) else len(no) - 1):
-                y = np.arange(other if other < len(no) else x + 1, len(no))
-                y = y[(root[y] != root[x]) & (no[y] != first[y]) & (no[x] != first[x])]
+            for x in apart:
+                y = others[(root[others] != root[x]) & ((root[others] == home[others]) | (no[others] > no[x]))]
                 y = y[_may_be(size, fps, table, np.full(len(y), x), y, similarity)]
                 left.append(np.minimum(no[x], no[y]))
                 right.append(np.maximum(no[x], no[y]))
@@ -341,10 +341,17 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
         if len(kept) > 1:
             yield from close()
 
-    dealt = members.withColumn("parts", F.ceil(F.col("times") / F.lit(BUCKET)).cast("int")).withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int"))
-    whole = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = whole.select("no", "n", "fp", "table", "root", "first", "part", "key", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"))
-    return tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part").mapInArrow(compare, "a long, b long").distinct()
+    roots = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    spread = roots.groupBy("key").agg(
+        F.max_by("root", F.struct("m", "root")).alias("home"), F.ceil((F.sum("m") - F.max("m")) / F.lit(BUCKET)).cast("int").alias("chunks"), F.ceil(F.sum("m") / F.lit(BUCKET)).cast("int").alias("parts")
+    )
+    placed = members.join(spread.filter("chunks > 0"), "key")
+    part, chunk = (F.pmod(F.xxhash64("no"), F.col(c)).cast("int") for c in ("parts", "chunks"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    columns = ["no", "n", "fp", "table", "root", "first", "home", "side", "key", "i", "j"]
+    apart = placed.filter("root != home").withColumn("side", F.lit(0)).withColumn("j", chunk).withColumn("i", each("parts")).select(columns)
+    whole = placed.withColumn("side", F.lit(1)).withColumn("i", part).withColumn("j", each("chunks")).select(columns)
+    return apart.union(whole).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
 def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -370,25 +377,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, component_id) of documents that a chain of near duplicates joins to a smaller id.
 
     Two documents are near duplicates if their sets of distinct shingles have at least the Jaccard similarity: fingerprints only
-    discard pairs, and those that are left have their sets compared. Candidates share a band. First each member of a bucket is compared with the bucket's first; what that joins needs no more
-    comparing, and a bucket with members that are still apart has its pairs of those compared. Texts without words are near
-    duplicates of one another. Rows with a null id take no part; rows that share an id are one document.
+    discard pairs, and those that are left have their sets compared. Candidates share a band. First each member is compared with the
+    smallest of its buckets' firsts; then, in buckets that still hold several groups, each member with the bucket's first; then
+    the members that are still apart with the others. What is joined already needs no more comparing, so that copies in large numbers
+    cost one comparison each. Texts without words are near duplicates of one another. Rows with a null id take no part; rows that
+    share an id are one document.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = cut(sketches(rows, width))
-    distinct = cut(marked.groupBy("sid").agg(F.min(F.struct("doc_id", "n", "fp", "table", "keys")).alias("d")).select("sid", F.col("d.doc_id").alias("no"), "d.n", "d.fp", "d.table", "d.keys"))
+    marked = held(sketches(rows, width), "sketches")
+    distinct = held(marked.groupBy("sid").agg(F.min(F.struct("doc_id", "n", "fp", "table", "keys")).alias("d")).select("sid", F.col("d.doc_id").alias("no"), "d.n", "d.fp", "d.table", "d.keys"), "distinct")
     named = marked.select("doc_id", "sid").join(distinct.select("sid", "no"), "sid").select("doc_id", "no")
     keys = distinct.select("no", F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("no").alias("first")).filter("times > 1")
-    shared = cut(keys.join(sizes, "key"))
-    sets = cut(shingle_sets(rows.join(shared.select(F.col("no").alias("doc_id")).distinct(), "doc_id", "left_semi"), width))
-    stars = shared.filter("no != first").select(F.col("first").alias("a"), F.col("no").alias("b")).distinct()
-    joined = cut(_linked(_filtered(stars, distinct, similarity), sets, similarity))
-    apart = shared.join(components(joined).withColumnRenamed("node", "no"), "no", "left").withColumn("root", F.coalesce("root", "no"))
-    mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    members = apart.join(mixed, "key").join(distinct.select("no", "n", "fp", "table"), "no")
-    links = joined.union(_linked(_across(members, similarity), sets, similarity))
-    groups = components(links.union(named))
+    shared = held(keys.join(sizes.drop("times"), "key"), "shared")
+    sets = held(shingle_sets(rows.join(shared.select(F.col("no").alias("doc_id")).distinct(), "doc_id", "left_semi"), width), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _linked(_filtered(pairs, distinct, similarity), sets, similarity)
+
+    def mixed(links: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several roots, with their root and the first's."""
+        placed = shared.join(components(links).withColumnRenamed("node", "no"), "no", "left").withColumn("root", F.coalesce("root", "no"))
+        several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "no").alias("lead")).filter("low < high")
+        return placed.join(several.select("key", "lead"), "key")
+
+    stars = shared.filter("no != first").select(F.col("first").alias("a"), F.col("no").alias("b"))
+    joined = held(verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "joined")
+    rest = mixed(joined).filter("root != lead").select(F.col("first").alias("a"), F.col("no").alias("b")).distinct()
+    joined = joined.union(held(verified(rest), "joined"))
+    members = held(mixed(joined).join(distinct.select("no", "n", "fp", "table"), "no"), "members")
+    groups = components(joined.union(verified(_across(members, similarity))).union(named))
     return groups.filter("node != root").select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
