@@ -116,7 +116,7 @@ def jn_nearest_place(m):
     lat, lon = geo.pseudo_place(F.col("s_suppkey"))
     left = m.supplier.select(F.col("s_suppkey").alias("l_id"), lat.alias("l_lat"), lon.alias("l_lon"))
     right = places(m).select(F.col("key").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    return relational.nearest_k(relational.radius_pairs(left, right, 500, 0.01), 3).select("l_id", "rank", "r_id", F.round("dist_m", 4).alias("dist_m"))
+    return relational.nearest_within(left, right, 500, 0.01, 3).select("l_id", "rank", "r_id", F.round("dist_m", 4).alias("dist_m"))
 
 
 @book.query(
@@ -131,7 +131,7 @@ def jn_nearest_with_margin(m):
     lat, lon = geo.pseudo_place(F.col("s_suppkey"))
     left = m.supplier.select(F.col("s_suppkey").alias("l_id"), lat.alias("l_lat"), lon.alias("l_lon"))
     right = places(m).filter("p_size <= 10").select(F.col("key").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    return relational.nearest_with_margin(relational.radius_pairs(left, right, 800, 0.015), 300, 15)
+    return relational.nearest_with_margin(relational.nearest_within(left, right, 800, 0.015, 2), 300, 15)
 
 
 @book.query(
@@ -142,7 +142,10 @@ def jn_nearest_with_margin(m):
 def jn_radius_fan_out(m):
     left = places(m).filter("p_size = 1").select(F.col("key").alias("l_id"), F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))
     right = m.listings.select(F.col("id").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    return relational.radius_pairs(left, right, 300, 0.006).groupBy(F.col("l_id").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("dist_m"), 3).alias("mean_m"))
+    # listings at one place are counted first: all are as far from a place
+    counted = right.groupBy("r_lat", "r_lon").agg(F.count(F.lit(1)).alias("m"))
+    near = lambda own: relational.radius_pairs(own, counted, 300, 0.006).groupBy("l_id").agg(F.sum("m").alias("n"), F.round(F.sum(F.col("dist_m") * F.col("m")) / F.sum("m"), 3).alias("mean_m"))
+    return relational.for_places(left, near).select(F.col("l_id").alias("key"), "n", "mean_m")
 
 
 @book.query(
