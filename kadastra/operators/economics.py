@@ -82,13 +82,14 @@ def reputation(reviews: DataFrame, key: str, trust: dict[str, float], as_of: Col
 def transport_score(cells: DataFrame, points: DataFrame, degrees: float) -> DataFrame:
     """l_id, score: nearness of rail, bus, road and junction, and the number of routes with a stop near, as a share of six.
 
-    cells: l_id, l_lat, l_lon; points: r_id, kind, route, r_lat, r_lon. Only cells of over .05 stay.
+    cells: l_id, l_lat, l_lon; points: r_id, kind, route, r_lat, r_lon. Only cells of over .05 stay. Points of a kind and route at one place
+    say the same, and each place is told once.
     """
-    pairs = relational.radius_pairs(cells, points, max(r for r, _ in TRANSPORT.values()), degrees)
-    near = pairs.groupBy("l_id").agg(*[F.min(F.when(F.col("kind") == k, F.col("dist_m"))).alias(k) for k in TRANSPORT], F.count_distinct(F.when(F.col("dist_m") <= ROUTES[0], F.col("route"))).alias("routes"))
+    stops, longest = points.select("kind", "route", "r_lat", "r_lon").distinct(), max(r for r, _ in TRANSPORT.values())
+    near = lambda own: relational.radius_pairs(own, stops, longest, degrees).groupBy("l_id").agg(*[F.min(F.when(F.col("kind") == k, F.col("dist_m"))).alias(k) for k in TRANSPORT], F.count_distinct(F.when(F.col("dist_m") <= ROUTES[0], F.col("route"))).alias("routes"))
     share = lambda c, r: F.when(F.col(c).isNotNull(), clamp(1 - F.col(c) / r, 0.0, 1.0)).otherwise(0.0)
     score = sum((share(k, r) * w for k, (r, w) in TRANSPORT.items()), clamp(F.col("routes") / ROUTES[1], 0.0, 1.0) * ROUTES[2])
-    return near.select("l_id", F.round(clamp(score, 0.0, 1.0), 6).alias("score"), "routes").filter("score > 0.05")
+    return relational.for_places(cells, near).select("l_id", F.round(clamp(score, 0.0, 1.0), 6).alias("score"), "routes").filter("score > 0.05")
 
 
 def class_scores(rows: DataFrame, terms: list[tuple[str, float, bool]], key: str) -> DataFrame:
