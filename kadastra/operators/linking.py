@@ -45,11 +45,12 @@ def propose_bindings(listings: DataFrame, complexes: DataFrame, degrees: float =
     rows = listings
     for c in ("house", "url_key", "name_key"):
         rows = rows.join(one(c), F.col(c).cast("string") == F.col(f"_{c}"), "left").drop(f"_{c}")
-    cells = rows.select(F.col("id").alias("l_id"), "lat", "lon", F.explode(geo.around(F.col("lat"), F.col("lon"), degrees)).alias("c"))
-    places = complexes.filter("lat is not null and lon is not null").select("complex_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), geo.cell(F.col("lat"), F.col("lon"), degrees).alias("c"))
-    near = cells.join(places, "c").withColumn("d", geo.planar_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).filter(F.col("d") <= most_m)
-    near = near.groupBy("l_id").agg(F.min(F.struct(F.round("d", 3).alias("d"), "complex_id")).alias("n")).select("l_id", F.col("n.complex_id").alias("by_geo"))
-    rows = rows.join(near, F.col("id") == F.col("l_id"), "left")
+    # each place of listings meets each place of complexes once, with its least id
+    spots = listings.filter("lat is not null and lon is not null").select("lat", "lon").distinct().withColumn("c", F.explode(geo.around(F.col("lat"), F.col("lon"), degrees)))
+    places = complexes.filter("lat is not null and lon is not null").groupBy(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).agg(F.min("complex_id").alias("complex_id")).withColumn("c", geo.cell(F.col("p_lat"), F.col("p_lon"), degrees))
+    near = spots.join(places, "c").withColumn("d", geo.planar_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).filter(F.col("d") <= most_m)
+    near = near.groupBy("lat", "lon").agg(F.min(F.struct(F.round("d", 3).alias("d"), "complex_id")).alias("n")).select(F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"), F.col("n.complex_id").alias("by_geo"))
+    rows = rows.join(near, (F.col("lat") == F.col("n_lat")) & (F.col("lon") == F.col("n_lon")), "left")
     ways = ["house", "url_key", "name_key", "geo"]
     proposed = F.coalesce(*[F.col(f"by_{w}") for w in ways])
     method = F.coalesce(*[F.when(F.col(f"by_{w}").isNotNull(), F.lit(w)) for w in ways])
