@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window
 
 from kadastra.functions import geo
 from kadastra.operators import identity
+from kadastra.shared import cut
 
 
 def merge_sources(rows: DataFrame, key: str, fields: list[str], least: int = 3) -> DataFrame:
@@ -77,21 +79,55 @@ def rebind(listings: DataFrame, complexes: DataFrame) -> DataFrame:
     return rows.select("id", F.coalesce("_id", "by_title").alias("complex_id"), method.alias("method"))
 
 
+def nearest_house(wanted: DataFrame, houses: DataFrame, degrees: float = 0.001) -> DataFrame:
+    """(umbrella, number, lat, lon, house_id): the house nearest to each place of `wanted` (umbrella, number, lat, lon, all distinct) among the houses
+    (umbrella, number, house_id, lat, lon) of its umbrella and number, nulls being equal; by metres to three places, then least id.
+
+    Places look into the nine cells around them. What may be nearer outside stays open for cells four times as wide, until they hold the world.
+    """
+    key = ["umbrella", "number", "lat", "lon"]
+    named = lambda rows, p, *more: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in [*key, *more]])
+    meet = lambda p, q, cols: reduce(lambda x, y: x & y, [F.col(f"{p}_{c}").eqNullSafe(F.col(f"{q}_{c}")) for c in cols])
+    known = lambda rows: rows.filter("lat is not null and lon is not null")
+    places = cut(named(known(houses).groupBy(*key).agg(F.min("house_id").alias("house_id")), "h", "house_id"))
+    open_ = cut(named(known(wanted), "w").join(places.select("h_umbrella", "h_number").distinct(), meet("w", "h", key[:2]), "left_semi"))
+    told, d = None, F.round(geo.planar_m(F.col("w_lat"), F.col("w_lon"), F.col("h_lat"), F.col("h_lon")), 3)
+    while True:
+        everything = degrees >= 360
+        sought = open_.withColumn("c", F.explode(geo.around(F.col("w_lat"), F.col("w_lon"), degrees)))
+        met = sought.join(places.withColumn("h_c", geo.cell(F.col("h_lat"), F.col("h_lon"), degrees)), meet("w", "h", key[:2]) & (F.col("c.i") == F.col("h_c.i")) & (F.col("c.j") == F.col("h_c.j")))
+        best = met.groupBy(*[f"w_{c}" for c in key]).agg(F.min(F.struct(d.alias("d"), F.col("h_house_id").alias("house_id"))).alias("n"))
+        safe = F.lit(True) if everything else F.col("n.d") < F.cos(F.radians("w_lat")) * (degrees * 111_000.0) - 0.001
+        sure = cut(best.filter(safe).select(*[F.col(f"w_{c}").alias(c) for c in key], F.col("n.house_id").alias("house_id")))
+        told = sure if told is None else told.unionByName(sure)
+        open_ = cut(open_.join(named(sure, "s"), meet("w", "s", key), "left_anti"))
+        if everything or open_.isEmpty():
+            return told
+        degrees *= 4
+
+
 def resolve_houses(listings: DataFrame, houses: DataFrame) -> DataFrame:
     """(id, house_id, method): listings (id, umbrella, number, text, lat, lon) to the houses (house_id, umbrella, number, token, lat, lon) of
     their umbrella: a number that one house has; else the nearest of those with the number; else a token of the text that one
-    house has; else the nearest. Houses of an umbrella are few."""
-    both = listings.join(houses.select("house_id", "umbrella", F.col("number").alias("h_number"), "token", F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon")), "umbrella")
-    d = F.coalesce(F.round(geo.planar_m(F.col("lat"), F.col("lon"), F.col("h_lat"), F.col("h_lon")), 3), F.lit(1e12))
-    same = F.coalesce(F.col("number") == F.col("h_number"), F.lit(False))
-    named = F.coalesce(F.array_contains(F.split(F.lower("text"), r"\s+"), F.lower("token")), F.lit(False))
-    first = lambda cond: F.min(F.when(cond, F.struct("d", "house_id")))
-    found = both.withColumn("d", d).withColumn("same", same).withColumn("named", named).groupBy("id").agg(
-        F.count_if("same").alias("n_same"), first(F.col("same")).alias("s"), F.count_if("named").alias("n_named"), first(F.col("named")).alias("t"), first(F.col("d") < 1e12).alias("n")
-    )
-    house = F.when(F.col("n_same") >= 1, F.col("s.house_id")).when(F.col("n_named") == 1, F.col("t.house_id")).otherwise(F.col("n.house_id"))
-    method = F.when(F.col("n_same") == 1, "number").when(F.col("n_same") > 1, "number+nearest").when(F.col("n_named") == 1, "token").when(F.col("n").isNotNull(), "nearest")
-    return listings.select("id").join(found.select("id", house.alias("house_id"), method.alias("method")), "id", "left")
+    house has; else the nearest. Numbers and words meet counts of their houses, and each place looks for its nearest once, so that
+    an umbrella's listings are never paired with its houses."""
+    numbered = houses.filter("number is not null").groupBy("umbrella", "number").agg(F.count(F.lit(1)).alias("n_same"), F.min("house_id").alias("low"))
+    tokens = houses.filter("token is not null").groupBy("umbrella", F.lower("token").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.min("house_id").alias("low"))
+    words = listings.select("id", "umbrella", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word"))
+    named = words.join(tokens, ["umbrella", "word"]).groupBy("id").agg(F.sum("n").alias("n_named"), F.min("low").alias("named"))
+    known = listings.select("id", "umbrella", "number", "lat", "lon").join(numbered, ["umbrella", "number"], "left").join(named, "id", "left")
+    # the number that the nearest house must have; none if any will do
+    asks = F.col("n_same").isNotNull()
+    known = cut(known.withColumn("asked", F.when(asks, F.col("number"))))
+    wanted = known.filter(F.when(asks, F.col("n_same") > 1).otherwise(F.coalesce(F.col("n_named") != 1, F.lit(True)))).select("umbrella", F.col("asked").alias("number"), "lat", "lon").distinct()
+    own = houses.select("umbrella", "number", "house_id", "lat", "lon")
+    near = nearest_house(wanted, own.filter("number is not null").unionByName(own.withColumn("number", F.lit(None).cast(own.schema["number"].dataType))))
+    near = near.select(F.col("umbrella").alias("n_umbrella"), F.col("number").alias("n_number"), F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"), F.col("house_id").alias("near"))
+    met = (F.col("umbrella") == F.col("n_umbrella")) & F.col("asked").eqNullSafe(F.col("n_number")) & (F.col("lat") == F.col("n_lat")) & (F.col("lon") == F.col("n_lon"))
+    rows = known.join(near, met, "left")
+    house = F.when(asks, F.coalesce("near", "low")).when(F.col("n_named") == 1, F.col("named")).otherwise(F.col("near"))
+    method = F.when(F.col("n_same") == 1, "number").when(F.col("n_same") > 1, "number+nearest").when(F.col("n_named") == 1, "token").when(F.col("near").isNotNull(), "nearest")
+    return rows.select("id", house.alias("house_id"), method.alias("method"))
 
 
 def hamming(a: Column, b: Column) -> Column:
