@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from kadastra.functions import geo
 from kadastra.functions.stats import clamp
 from kadastra.operators import market, ranking, relational
+from kadastra.shared import cut
 
 # ---- hexagons
 
@@ -121,7 +122,9 @@ def gaussian_bayes(rows: DataFrame, label: str, features: list[str], key: str) -
 
 
 def class_share(rows: DataFrame, key: str, price: str) -> DataFrame:
-    """Share of all that are strictly cheaper, in percent, and the label that stands for."""
+    """Share of all that are strictly cheaper, in percent, and the label that stands for. rows are held: a mean computed twice may differ in its
+    last bits, and would then miss its own count."""
+    rows = cut(rows.select(key, price))
     by_price = ranking.running(rows.groupBy(F.col(price).alias("_p")).agg(F.count(F.lit(1)).alias("n")), ["_p"], ["n"])
     cheaper = F.col("n_before") * 100.0 / F.col("n_all")
     label = F.when(F.col("share") >= 90, "elite").when(F.col("share") >= 65, "business").when(F.col("share") >= 30, "comfort").otherwise("economy")

@@ -244,3 +244,9 @@ def test_written_paths_can_be_discarded(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
     assert shared.discard(spark) == 0
+
+
+def test_class_share_keeps_buildings_whose_mean_differs_when_computed_again(spark):
+    rows = spark.range(200).select((F.col("id") % 50).alias("k"), F.rand().alias("x")).groupBy("k").agg((F.avg("x") + F.expr("hash(uuid())") / 2.0**40).alias("p"))
+    got = scoring.class_share(rows, "k", "p").collect()
+    assert sorted(r.k for r in got) == list(range(50)) and sorted(r.share for r in got) == [2.0 * i for i in range(50)]
