@@ -40,7 +40,7 @@ _LABELS_SQL = f"""WITH {LISTINGS_SQL}, {CHANGES_SQL}, rl AS ({RELIST_MATCH_SQL})
    CASE WHEN cut THEN TRUE WHEN unc THEN NULL WHEN early OR age >= 30 THEN FALSE END AS price_reduction_within_30d,
    CASE WHEN archived_at IS NOT NULL THEN life >= 90 WHEN age >= 90 THEN TRUE END AS survives_90d,
    CAST(trunc(life) AS INTEGER) AS time_on_market,
-   CASE WHEN spread >= 1 THEN round((n1 - n0) / spread, 2) END AS views_velocity,
+   CASE WHEN spread >= 1 THEN CAST(round(CAST((n1 - n0) / spread AS DECIMAL(18, 9)), 2) AS DOUBLE) END AS views_velocity,
    CASE WHEN d30 IS NULL THEN NULL WHEN NOT d30 OR removed OR strict THEN FALSE WHEN op THEN NULL ELSE TRUE END AS clean_disappearance_within_30d,
    CASE WHEN archived_at IS NULL THEN NULL WHEN strict THEN TRUE WHEN op THEN NULL ELSE FALSE END AS relisted_within_60d,
    CASE WHEN strict THEN FALSE WHEN archived_at IS NULL THEN NULL WHEN loose THEN TRUE WHEN op THEN NULL ELSE FALSE END AS possibly_relisted,
