@@ -1,16 +1,18 @@
 """Which record stands for a building: merges in a given order that reviewed separations may forbid.
 
 A walk over proposals takes each unless it would bring two separated records into one component, or take a pinned record's place. The
-same comes out of rounds: a proposal is decided as soon as no earlier one is open at either of its two components, for then nothing can
-change them any more. All such proposals are decided at once; each component is in one of them at most.
+same comes out of rounds: a proposal is decided as soon as no open earlier one can change what it finds. None may be open at the component
+that moves. At the component that stays only such may be open as bring others to it, themselves free to move, that no review separates from
+this one: whether they are taken or not is then nothing to it. So all that come to one record are decided together, not one in a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kadastra.operators import ranking
 from kadastra.shared import cut
 
 
@@ -21,15 +23,21 @@ def settle(labels: DataFrame, proposals: DataFrame, separate: DataFrame, reviewe
     apart = cut(separate.select("a", "b").union(separate.select("b", "a")).distinct())
     while True:
         at = lambda side: labels.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-        placed = open_.join(at("source"), "source").join(at("target"), "target").filter("source_root <> target_root")
+        placed = cut(open_.join(at("source"), "source").join(at("target"), "target").filter("source_root <> target_root"))
         ends = placed.select("ord", F.explode(F.array("source_root", "target_root")).alias("root"))
         least = ends.groupBy("root").agg(F.min("ord").alias("least"))
-        ready = placed.join(least.withColumnRenamed("root", "source_root").withColumnRenamed("least", "l1"), "source_root").join(least.withColumnRenamed("root", "target_root").withColumnRenamed("least", "l2"), "target_root")
-        ready = cut(ready.filter((F.col("ord") == F.col("l1")) & (F.col("ord") == F.col("l2"))).drop("l1", "l2"))
+        free = placed.join(least.withColumnRenamed("root", "source_root"), "source_root").withColumn("_free", F.col("ord") == F.col("least")).drop("least")
+        # what else than a free source that comes to it is open at a component: later proposals wait for it
+        holds = F.array(F.struct(F.col("source_root").alias("root"), F.lit(True).alias("held")), F.struct(F.col("target_root").alias("root"), (~F.col("_free")).alias("held")))
+        limit = free.select("ord", F.explode(holds).alias("h")).filter("h.held").groupBy(F.col("h.root").alias("target_root")).agg(F.min("ord").alias("limit"))
+        coming = cut(free.filter("_free").join(limit, "target_root", "left").filter(F.col("limit").isNull() | (F.col("ord") < F.col("limit"))).drop("limit", "_free"))
+        roots = apart.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("source_root"), F.col("b_root").alias("other")).filter("source_root <> other").distinct()
+        rivals = coming.select(F.col("source_root").alias("other"), "target_root", F.col("ord").alias("before"))
+        late = coming.select("ord", "source_root", "target_root").join(roots, "source_root").join(rivals, ["other", "target_root"]).filter("before < ord").select("ord").distinct()
+        ready = cut(coming.join(late, "ord", "left_anti"))
         if ready.isEmpty():
             return labels, (taken if taken is not None else ready.limit(0))
-        barred = apart.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("source_root"), F.col("b_root").alias("target_root")).distinct()
-        fine = ready.join(barred, ["source_root", "target_root"], "left_anti")
+        fine = ready.join(roots.withColumnRenamed("other", "target_root"), ["source_root", "target_root"], "left_anti")
         if not reviewed:
             fine = fine.join(labels.filter("pinned").select(F.col("node").alias("source_root")), "source_root", "left_anti")
         taken = fine if taken is None else taken.unionByName(fine)
@@ -38,9 +46,9 @@ def settle(labels: DataFrame, proposals: DataFrame, separate: DataFrame, reviewe
         open_ = cut(open_.join(ready.select("ord"), "ord", "left_anti"))
 
 
-def _ordered(rows: DataFrame, *order: Column | str) -> Column:
-    """Proposals' place in their phase; there are at most as many as buildings, which are thousands where homes are millions."""
-    return F.row_number().over(Window.orderBy(*order)).cast("long")
+def _ordered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with ord, their place in their phase; the order leaves no ties."""
+    return ranking.ranked(rows, list(order), "ord").drop("ord_all")
 
 
 def _prefix(complexes: DataFrame, names: DataFrame, service: str) -> DataFrame:
@@ -73,14 +81,14 @@ def assign(complexes: DataFrame, relations: DataFrame, manual: DataFrame, servic
     decided = manual.filter("target is not null").select(F.col("id").alias("source"), "target", F.lit("manual_review").alias("reason"))
     # a target that is itself redirected is no root: it is pinned no longer
     labels = cut(labels.join(decided.select(F.col("source").alias("node")), "node", "left_anti").unionByName(labels.join(decided.select(F.col("source").alias("node")), "node", "left_semi").withColumn("pinned", F.lit(False))))
-    labels, first = settle(labels, decided.withColumn("ord", _ordered(decided, "source")), relations, reviewed=True)
+    labels, first = settle(labels, _ordered(decided, "source"), relations, reviewed=True)
     if decided.join(labels, F.col("source") == F.col("node")).join(labels.select(F.col("node").alias("target"), F.col("root").alias("t_root")), "target").filter("root <> t_root").limit(1).count():
         raise ValueError("a manual decision joins records that a review separates")
 
     real = complexes.filter("not junk and name <> ''")
     by_name = lambda: _prefix(complexes, real.join(labels, F.col("id") == F.col("node")).select("name", F.col("root").alias("target")).distinct(), service)
     start = _prefix(complexes, real.select("name", F.col("id").alias("target")), service)
-    labels, by_start = settle(labels, start.select(F.col("id").alias("source"), "target", F.lit("name_prefix").alias("reason"), _ordered(start, "id").alias("ord")), relations)
+    labels, by_start = settle(labels, _ordered(start.select(F.col("id").alias("source"), "target", F.lit("name_prefix").alias("reason")), "source"), relations)
 
     told = first.unionByName(by_start).select(F.col("source").alias("id")).distinct()
     heads = complexes.filter("slug is not null and parent_id is null").join(told, "id", "left_anti").join(labels.select(F.col("node").alias("id"), "root"), "id").join(labels.filter("pinned").select(F.col("node").alias("root"), F.lit(True).alias("kept")), "root", "left")
@@ -92,15 +100,15 @@ def assign(complexes: DataFrame, relations: DataFrame, manual: DataFrame, servic
     family = Window.partitionBy("slug", "core")
     lead = families.withColumn("target", F.first("id").over(family.orderBy("_rank"))).withColumn("_family", F.min("id").over(family))
     inside = lead.filter("id <> target").select(F.col("id").alias("source"), "target", F.lit("krisha_slug").alias("reason"), "_group", "_family", "_rank")
-    labels, by_slug = settle(labels, inside.select("source", "target", "reason", _ordered(inside, "_group", "_family", "_rank").alias("ord")), relations)
+    labels, by_slug = settle(labels, _ordered(inside, "_group", "_family", "_rank").select("source", "target", "reason", "ord"), relations)
     rooted = lead.join(labels.select(F.col("node").alias("id"), F.col("root").alias("now")), "id")
     single = rooted.groupBy("slug").agg(F.count_distinct("core").alias("cores"), F.count_distinct("now").alias("roots"), F.min("target").alias("target")).filter("cores = 1 and roots = 1").select("slug", "target")
     bare = ranked.filter("junk and bare_junk").join(single, "slug").filter("id <> target").select(F.col("id").alias("source"), "target", F.lit("krisha_slug").alias("reason"))
-    labels, by_bare = settle(labels, bare.withColumn("ord", _ordered(bare, "source")), relations)
+    labels, by_bare = settle(labels, _ordered(bare, "source"), relations)
 
     told = told.union(by_slug.unionByName(by_bare).select("source")).distinct()
     again = by_name().join(told, "id", "left_anti")
-    labels, by_end = settle(labels, again.select(F.col("id").alias("source"), "target", F.lit("name_prefix").alias("reason"), _ordered(again, "id").alias("ord")), relations)
+    labels, by_end = settle(labels, _ordered(again.select(F.col("id").alias("source"), "target", F.lit("name_prefix").alias("reason")), "source"), relations)
     reasons = first.unionByName(by_start).unionByName(by_slug).unionByName(by_bare).unionByName(by_end).select(F.col("source").alias("id"), "reason")
     out = complexes.select("id", "junk").join(reasons, "id", "left").join(labels.select(F.col("node").alias("id"), "root", "pinned"), "id")
     lost = F.col("junk") & F.col("reason").isNull() & ~F.col("pinned")

@@ -36,6 +36,17 @@ def test_rounds_give_what_the_walk_gives(spark, seed):
     assert taken.count() == 40 - len(set(want.values()))
 
 
+def test_all_that_come_to_one_record_are_decided_together(spark, monkeypatch):
+    rounds, cut = [], canonical.cut
+    monkeypatch.setattr(canonical, "cut", lambda df: rounds.append(1) or cut(df))
+    proposals = [(n, 0, "r", n) for n in range(1, 60)] + [(0, 60, "r", 60), (61, 0, "r", 61)]
+    separate = [(3, 5), (5, 9), (0, 7), (61, 60)]
+    labels = spark.createDataFrame([(n, n, n == 11) for n in range(62)], LABEL)
+    got, _ = canonical.settle(labels, spark.createDataFrame(proposals, PROPOSAL), spark.createDataFrame(separate, "a long, b long"))
+    assert {r.node: r.root for r in got.collect()} == walk(range(62), proposals, separate, {11})
+    assert len(rounds) < 40  # sixty rounds before
+
+
 COMPLEX = "id long, parent_id long, name string, core string, junk boolean, bare_junk boolean, slug string, is_umbrella boolean, housing_class string, is_newbuild boolean, listings long"
 
 
