@@ -47,3 +47,13 @@ def test_newest_of_every_area_in_the_window(spark):
     mine = 52.0 + 100 % 17
     want = [i for i in range(199, 0, -1) if i != 100 and mine * 0.85 <= 52.0 + i % 17 <= mine * 1.15][:30]
     assert got == ({"city_segment"}, want)
+
+
+def test_arrays_carry_what_the_rows_tell(spark):
+    rows = [offer(i, house=7, area=60.0 + i % 3, price=1e6 * i, seen=i // 2) for i in range(1, 120)]
+    of = spark.createDataFrame(rows, OFFER)
+    got = {r.id: r for r in comparables.answered(of, 100.0, of.price / 1e6).collect()}
+    assert len(got) == 119
+    for i in (1, 60, 119):
+        want = sorted((c for c in range(1, 120) if c != i), key=lambda c: (-(c // 2), c))[:30]
+        assert got[i].method == "same_complex" and [(f.c_id, f.value) for f in got[i].found] == [(c, float(c)) for c in want]
