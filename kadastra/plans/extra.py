@@ -31,14 +31,18 @@ def fil_rental_live(m):
     f"{BASE_SQL} SELECT c_custkey, count(*) AS n FROM base JOIN customer ON price BETWEEN c_acctbal * 30 AND c_acctbal * 32 AND (c_nationkey % 5 = 0 OR rooms = c_nationkey % 5) AND c_mktsegment = housing_class WHERE active AND c_acctbal > 0 GROUP BY 1",
 )
 def fil_user_searches(m):
-    rows = market.base(m.listings).filter(market.status_condition("active"))
-    users = m.customer.filter("c_acctbal > 0").withColumn("budget", F.explode(ranking.log_buckets(F.col("c_acctbal"), 30, 32, 0.05)))
-    rows = rows.withColumn("bucket", ranking.log_bucket(F.col("price"), 0.05))
-    wide = (F.col("c_nationkey") % 5 == 0) | (F.col("rooms") == F.col("c_nationkey") % 5)
-    fits = (F.col("c_mktsegment") == F.col("housing_class")) & (F.col("budget") == F.col("bucket")) & F.col("price").between(F.col("c_acctbal") * 30, F.col("c_acctbal") * 32) & wide
-    return rows.join(users, fits).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"))
-
-
+    """Listings in a range of prices are those before its end less those before its beginning, counted along one order: users and listings never meet."""
+    rooms = (F.col("c_nationkey") % 5).cast("long")
+    # a listing counts for its rooms, if a user can ask for them, and for users of any rooms, who are numbered 5
+    rows = market.base(m.listings).filter(market.status_condition("active")).filter("price is not null and housing_class is not null")
+    homes = rows.withColumn("r", F.explode(F.array(F.lit(5).cast("long"), F.when(F.abs("rooms") < 5, F.col("rooms").cast("long"))))).filter("r is not null")
+    users = m.customer.filter("c_acctbal > 0 and c_mktsegment is not null and c_nationkey is not null")
+    ends = users.withColumn("e", F.explode(F.array(F.struct((F.col("c_acctbal") * 30).alias("at"), F.lit(0).alias("side")), F.struct((F.col("c_acctbal") * 32).alias("at"), F.lit(2).alias("side")))))
+    place = lambda df, cls, r, at, side, key, one: df.select(F.col(cls).alias("cls"), r.alias("r"), at.cast("double").alias("at"), side.alias("side"), F.col(key).alias("key"), F.lit(one).cast("long").alias("one"))
+    wanted = place(ends, "c_mktsegment", F.when(rooms == 0, 5).otherwise(rooms).cast("long"), F.col("e.at"), F.col("e.side"), "c_custkey", 0)
+    told = ranking.running(place(homes, "housing_class", F.col("r"), F.col("price"), F.lit(1), "id", 1).unionByName(wanted), ["cls", "r", "at", "side", "key"], ["one"])
+    signed = F.when(F.col("side") == 2, F.col("one_before")).otherwise(-F.col("one_before"))
+    return told.filter("side <> 1").groupBy(F.col("key").alias("c_custkey")).agg(F.sum(signed).alias("n")).filter("n > 0")
 
 
 @book.query(
