@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kadastra.functions import geo, stats
-from kadastra.operators import market, ranking
+from kadastra.functions import stats
+from kadastra.operators import market, picks, ranking
 from kadastra.plans.book import Book
 from kadastra.plans.dashboards import BASE_SQL, NOW
 from kadastra.sources.market import LISTINGS_SQL, as_of
@@ -130,11 +130,4 @@ def dm_rent_estimate(m):
 )
 def dm_buyer_alternatives(m):
     t = market.base(m.listings).filter(market.status_condition("active"))
-    degrees = 0.012
-    q = t.filter("id % 20 = 0").select(*[F.col(c).alias(f"q_{c}") for c in ("id", "price", "area", "rooms", "lat", "lon")]).withColumn("c", F.explode(geo.around(F.col("q_lat"), F.col("q_lon"), degrees)))
-    homes = t.withColumn("at", geo.cell(F.col("lat"), F.col("lon"), degrees))
-    pairs = q.join(homes, (F.col("c.i") == F.col("at.i")) & (F.col("c.j") == F.col("at.j")) & (F.col("q_rooms") == F.col("rooms")) & (F.col("q_id") != F.col("id")))
-    d = geo.planar_m(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon"))
-    points = F.when(F.col("price") < F.col("q_price"), 2).otherwise(0) + F.when(F.col("area") > F.col("q_area"), 1).otherwise(0) + F.when(~F.col("floor").isin(1, 9), 1).otherwise(0)
-    best = Window.partitionBy("q_id").orderBy(F.desc("points"), F.round("d", 3), "id")
-    return pairs.withColumn("d", d).filter("d <= 700").withColumn("points", points).withColumn("r", F.row_number().over(best)).filter("r <= 3").select(F.col("q_id").alias("base_id"), "id", "points")
+    return picks.alternatives(t.filter("id % 20 = 0"), t)

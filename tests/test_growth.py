@@ -1,6 +1,8 @@
 """Queries whose work must not grow faster than their tables: against brute force, on rows that all meet."""
 
 import datetime as dt
+import math
+import random
 from types import SimpleNamespace
 
 from kadastra.plans import extra
@@ -29,3 +31,25 @@ def test_searches_are_counted_without_pairs(spark):
                 want[k] = n
     assert {r.c_custkey: r.n for r in told.collect()} == want and want
     assert "SortMergeJoin" not in plan(told)
+
+
+def test_alternatives_are_found_without_pairs(spark):
+    draw = random.Random(5)
+    homes = [home(i, float(draw.randrange(50)), area=float(draw.randrange(40, 60)), rooms=1 + i % 2, floor=draw.choice((1, 4, 9)), lat=51.128 + draw.randrange(4) / 250, lon=71.43 + draw.randrange(3) / 200) for i in range(1200)]
+    homes += [home(2000, None, area=None, lat=51.128), home(2020, 5.0, floor=None), home(2040, 6.0, lat=None), home(2060, 7.0, rooms=None), home(2080, 3.0, rooms=9)]
+    want = set()
+    for q in homes:
+        if q[0] % 20 or q[6] is None or q[3] is None:
+            continue
+        found = []
+        for t in homes:
+            if t[0] != q[0] and t[3] == q[3] and t[6] is not None:
+                d = math.sqrt(((q[6] - t[6]) * 111000) ** 2 + ((q[7] - t[7]) * math.cos(math.radians(q[6])) * 111000) ** 2)
+                if d <= 700:
+                    cheaper, larger = (None not in (t[k], q[k]) and a(t[k], q[k]) for k, a in ((1, float.__lt__), (2, float.__gt__)))
+                    points = 2 * cheaper + larger + (t[4] is not None and t[4] not in (1, 9))
+                    found.append((-points, round(d, 3), t[0]))
+        want |= {(q[0], i, -p) for p, _, i in sorted(found)[:3]}
+    told = extra.dm_buyer_alternatives(SimpleNamespace(listings=spark.createDataFrame(homes, HOME).repartition(3)))
+    assert {tuple(r) for r in told.collect()} == want
+    assert "SortMergeJoin" not in plan(told) and "BroadcastHashJoin" not in plan(told)
