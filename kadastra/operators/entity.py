@@ -42,24 +42,31 @@ def resolve(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, confidence, method) of records (id, name, lat, lon, developer, address) that may be one; what isn't known adds nothing.
 
     Equal phases or product lines add; unequal ones cap the score below what is merged unseen. A name without a phase is the first one, if
-    the rest of both names is alike. method names what spoke, joined by +.
+    the rest of both names is alike. method names what spoke, joined by +. Names are compared once, however many records bear them.
     """
-    facts = lambda rows, s: rows.select(F.col("id").alias(f"{s}_id"), F.struct("name", "lat", "lon", "developer", "address", text.phase_and_base(F.col("name")).alias("p"), product(F.col("name")).alias("product")).alias(s))
-    rows = cut(candidates(left, right)).join(facts(left, "l"), "l_id").join(facts(right, "r"), "r_id")
+    names = lambda rows: rows.select(F.col("name").alias("id"), "name").distinct()
+    told = candidates(names(left), names(right)).withColumnsRenamed({"l_id": "l_name", "r_id": "r_name"})
+    sides = {s: F.struct(text.phase_and_base(F.col(f"{s}_name")).alias("p"), product(F.col(f"{s}_name")).alias("product")) for s in "lr"}
+    told = told.withColumns(sides)
+    one, other = F.col("l.p.phase"), F.col("r.p.phase")
+    lone = (one.isNull() != other.isNull()) & (_alike(F.col("l.p.base"), F.col("r.p.base")) >= SAME_BASE)
+    known = F.coalesce(one, other)
+    lines = F.col("l.product").isNotNull() | F.col("r.product").isNotNull()
+    said = {
+        "phase_fits": F.coalesce(one == other, F.lit(False)) | (lone & (known == 1)),
+        "phase_clash": F.coalesce(one != other, F.lit(False)) | (lone & (known != 1)),
+        "line_fits": lines & F.col("l.product").eqNullSafe(F.col("r.product")),
+    }
+    told = told.withColumns(said | {"line_clash": lines & ~said["line_fits"]}).drop("l", "r")
+    facts = lambda rows, s: rows.select(F.col("name").alias(f"{s}_name"), F.col("id").alias(f"{s}_id"), F.struct("lat", "lon", "developer", "address").alias(s))
+    rows = cut(told).join(facts(left, "l"), "l_name").join(facts(right, "r"), "r_name")
     sim = F.col("similarity")
     exact = sim >= 1
     name = F.when(exact, NAME_EXACT).otherwise(NAME_FUZZY + (sim - LEAST_NAME) / (1 - LEAST_NAME) * (NAME_EXACT - NAME_FUZZY))
     near = F.coalesce(geo.haversine_km(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon")) * 1000 <= GEO_M, F.lit(False))
     maker = F.coalesce(F.col("l.developer") == F.col("r.developer"), F.lit(False))
     street = F.coalesce(text.token_overlap(F.col("l.address"), F.col("r.address")) >= 0.8, F.lit(False))
-    one, other = F.col("l.p.phase"), F.col("r.p.phase")
-    lone = (one.isNull() != other.isNull()) & (_alike(F.col("l.p.base"), F.col("r.p.base")) >= SAME_BASE)
-    known = F.coalesce(one, other)
-    phase_fits = F.coalesce(one == other, F.lit(False)) | (lone & (known == 1))
-    phase_clash = F.coalesce(one != other, F.lit(False)) | (lone & (known != 1))
-    lines = F.col("l.product").isNotNull() | F.col("r.product").isNotNull()
-    line_fits = lines & F.col("l.product").eqNullSafe(F.col("r.product"))
-    line_clash = lines & ~line_fits
+    phase_fits, phase_clash, line_fits, line_clash = (F.col(c) for c in ("phase_fits", "phase_clash", "line_fits", "line_clash"))
     add = lambda to, when, weight: F.least(to + F.when(when, weight).otherwise(0.0), F.lit(1.0))
     score = F.least(name + F.when(near, GEO).otherwise(0.0) + F.when(maker, DEVELOPER).otherwise(0.0) + F.when(street, ADDRESS).otherwise(0.0), F.lit(1.0))
     score = add(add(score, phase_fits, BONUS), line_fits, BONUS)

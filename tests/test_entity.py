@@ -106,3 +106,18 @@ def test_monthly_rents_furnishing_and_removals(spark):
 
 def test_empty_index(spark):
     assert index(spark) == {}
+
+
+def test_names_are_compared_once(spark, monkeypatch):
+    met, found = [], entity.candidates
+
+    def watched(left, right):
+        met.append((left.count(), right.count()))
+        return found(left, right)
+
+    monkeypatch.setattr(entity, "candidates", watched)
+    schema = "id long, name string, lat double, lon double, developer int, address string"
+    rows = lambda ids: spark.createDataFrame([(i, "lux large ring", 51.0, 71.0, i % 2, None) for i in ids], schema)
+    got = {(r.a, r.b): (r.confidence, r.method) for r in entity.resolve(rows(range(8)), rows(range(10, 16))).collect()}
+    assert met == [(1, 1)] and len(got) == 48
+    assert got[0, 10] == (1.0, "name_exact+geo+developer+product") and got[0, 11] == (0.95, "name_exact+geo+product")
