@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kadastra.shared import cut, new_path, shared_dir
+from kadastra.shared import cut, held, new_path, shared_dir
 
 #: The white space that separates words: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -28,14 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def held(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder: columns that a reader leaves out are never read again."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bitmap(hashes: DataFrame) -> DataFrame:
     """A bitmap over the first column's hashes: (bucket, bits), at most BITS bits whatever the number of rows."""
     at = F.pmod(F.col(hashes.columns[0]), F.lit(BITS))
