@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BITS = 1 << 27
 
 
-__all__ = ["BITS", "SPACES", "WORD", "bitmap", "cut", "held", "in_bitmap", "new_path", "shared_dir", "table", "word_count"]
+__all__ = ["BITS", "SPACES", "WORD", "bitmap", "cut", "freed", "give_back", "held", "in_bitmap", "new_path", "shared_dir", "table", "word_count"]
 
 
 def word_count(text: Column) -> Column:
@@ -28,6 +33,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return memory that nothing uses to the system: Python workers outlive their tasks, and would keep it beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, for mapInArrow, which gives its memory back when a task ends."""
+
+    @wraps(run)
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return told
+
+
 def bitmap(hashes: DataFrame) -> DataFrame:
     """A bitmap over the first column's hashes: (bucket, bits), at most BITS bits whatever the number of rows."""
     at = F.pmod(F.col(hashes.columns[0]), F.lit(BITS))

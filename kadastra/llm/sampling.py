@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kadastra.llm.common import freed, give_back
 from kadastra.llm.pieces import SPACE, Pieces, all_pre_tokens, letter_bytes, load
 from kadastra.llm.words import chunks
 from kadastra.shipping import ship
@@ -37,7 +38,7 @@ from kadastra.shipping import ship
 DRAWS = 2
 SEED = 20
 #: Bytes of text that are walked together; a longer text is walked alone.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 #: Nodes of lattices that a worker keeps.
 KEPT_NODES = 2_000_000
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -423,10 +424,14 @@ def sample_encodings(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 arrays = [doc_ids.take(pa.array(text)), pa.array(draw.astype(np.int32)), lists, *map(pa.array, scores)]
                 if decoded:
                     arrays.append(pieces.decode_all(ids, counts))
-                yield pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
+                told = pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
+                del keys, text, draw, size, edges, scores, ids, counts, lists, arrays
+                yield told
+                del told
+                give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, draw int, ids array<int>, log_prob double, perturbed double, log_inclusion double" + ", text string" * decoded)
+    return rows.mapInArrow(freed(run), "doc_id long, draw int, ids array<int>, log_prob double, perturbed double, log_inclusion double" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -442,7 +447,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "text"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, fields + ", text string")
+    return encoded.mapInArrow(freed(run), fields + ", text string")
 
 
 __all__ = ["SPACE", "decode", "draw_batch", "sample_encodings"]

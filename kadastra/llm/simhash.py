@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kadastra.llm.common import bitmap, cut, held, in_bitmap
+from kadastra.llm.common import bitmap, cut, freed, held, in_bitmap
 from kadastra.llm.components import components
 from kadastra.shipping import ship
 
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(freed(run), "doc_id long, fp long")
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
@@ -122,7 +122,7 @@ def tabled(distinct: DataFrame) -> DataFrame:
             rows = pivot_table(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)[:, None]).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["fp", "table"])
 
-    return distinct.mapInArrow(run, "fp long, table binary")
+    return distinct.mapInArrow(freed(run), "fp long, table binary")
 
 
 def _keys(blocks: int, bits: int):
@@ -181,7 +181,7 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
         shared = cut(keyed.join(sizes, ["key", "choice"]))
         last = level == len(BLOCKS) - 1
         small = shared if last else shared.filter(F.col("n") <= BUCKET)
-        part = small.select("fp", "key", "choice", "table").repartition("key", "choice").sortWithinPartitions("choice", "key").mapInArrow(in_bucket, "a long, b long")
+        part = small.select("fp", "key", "choice", "table").repartition("key", "choice").sortWithinPartitions("choice", "key").mapInArrow(freed(in_bucket), "a long, b long")
         found = part if found is None else found.union(part)
         if last:
             break
@@ -259,7 +259,7 @@ def sketches(rows: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sid", "n", "fp", "table", "keys"])
 
     ship(rows.sparkSession)
-    return rows.mapInArrow(run, "doc_id long, sid long, n int, fp binary, table binary, keys array<long>")
+    return rows.mapInArrow(freed(run), "doc_id long, sid long, n int, fp binary, table binary, keys array<long>")
 
 
 def _may_be(sizes: np.ndarray, fps: np.ndarray, table: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
@@ -300,7 +300,7 @@ def _filtered(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataF
 
     left = distinct.select(F.col("no").alias("a"), F.col("n").alias("n_a"), F.col("fp").alias("fp_a"), F.col("table").alias("table_a"))
     right = distinct.select(F.col("no").alias("b"), F.col("n").alias("n_b"), F.col("fp").alias("fp_b"), F.col("table").alias("table_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "fp_a", "table_a", "n_b", "fp_b", "table_b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "fp_a", "table_a", "n_b", "fp_b", "table_b").mapInArrow(freed(run), "a long, b long").distinct()
 
 
 def _across(members: DataFrame, similarity: float) -> DataFrame:
@@ -351,7 +351,7 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
     columns = ["no", "n", "fp", "table", "root", "first", "home", "side", "key", "i", "j"]
     apart = placed.filter("root != home").withColumn("side", F.lit(0)).withColumn("j", chunk).withColumn("i", each("parts")).select(columns)
     whole = placed.withColumn("side", F.lit(1)).withColumn("i", part).withColumn("j", each("chunks")).select(columns)
-    return apart.union(whole).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+    return apart.union(whole).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(freed(compare), "a long, b long").distinct()
 
 
 def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -363,7 +363,7 @@ def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
                 texts = batch.column(1)[at : at + 256]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], pa.array([shingle_set(t.as_py(), width).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["no", "hashes"])
 
-    return rows.mapInArrow(run, "no long, hashes array<long>")
+    return rows.mapInArrow(freed(run), "no long, hashes array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

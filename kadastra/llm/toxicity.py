@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kadastra.llm.common import cut
+from kadastra.llm.common import cut, freed
 from kadastra.shipping import ship
 
 #: Most labelled rows that are learned from.
@@ -251,7 +251,7 @@ def _units(rows: DataFrame) -> DataFrame:
         if out:
             yield send()
 
-    return rows.select("toxic", "text").mapInArrow(run, "unit string, toxic int, before string")
+    return rows.select("toxic", "text").mapInArrow(freed(run), "unit string, toxic int, before string")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -287,7 +287,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, schema.field("hits").type)], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("hits", pa.list_(pa.struct([("t", pa.string()), ("e", pa.int32()), ("k", pa.string()), ("n", pa.int32())])))])
-    found = rows.select("doc_id", "toxic", "text").mapInArrow(hits, "doc_id long, toxic int, hits array<struct<t: string, e: int, k: string, n: int>>")
+    found = rows.select("doc_id", "toxic", "text").mapInArrow(freed(hits), "doc_id long, toxic int, hits array<struct<t: string, e: int, k: string, n: int>>")
     seen = sorted((r["doc_id"], r["toxic"], sorted((h["t"], h["e"], h["k"], h["n"]) for h in r["hits"])) for r in found.collect())  # at most TRAIN_ROWS
     in_class = [defaultdict(int), defaultdict(int)]
     for _, label, own in seen:
@@ -340,7 +340,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(hits, schema.field("hits").type)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double, hits array<struct<term: string, edits: int, kind: string, n: int>>")
+    scored = rows.mapInArrow(freed(run), "doc_id long, score double, hits array<struct<term: string, edits: int, kind: string, n: int>>")
     return scored.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "hits")
 
 
@@ -355,7 +355,7 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             keep = [shared.value.score(finder(t.as_py() or "")) < THRESHOLD for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)
 
 
 def crc_fold(doc_id: int) -> bool:
