@@ -5,7 +5,8 @@ import math
 import random
 from types import SimpleNamespace
 
-from kadastra.plans import extra
+from kadastra.operators import identity
+from kadastra.plans import extra, more
 
 HOME = "id long, price double, area double, rooms int, floor int, housing_class string, lat double, lon double, is_duplicate boolean, is_active boolean, first_seen timestamp, last_seen timestamp, archived_at timestamp"
 
@@ -53,3 +54,26 @@ def test_alternatives_are_found_without_pairs(spark):
     told = extra.dm_buyer_alternatives(SimpleNamespace(listings=spark.createDataFrame(homes, HOME).repartition(3)))
     assert {tuple(r) for r in told.collect()} == want
     assert "SortMergeJoin" not in plan(told) and "BroadcastHashJoin" not in plan(told)
+
+
+def test_pairs_of_a_brand_are_dealt_in_tiles_and_rounded_beforehand(spark):
+    draw = random.Random(7)
+    parts = [(k, "ab"[draw.randrange(2)], draw.choice("xyz"), float(draw.randrange(900)), draw.randrange(3), draw.choice([None, "s", "t"])) for k in range(150)] + [(900, None, "x", 1.0, 1, "s"), (901, "c", "x", 1.0, 1, "s")]
+    m = SimpleNamespace(part=spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string, p_retailprice double, p_size int, p_type string"))
+    told, want = more.dm_entity_score(m), {}
+    for a in parts:
+        for b in parts:
+            if a[0] < b[0] and a[1] is not None and a[1] == b[1]:
+                d = abs(a[3] - b[3])
+                score = 0.6 * (a[2] == b[2]) + (0.25 if d <= 150 else 0.12 if d <= 400 else 0.0) + 0.15 * (a[4] == b[4]) + 0.15 * (a[5] is not None and a[5] == b[5])
+                want[a[0], b[0]] = round(min(score, 1.0), 4)
+    found = told.collect()
+    assert len(found) == len(want) and {(r.a, r.b): r.confidence for r in found} == want
+    assert "x__p" in plan(told)  # tiles, where one task held a whole brand
+
+
+def test_entity_score_takes_any_share_of_the_address(spark):
+    rows = spark.createDataFrame([(s, d, v, o) for s in (None, 0.5, 0.7, 0.96) for d in (None, 100.0, 300.0, 500.0) for v in (None, False, True) for o in (None, 0.0, 0.33337, 1.0)], "s double, d double, v boolean, o double")
+    for r in identity.entity_score(rows, "s", "d", "v", "o").collect():
+        score = (0.6 if (r.s or 0) >= 0.95 else 0.35 if (r.s or 0) >= 0.6 else 0.0) + (0.0 if r.d is None else 0.25 if r.d <= 150 else 0.12 if r.d <= 400 else 0.0) + (0.15 if r.v else 0.0) + 0.15 * (r.o or 0.0)
+        assert abs(r.confidence - round(min(score, 1.0), 4)) < 1e-12
