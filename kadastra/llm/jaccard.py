@@ -45,6 +45,8 @@ _BLOCK = 1 << 14
 _HAIR = 1.0001
 #: Documents of a part of a band.
 TILE = 1024
+#: Shingles of a document that its rows carry, so that a pair is told by one of the tiles that it meets in.
+EARLY = 16
 #: Pairs that are compared at a time.
 PAIRS = 1 << 20
 #: Bytes of text whose shingles are at hand at a time.
@@ -230,13 +232,16 @@ def _star_pairs(met: DataFrame) -> DataFrame:
 
 
 def _tile_pairs(met: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different roots that share a prefix shingle and that bitmaps allow, from (key, band, no, root)."""
+    """(a, b): pairs of different roots that share a prefix shingle and that bitmaps allow, from (key, band, no, root).
 
-    def linked(no, n, root, side, tile, bits):
+    Shingles go by 32 bits here, which joins some tiles and parts none. Documents that share many shingles meet in many tiles; the tile of
+    their least common one tells them, as far as the EARLY least shingles of each show that there is a lesser one: a pair is never left out."""
+
+    def linked(key, no, n, root, side, tile, bits, early):
         """Pairs of whole tiles, whose rows stand together, those of the apart first."""
         wide = np.array([len(b) for b in bits])
         first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-        rights = np.add.reduceat(side, first)
+        rights = np.add.reduceat((side > 0).astype(np.int64), first)
         ends = np.concatenate([first[1:], [len(tile)]])
         left = np.flatnonzero(side == 0)
         at = np.searchsorted(first, left, side="right") - 1
@@ -246,7 +251,8 @@ def _tile_pairs(met: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
             some = slice(np.searchsorted(total, low, side="right"), np.searchsorted(total, low + PAIRS, side="right"))
             x = np.repeat(left[some], many[some])
             y = np.arange(len(x)) + np.repeat(begin[some] - (np.cumsum(many[some]) - many[some]), many[some])
-            fine = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            # two that are both apart are met from both sides
+            fine = (root[x] != root[y]) & ((side[y] == 1) | (no[x] < no[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
             x, y = x[fine], y[fine]
             width = np.minimum(wide[x], wide[y])
             for w in np.unique(width):
@@ -257,28 +263,39 @@ def _tile_pairs(met: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
                     to = slice(part, part + max(1, (8 << 20) // int(w)))
                     px, py = own_x[to], own_y[to]
                     hit = may_link(n[px], folded[place[: len(own_x)][to]], n[py], folded[place[len(own_x) :][to]], percent)
-                    if hit.any():
-                        a, b = no[px[hit]], no[py[hit]]
+                    px, py = px[hit], py[hit]
+                    told = np.zeros(len(px), bool)
+                    for turn in range(EARLY):
+                        own = early[px, turn]
+                        told |= (own < key[px]) & (own[:, None] == early[py]).any(axis=1)
+                    if not told.all():
+                        a, b = no[px[~told]], no[py[~told]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # rows of the last tile, of which more may come: two parts, about twice TILE at most
         for batch in batches:
-            numbers = [batch.column(c).to_numpy() for c in (0, 1, 2, 3, 5)]
+            numbers = [batch.column(c).to_numpy() for c in (0, 1, 2, 3, 5, 6)]
+            lists = batch.column(7)
+            at = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+            early = np.full((len(lists), EARLY), 1 << 40)  # more than any shingle
+            early[at, np.arange(len(at)) - np.searchsorted(at, at)] = lists.flatten().to_numpy()
+            numbers.append(early)
             bits = np.array(batch.column(4).to_pylist() + [None], object)[:-1]
             if rest is not None:
                 numbers, bits = [np.concatenate(c) for c in zip(rest[0], numbers, strict=True)], np.concatenate([rest[1], bits])
             new = np.zeros(len(bits), bool)
             new[1:] = numbers[0][1:] != numbers[0][:-1]
             last = int(np.flatnonzero(new)[-1]) if new.any() else 0
-            no, n, root, side = numbers[1:]
+            no, n, root, side, key, early = numbers[1:]
             if last:
-                yield from linked(no[:last], n[:last], root[:last], side[:last].astype(np.int64), np.cumsum(new[:last]), bits[:last])
+                yield from linked(key[:last], no[:last], n[:last], root[:last], side[:last], np.cumsum(new[:last]), bits[:last], early[:last])
             rest = [c[last:] for c in numbers], bits[last:]
         if rest is not None and len(rest[1]):
-            no, n, root, side = rest[0][1:]
-            yield from linked(no, n, root, side.astype(np.int64), np.zeros(len(no), np.int64), rest[1])
+            no, n, root, side, key, early = rest[0][1:]
+            yield from linked(key, no, n, root, side, np.zeros(len(no), np.int64), rest[1], early)
 
+    met = met.select(F.hash("key").alias("key"), "band", "no", "root")
     by_root = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("times"))
     major = by_root.groupBy("key").agg(F.max(F.struct("times", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", F.col("m.root").alias("major"))
     mixed = met.join(major, "key").withColumn("apart", F.col("root") != F.col("major"))
@@ -300,13 +317,14 @@ def _tile_pairs(met: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
         "key", F.col("band").alias("i"), own("some").alias("p"), F.explode(F.flatten(F.transform(near, lambda b: F.transform(numbers(count(b, "all")), lambda q: F.struct(b.alias("j"), q.alias("q")))))).alias("t"), "no", "root", F.lit(0).alias("side")
     )
     right = placed.select(
-        "key", F.col("band").alias("j"), own("all").alias("q"), F.explode(F.flatten(F.transform(near, lambda b: F.transform(numbers(count(b, "some")), lambda p: F.struct(b.alias("i"), p.alias("p")))))).alias("t"), "no", "root", F.lit(1).alias("side")
+        "key", F.col("band").alias("j"), own("all").alias("q"), F.explode(F.flatten(F.transform(near, lambda b: F.transform(numbers(count(b, "some")), lambda p: F.struct(b.alias("i"), p.alias("p")))))).alias("t"), "no", "root", F.when(F.col("apart"), 2).otherwise(1).alias("side")
     )
     # a tile goes by the hash of its place; should two tiles have one, they are compared together, and no pair is lost
     tile = F.xxhash64("key", "i", "p", "j", "q").alias("tile")
-    dealt = left.select("key", "i", "p", "t.j", "t.q", "no", "root", "side").unionByName(right.select("key", "t.i", "t.p", "j", "q", "no", "root", "side")).select(tile, "no", "root", "side")
-    tiles = dealt.join(distinct.select("no", "n", "bits"), "no").select("tile", "no", "n", "root", "bits", "side")
-    return tiles.repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(compare, "a long, b long").distinct()
+    dealt = left.select("key", "i", "p", "t.j", "t.q", "no", "root", "side").unionByName(right.select("key", "t.i", "t.p", "j", "q", "no", "root", "side")).select(tile, "no", "root", "side", "key")
+    early = placed.groupBy("no").agg(F.slice(F.sort_array(F.collect_set("key")), 1, EARLY).alias("early"))
+    tiles = dealt.join(distinct.select("no", "n", "bits").join(early, "no"), "no").select("tile", "no", "n", "root", "bits", "side", "key", "early")
+    return tiles.repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(compare, "a long, b long")
 
 
 def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -326,7 +344,7 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = cut(_exact(_bounded(_star_pairs(met.join(distinct.select("no", "weight"), "no")), distinct, percent), known, width, percent))
     roots = components(links).withColumnRenamed("node", "no")
     now = met.join(roots, "no", "left").withColumn("root", F.coalesce("root", "no"))
-    links = links.union(_exact(_tile_pairs(now, distinct, percent), known, width, percent))
+    links = links.union(_exact(_tile_pairs(now, distinct, percent).distinct(), known, width, percent))
     # texts that share an id are one document
     named = own.select("doc_id", "sid").join(full.select("sid", "no"), "sid").select("doc_id", "no")
     several = named.groupBy("doc_id").agg(F.min("no").alias("least"), F.max("no").alias("most")).filter("least < most").select("doc_id", "least")

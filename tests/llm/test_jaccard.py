@@ -134,3 +134,13 @@ def test_whole_table(spark):
     df = op11_jaccard_join(spark, path)
     assert result(df) == brute_force(rows)
     assert df.dtypes == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint")]
+
+
+def test_a_pair_is_told_by_one_of_its_tiles(spark):
+    rows = [(key, 3, no, no // 2) for no in range(40) for key in range(30) if (no + key) % 5]
+    met = spark.createDataFrame(rows, "key long, band int, no long, root long")
+    alike = spark.createDataFrame([(no, 20, bytes(8 + no % 3 // 2 * 8)) for no in range(40)], "no long, n long, bits binary")
+    told = [tuple(r) for r in jaccard._tile_pairs(met, alike, 80).collect()]
+    assert sorted(told) == [(a, b) for a in range(40) for b in range(a + 1, 40) if a // 2 != b // 2]
+    none = jaccard._tile_pairs(met.withColumn("key", met.key * 1000 + met.no), alike, 80)
+    assert none.count() == 0
