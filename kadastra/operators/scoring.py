@@ -114,11 +114,19 @@ def calibration(rows: DataFrame, score: str, label: str, key: str, bins: int = 1
 def gaussian_bayes(rows: DataFrame, label: str, features: list[str], key: str) -> DataFrame:
     """Class of greatest posterior under per-class normal features; deviations have a floor of 1e-6. Classes are few."""
     stats = rows.groupBy(F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m_{f}") for f in features], *[F.greatest(F.stddev_pop(f), F.lit(1e-6)).alias(f"s_{f}") for f in features])
-    log_p = F.ln(F.col("n"))
-    for f in features:
-        log_p = log_p - F.ln(F.col(f"s_{f}")) - F.pow((F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}"), 2) / 2
-    scored = rows.select(key, *features).join(F.broadcast(stats)).withColumn("lp", F.round(log_p, 9))  # one row for each class
-    return relational.latest_per_key(scored, [key], [F.desc("lp"), F.col("c")]).select(key, F.col("c").alias("predicted"))
+    # a row meets all classes where it stands, as one array of them, the last being the least, and keeps one
+    classes = stats.agg(F.sort_array(F.collect_list(F.struct("c", *[x for x in stats.columns if x != "c"])), asc=False).alias("_classes"))
+
+    def log_p(k: Column) -> Column:
+        told = F.ln(k["n"])
+        for f in features:
+            told = told - F.ln(k[f"s_{f}"]) - F.pow((F.col(f) - k[f"m_{f}"]) / k[f"s_{f}"], 2) / 2
+        return F.round(told, 9)
+
+    best = F.array_max(F.transform("_classes", lambda k, i: F.struct(log_p(k).alias("lp"), i.alias("i"))))
+    scored = rows.select(key, *features).join(F.broadcast(classes)).select(key, "_classes", best.alias("_best"))
+    told = scored.select(key, F.col("_best.lp").alias("lp"), F.get("_classes", F.col("_best.i"))["c"].alias("c"))
+    return relational.latest_per_key(told, [key], [F.desc("lp"), F.col("c")]).select(key, F.col("c").alias("predicted"))
 
 
 def class_share(rows: DataFrame, key: str, price: str) -> DataFrame:

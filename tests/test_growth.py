@@ -5,7 +5,7 @@ import math
 import random
 from types import SimpleNamespace
 
-from kadastra.operators import identity
+from kadastra.operators import identity, scoring
 from kadastra.plans import extra, more
 
 HOME = "id long, price double, area double, rooms int, floor int, housing_class string, lat double, lon double, is_duplicate boolean, is_active boolean, first_seen timestamp, last_seen timestamp, archived_at timestamp"
@@ -77,3 +77,11 @@ def test_entity_score_takes_any_share_of_the_address(spark):
     for r in identity.entity_score(rows, "s", "d", "v", "o").collect():
         score = (0.6 if (r.s or 0) >= 0.95 else 0.35 if (r.s or 0) >= 0.6 else 0.0) + (0.0 if r.d is None else 0.25 if r.d <= 150 else 0.12 if r.d <= 400 else 0.0) + (0.15 if r.v else 0.0) + 0.15 * (r.o or 0.0)
         assert abs(r.confidence - round(min(score, 1.0), 4)) < 1e-12
+
+
+def test_a_row_keeps_one_class_before_it_is_shuffled(spark):
+    rows = [(i, "abc"[i % 3], float(i % 3 * 10 + i % 2), float(i % 7)) for i in range(60)] + [(900, "d", None, 1.0), (901, None, 500.0, 1.0)]
+    told = scoring.gaussian_bayes(spark.createDataFrame(rows, "k long, label string, a double, b double"), "label", ["a", "b"], "k")
+    got = {r.k: r.predicted for r in told.collect()}
+    assert len(got) == len(rows) and all(got[i] == "abc"[i % 3] for i in range(60)) and got[900] is None
+    assert "array_max" in plan(told)  # where all classes of a row were sorted
