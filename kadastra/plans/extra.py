@@ -124,10 +124,10 @@ def dm_rent_estimate(m):
 
 @book.query(
     "dm_buyer_alternatives",
-    f"""{BASE_SQL}, t AS (SELECT * FROM base WHERE active), q AS (SELECT * FROM t WHERE id % 20 = 0), c AS (SELECT q.id AS base_id, t.id, CASE WHEN t.price < q.price THEN 2 ELSE 0 END + CASE WHEN t.area > q.area THEN 1 ELSE 0 END + CASE WHEN t.floor NOT IN (1, 9) THEN 1 ELSE 0 END AS points,
-  sqrt(power((q.lat - t.lat) * 111000.0::DOUBLE, 2) + power((q.lon - t.lon) * cos(radians(q.lat)) * 111000.0::DOUBLE, 2)) AS d FROM q JOIN t ON q.rooms = t.rooms AND q.id <> t.id AND abs(q.lat - t.lat) <= 0.01 AND abs(q.lon - t.lon) <= 0.02)
+    f"""{BASE_SQL}, t AS (SELECT * FROM base WHERE active), c AS (SELECT q.id AS base_id, t.id, CASE WHEN t.price < q.price THEN 2 ELSE 0 END + CASE WHEN t.area > q.area THEN 1 ELSE 0 END + CASE WHEN t.floor NOT IN (1, 9) THEN 1 ELSE 0 END AS points,
+  sqrt(power((q.lat - t.lat) * 111000.0::DOUBLE, 2) + power((q.lon - t.lon) * cos(radians(q.lat)) * 111000.0::DOUBLE, 2)) AS d FROM t q JOIN t ON q.rooms = t.rooms AND q.id <> t.id AND abs(q.lat - t.lat) <= 0.01 AND abs(q.lon - t.lon) <= 0.02)
  SELECT base_id, id, points FROM c WHERE d <= 700 QUALIFY row_number() OVER (PARTITION BY base_id ORDER BY points DESC, round(d, 3), id) <= 3""",
 )
 def dm_buyer_alternatives(m):
     t = market.base(m.listings).filter(market.status_condition("active"))
-    return picks.alternatives(t.filter("id % 20 = 0"), t)
+    return picks.alternatives(t, t)
